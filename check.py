@@ -17,7 +17,7 @@ from mapwright.plans.fixtures import BASE_TABLES
 from mapwright.session import build_session
 
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
-         "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP", "date": "DATE"}
+         "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 def duck(sf_dir: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapwright.plans import q_prepare, q_scalars  # noqa: F401
+from mapwright.plans import q_aggregates, q_prepare, q_ranking, q_scalars  # noqa: F401
 from mapwright.plans import registry
 
 
