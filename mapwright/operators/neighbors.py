@@ -39,12 +39,23 @@ class Tiling:
             self.sets[name] = (x_edges, y_edges, starts)
         self.tiles = at
 
-    def tile(self, name: str, x: float, y: float) -> int:
-        if name not in self.sets:
-            return -1
-        x_edges, y_edges, starts = self.sets[name]
-        s = int(np.searchsorted(x_edges, x, side="right"))
-        return starts[s] + int(np.searchsorted(y_edges[s], y, side="right"))
+    def tile_of(self, part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Tile of each point; -1 where the candidate set does not exist."""
+        out = np.full(len(part), -1, dtype="int64")
+        for name, (x_edges, y_edges, starts) in self.sets.items():
+            rows = np.nonzero(part == name)[0]
+            if not len(rows):
+                continue
+            strip = np.searchsorted(x_edges, x[rows], side="right")
+            flat = np.concatenate([*y_edges, [np.inf]])
+            begin = np.concatenate([[0], np.cumsum([len(e) for e in y_edges])])
+            low, high, value = begin[strip].copy(), begin[strip + 1].copy(), y[rows]
+            while np.any(low < high):
+                mid = (low + high) // 2
+                open_, right = low < high, flat[mid] <= value
+                low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
+            out[rows] = np.asarray(starts)[strip] + (low - begin[strip])
+        return out
 
     def touched(self, name: str, x: float, y: float, radius: float, own: int) -> list[int]:
         """Other tiles within ``radius`` of the point; a little more is harmless."""
@@ -97,16 +108,15 @@ def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> list[list[dict]]:
     """k nearest rows of ``r`` for each row of ``q``, own id left out, ties by id."""
     r = r.sort_values("id", kind="stable")
     rx, ry, rid = r["x"].to_numpy(), r["y"].to_numpy(), r["id"].to_numpy()
-    place = {v: i for i, v in enumerate(rid)}
+    index = pd.Index(rid)
     out: list[list[dict]] = []
     for start in range(0, len(q), 512):
         block = q.iloc[start : start + 512]
         dx = block["x"].to_numpy()[:, None] - rx[None, :]
         dy = block["y"].to_numpy()[:, None] - ry[None, :]
         d2 = dx * dx + dy * dy
-        for i, qid in enumerate(block["id"]):
-            if qid in place:
-                d2[i, place[qid]] = np.inf
+        own = index.get_indexer(block["id"])
+        d2[np.nonzero(own >= 0)[0], own[own >= 0]] = np.inf
         take = min(k, len(rid))
         limit = np.partition(d2, take - 1, axis=1)[:, take - 1]
         rows, cols = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
@@ -155,8 +165,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
 
     @F.pandas_udf("bigint")
     def tile_of(part: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        t = shared.value
-        return pd.Series([t.tile(p, a, b) for p, a, b in zip(part, x, y)], dtype="int64")
+        return pd.Series(shared.value.tile_of(part.to_numpy(), x.to_numpy(), y.to_numpy()))
 
     tiled = kept.withColumn("tile", tile_of("part", "rx", "ry"))
     asked = queries.withColumn("tile", tile_of("part", "qx", "qy")).where("tile >= 0")
