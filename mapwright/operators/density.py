@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 60
-
+from mapwright.sources.storage import use_checkpoint_dir
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder the cluster names; only a local session gets one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="mapwright-checkpoint-")
-    sc.setCheckpointDir(folder)
+MAX_ROUNDS = 60
 
 
 def to_cells(items: DataFrame, resolution: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapwright.plans import q_aggregates, q_metrics, q_prepare, q_ranking, q_scalars, q_space, q_vectors  # noqa: F401
+from mapwright.plans import q_aggregates, q_export, q_metrics, q_prepare, q_ranking, q_scalars, q_space, q_vectors  # noqa: F401
 from mapwright.plans import registry
 
 
