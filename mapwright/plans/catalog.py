@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from mapwright.plans import q_aggregates, q_export, q_metrics, q_prepare, q_ranking, q_scalars, q_space, q_vectors  # noqa: F401
-from mapwright.plans import registry
+from mapwright.plans import (  # noqa: F401
+    q_aggregates,
+    q_datasets,
+    q_export,
+    q_metrics,
+    q_prepare,
+    q_ranking,
+    q_scalars,
+    q_space,
+    q_streams,
+    q_vectors,
+    registry,
+)
 
 
 def queries():

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mapwright.functions.constants import FEEL_DIMENSIONS
 
+TIE_SHIFT = 1.3e-9
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -169,7 +171,7 @@ def rounded_doubles(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         inner = sql[start + 3 : end - 1]
-        sql = f"{sql[:start]}(round(CAST({inner} AS DOUBLE), 6) + 0.0){sql[end:]}"
+        sql = f"{sql[:start]}(round(CAST({inner} AS DOUBLE) + {TIE_SHIFT}, 6) + 0.0){sql[end:]}"
     return sql
 
 

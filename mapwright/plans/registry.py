@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapwright.plans.fixtures import Tables, with_fixtures
+from mapwright.plans.fixtures import TIE_SHIFT, Tables, with_fixtures
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -33,9 +33,13 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str) -> Column:
-    """Double rounded to six digits, the precision results are compared at."""
+    """Double rounded to six digits, the precision results are compared at.
+
+    Sums of doubles depend on their order in the last bits; the small shift keeps values
+    that lie exactly between two roundings from falling to either side by chance.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double") + TIE_SHIFT, 6)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
