@@ -56,13 +56,14 @@ def _sum_over_rows(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.
     return np.array([r["v"] for r in sorted(lines, key=lambda r: r["line"])])
 
 
-def fit_svd(docs: DataFrame, key: str, text: str, stopwords, components: int = 256, limit: int = tfidf.VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
+def fit_svd(docs: DataFrame, key: str, text: str, stopwords, components: int = 256, limit: int = tfidf.VOCABULARY_LIMIT,
+            seed: int = 42, ids: DataFrame | None = None) -> FittedSvd:
     """Randomised truncated SVD in a fixed number of passes.
 
     Only the vocabulary and vocabulary-by-component matrices come to the driver; both are
     bounded by ``limit`` and ``components``, whatever the number of documents.
     """
-    vocab_rows = tfidf.fit_vocabulary(docs, key, text, stopwords, limit).orderBy("term").collect()
+    vocab_rows = tfidf.fit_vocabulary(docs, key, text, stopwords, limit, ids).orderBy("term").collect()
     if not vocab_rows:
         raise ValueError("no term left to fit on")
     terms, idf = [r["term"] for r in vocab_rows], [r["idf"] for r in vocab_rows]
@@ -89,12 +90,12 @@ def fit_svd(docs: DataFrame, key: str, text: str, stopwords, components: int = 2
     return fitted
 
 
-def project_svd(docs: DataFrame, fitted: FittedSvd, key: str, text: str, stopwords) -> DataFrame:
+def project_svd(docs: DataFrame, fitted: FittedSvd, key: str, text: str, stopwords, ids: DataFrame | None = None) -> DataFrame:
     """Reduced vector of length one per id; ids without a known term get zeros."""
     spark = docs.sparkSession
     vocab = fitted.vocabulary(spark)
     rows = tfidf.sparse_rows(tfidf.transform(docs, vocab, key, text, stopwords), vocab, key)
-    every = docs.select(key).join(rows, key, "left")
+    every = (docs if ids is None else ids).select(key).join(rows, key, "left")
     shared = spark.sparkContext.broadcast(fitted.basis)
 
     @F.pandas_udf("array<double>")

@@ -1,4 +1,8 @@
-"""Term weights of texts in long form: one row per (id, term)."""
+"""Term weights of texts in long form: one row per (id, term).
+
+The text of an id may be spread over any number of rows (its tags or tips, say): counts
+add up the same, and no group of texts is ever put together into one value.
+"""
 
 from __future__ import annotations
 
@@ -25,11 +29,15 @@ def term_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str])
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(docs: DataFrame, key: str, text: str, stopwords: Sequence[str], limit: int = VOCABULARY_LIMIT) -> DataFrame:
-    """The most used terms with their inverse document frequency; at most ``limit`` rows."""
+def fit_vocabulary(docs: DataFrame, key: str, text: str, stopwords: Sequence[str], limit: int = VOCABULARY_LIMIT,
+                   ids: DataFrame | None = None) -> DataFrame:
+    """The most used terms with their inverse document frequency; at most ``limit`` rows.
+
+    ``ids`` lists every id once; it is needed when ids have several rows or none.
+    """
     per_term = term_counts(docs, key, text, stopwords).groupBy("term").agg(
         F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
-    rows = docs.agg(F.count(F.lit(1))).scalar()
+    rows = (docs if ids is None else ids).agg(F.count(F.lit(1))).scalar()
     top = per_term.orderBy(F.desc("uses"), "term").limit(limit)
     return top.withColumn("idf", F.log((rows + 1) / (F.col("df") + 1)) + 1)
 

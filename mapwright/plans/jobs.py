@@ -24,14 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def fused_vectors(entities: DataFrame, text: str, reviews: DataFrame, share: float, stopwords: Sequence[str], components: int) -> DataFrame:
+def fused_vectors(ids: DataFrame, pieces: DataFrame, reviews: DataFrame, share: float, stopwords: Sequence[str], components: int) -> DataFrame:
     """Text vectors reduced by SVD, joined by key with review vectors, fused side by side.
 
-    ``entities`` has id; ``reviews`` has id and embedding. Missing blocks are zeros.
+    ``ids`` lists the entities; ``pieces`` holds their texts as rows (id, text); ``reviews``
+    has id and embedding. Missing blocks are zeros.
     """
-    docs = entities.select("id", text)
-    fitted = reduce.fit_svd(docs, "id", text, stopwords, components)
-    base = reduce.project_svd(docs, fitted, "id", text, stopwords)
+    fitted = reduce.fit_svd(pieces, "id", "text", stopwords, components, ids=ids)
+    base = reduce.project_svd(pieces, fitted, "id", "text", stopwords, ids=ids)
     second = reviews.select("id", F.col("embedding").cast("array<double>").alias("review_embedding"))
     size = second.agg(F.max(F.size("review_embedding"))).first()[0] or 1
     both = base.join(second, "id", "left").withColumn(
@@ -39,73 +39,89 @@ def fused_vectors(entities: DataFrame, text: str, reviews: DataFrame, share: flo
     return both.select("id", fusion.concat_fusion(F.col("embedding"), F.col("review_embedding"), share).alias("embedding"))
 
 
-def lay_out(entities: DataFrame, vectors: DataFrame, min_cluster_size: int, min_samples: int, resolution: int = 128) -> DataFrame:
-    """Positions, density clusters and region labels for the entities that have a vector."""
+def lay_out(entities: DataFrame, vectors: DataFrame, min_cluster_size: int, min_samples: int, resolution: int = 128,
+            words: DataFrame | None = None) -> DataFrame:
+    """Positions, density clusters and region labels for the entities that have a vector.
+
+    ``words`` (id, text) gives the labels where the entities carry no macro category.
+    """
     placed = stored(entities.join(reduce.layout_2d(stored(vectors, "vectors"), "id"), "id"), "placed")
-    clustered = density.density_clusters(placed, min_cluster_size, min_samples, resolution)
-    return clustered.join(naming.region_labels(clustered), "cluster", "left")
+    clustered = stored(density.density_clusters(placed, min_cluster_size, min_samples, resolution), "clustered")
+    described = clustered
+    if words is not None:
+        described = clustered.select("id", "cluster").join(words, "id", "left").select("cluster", F.col("text").alias("semantic_text"))
+    return clustered.join(naming.region_labels(described), "cluster", "left")
 
 
-def movie_entities(movies: DataFrame, ratings: DataFrame, tags: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rated movies with weighted rating, popularity, tag text and macro genre, sized."""
+def movie_entities(movies: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Rated movies with weighted rating, popularity and macro genre, sized."""
     rated = P.weighted_rating(P.rating_stats(ratings)).join(movies, "movie_id", "left")
-    text = P.joined_text(tags, "movie_id", "tag", order, "tags_text")
-    full = rated.join(text, "movie_id", "left").na.fill({"tags_text": ""})
-    full = full.select(
+    return percentile_size(rated.select(
         V.global_id(F.lit("movies"), F.col("movie_id")).alias("id"), F.lit("movies").alias("domain"),
-        V.id_key(F.col("movie_id")).alias("source_id"), "title", "genres", "tags_text", "avg_rating", "rating_count",
-        "weighted_rating", F.col("rating_count").cast("double").alias("popularity"),
-        V.macro_by_member(F.col("genres"), K.MOVIE_MACROS).alias("macro_genre"))
-    return percentile_size(full)
+        V.id_key(F.col("movie_id")).alias("source_id"), "title", "genres", "avg_rating", "rating_count", "weighted_rating",
+        F.col("rating_count").cast("double").alias("popularity"),
+        V.macro_by_member(F.col("genres"), K.MOVIE_MACROS).alias("macro_genre")))
+
+
+def movie_pieces(tags: DataFrame) -> DataFrame:
+    return tags.where("tag IS NOT NULL").select(V.global_id(F.lit("movies"), F.col("movie_id")).alias("id"), F.col("tag").alias("text"))
 
 
 def artist_entities(artists: DataFrame, min_listeners: int = 1000) -> DataFrame:
-    kept = P.filter_artists(artists, min_listeners)
-    return percentile_size(kept.select(
+    return percentile_size(P.filter_artists(artists, min_listeners).select(
         V.global_id(F.lit("music"), F.col("mbid")).alias("id"), F.lit("music").alias("domain"), F.col("mbid").alias("source_id"),
         F.coalesce(V.blank_to_null(F.col("artist_lastfm")), "artist_mb").alias("title"),
         F.coalesce(V.blank_to_null(F.col("country_lastfm")), "country_mb").alias("country"),
-        F.regexp_replace(T.text_or_empty(F.col("tags_lastfm")), ";", " ").alias("tags_text"),
         V.artist_popularity(F.col("listeners"), F.col("scrobbles")).alias("popularity"),
         V.macro_by_substring(F.col("tags_lastfm"), K.MUSIC_MACROS).alias("macro_genre")))
 
 
-def restaurant_entities(business: DataFrame, tips: DataFrame, order: Sequence[str], min_reviews: int = 20) -> DataFrame:
-    kept = P.filter_restaurants(business, min_reviews)
-    text = P.joined_text(tips, "business_id", "text", order, "tip_text")
-    joined = kept.join(text, "business_id", "left")
-    return percentile_size(joined.select(
+def artist_pieces(artists: DataFrame) -> DataFrame:
+    text = F.regexp_replace(T.text_or_empty(F.col("tags_lastfm")), ";", " ")
+    return artists.select(V.global_id(F.lit("music"), F.col("mbid")).alias("id"), text.alias("text"))
+
+
+def restaurant_entities(business: DataFrame, min_reviews: int = 20) -> DataFrame:
+    return percentile_size(P.filter_restaurants(business, min_reviews).select(
         V.global_id(F.lit("restaurants"), F.col("business_id")).alias("id"), F.lit("restaurants").alias("domain"),
-        F.col("business_id").alias("source_id"), F.col("name").alias("title"), "categories",
-        F.concat_ws(" ", T.text_or_empty(F.col("categories")), T.text_or_empty(F.col("tip_text"))).alias("tags_text"),
-        "stars", F.col("review_count").cast("double").alias("popularity"),
+        F.col("business_id").alias("source_id"), F.col("name").alias("title"), "categories", "stars",
+        F.col("review_count").cast("double").alias("popularity"),
         V.macro_by_substring(F.col("categories"), K.RESTAURANT_MACROS).alias("macro_genre")))
 
 
-def domain_map(entities: DataFrame, reviews: DataFrame, stopwords: Sequence[str], share: float = 0.5, components: int = 256,
-               min_cluster_size: int = 150, min_samples: int = 20) -> DataFrame:
-    """Single-domain map from the entities' tag text and review vectors."""
+def restaurant_pieces(business: DataFrame, tips: DataFrame) -> DataFrame:
+    gid = V.global_id(F.lit("restaurants"), F.col("business_id")).alias("id")
+    own = business.where("categories IS NOT NULL").select(gid, F.col("categories").alias("text"))
+    return own.unionByName(tips.select(gid, "text"))
+
+
+def domain_map(entities: DataFrame, pieces: DataFrame, reviews: DataFrame, stopwords: Sequence[str], share: float = 0.5,
+               components: int = 256, min_cluster_size: int = 150, min_samples: int = 20) -> DataFrame:
+    """Single-domain map from the entities' texts and review vectors."""
     entities = stored(entities, "entities")
-    vectors = fused_vectors(entities, "tags_text", reviews, share, stopwords, components)
+    texts = pieces.join(entities.select("id"), "id", "left_semi")
+    vectors = fused_vectors(entities.select("id"), texts, reviews, share, stopwords, components)
     return lay_out(entities, vectors, min_cluster_size, min_samples)
 
 
-def shared_text_map(parts: Sequence[DataFrame], reviews: DataFrame, stopwords: Sequence[str], share: float = 0.5, components: int = 256,
-                    min_cluster_size: int = 150, min_samples: int = 20) -> DataFrame:
+def shared_words(pieces: DataFrame, domains: Sequence[str]) -> DataFrame:
+    """Each cleaned word of each entity once, the domains' own vocabulary left out."""
+    vocabulary = [w for d in domains for w in K.DOMAIN_VOCABULARY[d]]
+    found = pieces.select("id", F.explode(T.words(T.semantic_text(F.col("text")))).alias("text")).distinct()
+    return found.where(~F.col("text").isin(vocabulary))
+
+
+def shared_text_map(parts: dict[str, DataFrame], pieces: DataFrame, reviews: DataFrame, stopwords: Sequence[str], share: float = 0.5,
+                    components: int = 256, min_cluster_size: int = 150, min_samples: int = 20) -> DataFrame:
     """Several domains on one map: domain words removed, each word once, sizes kept from
     the domain, no macro category (labels come from the shared text)."""
-    union, domains = None, set()
-    for part in parts:
+    union = None
+    for part in parts.values():
         union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    # The vocabulary always covers every domain that is on the map.
-    for row in union.select("domain").distinct().collect():
-        domains.add(row["domain"])
-    vocabulary = [w for d in sorted(domains) for w in K.DOMAIN_VOCABULARY[d]]
-    sources = [F.col(c) for c in ("tags_text", "genres", "categories") if c in union.columns]
-    text = T.first_occurrences(T.drop_words(T.semantic_text(*sources), vocabulary))
-    entities = stored(union.withColumn("semantic_text", text).drop("macro_genre"), "entities")
-    vectors = fused_vectors(entities, "semantic_text", reviews, share, stopwords, components)
-    return lay_out(entities, vectors, min_cluster_size, min_samples)
+    entities = stored(union.drop("macro_genre"), "entities")
+    words = stored(shared_words(pieces.join(entities.select("id"), "id", "left_semi"), list(parts)), "words")
+    vectors = fused_vectors(entities.select("id"), words, reviews, share, stopwords, components)
+    return lay_out(entities, vectors, min_cluster_size, min_samples, words=words)
 
 
 def feel_map(entities: DataFrame, scores: DataFrame, expected: dict[str, int] | None = None,

@@ -10,7 +10,6 @@ from mapwright.operators.ranking import percentile_size
 from mapwright.plans import jobs
 from mapwright.plans.registry import query, r6
 
-ORDER = ["ord", "line", "price"]
 DENSITY = {"min_cluster_size": 10, "min_samples": 5}
 
 
@@ -33,7 +32,7 @@ def restaurant_reviews(t):
 
 
 def movies(t):
-    return jobs.movie_entities(t.movies, t.ratings, t.tags, ORDER)
+    return jobs.movie_entities(t.movies, t.ratings)
 
 
 def artists(t):
@@ -41,7 +40,19 @@ def artists(t):
 
 
 def restaurants(t):
-    return jobs.restaurant_entities(t.business, t.tips, ORDER)
+    return jobs.restaurant_entities(t.business)
+
+
+def pieces(t, *domains):
+    """Texts of the chosen domains; movie genres count as text on shared maps."""
+    out = {"movies": jobs.movie_pieces(t.tags), "music": jobs.artist_pieces(t.artists), "restaurants": jobs.restaurant_pieces(t.business, t.tips)}
+    chosen = out[domains[0]]
+    for d in domains[1:]:
+        chosen = chosen.unionByName(out[d])
+    if "movies" in domains and len(domains) > 1:
+        genres = t.movies.where("genres IS NOT NULL").select(global_id(F.lit("movies"), F.col("movie_id")).alias("id"), F.col("genres").alias("text"))
+        chosen = chosen.unionByName(genres)
+    return chosen
 
 
 def shown(df):
@@ -50,29 +61,31 @@ def shown(df):
 
 @query("c01_movie_map")
 def c01(t):
-    return shown(jobs.domain_map(movies(t), movie_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(movies(t), pieces(t, "movies"), movie_reviews(t), NAMING_STOPWORDS, **DENSITY))
 
 
 @query("c02_music_map")
 def c02(t):
-    return shown(jobs.domain_map(artists(t), music_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(artists(t), pieces(t, "music"), music_reviews(t), NAMING_STOPWORDS, **DENSITY))
 
 
 @query("c03_restaurant_map")
 def c03(t):
-    return shown(jobs.domain_map(restaurants(t), restaurant_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(restaurants(t), pieces(t, "restaurants"), restaurant_reviews(t), NAMING_STOPWORDS, **DENSITY))
 
 
 @query("c04_movies_music_map")
 def c04(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t))
-    return shown(jobs.shared_text_map([movies(t), artists(t)], reviews, NAMING_STOPWORDS, **DENSITY))
+    parts = {"movies": movies(t), "music": artists(t)}
+    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, NAMING_STOPWORDS, **DENSITY))
 
 
 @query("c05_three_domain_map")
 def c05(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t)).unionByName(restaurant_reviews(t))
-    return shown(jobs.shared_text_map([movies(t), artists(t), restaurants(t)], reviews, NAMING_STOPWORDS, **DENSITY))
+    parts = {"movies": movies(t), "music": artists(t), "restaurants": restaurants(t)}
+    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, NAMING_STOPWORDS, **DENSITY))
 
 
 def feel_inputs(t, domains):
