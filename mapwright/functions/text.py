@@ -105,13 +105,9 @@ def naming_tokens(text: Column, stopwords: Sequence[str]) -> Column:
     return F.filter(found, lambda w: ~w.isin(list(stopwords)))
 
 
-def term_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
-    """Lower-case tokens of two or more word characters, stop words removed."""
-    found = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    if not stopwords:
-        return found
-    stop = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+def term_tokens(text: Column) -> Column:
+    """Lower-case runs of two or more letters, digits or underscores."""
+    return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def split_categories(c: Column, delimiter: str = r"\|") -> Column:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapwright.sources.storage import spread
+
 MAX_SAMPLE = 30000
 BLOCK_ROWS = 256
 
@@ -42,7 +44,7 @@ def per_query_block(
         order = refs[key].map(str).argsort(kind="stable")
         return kernel(asks, refs.iloc[order])
 
-    return q.unionByName(r).groupBy("block").applyInPandas(run, schema)
+    return spread(q.unionByName(r), "block").groupBy("block").applyInPandas(run, schema)
 
 
 def matrix(rows: pd.Series) -> np.ndarray:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapwright.functions import vectors as VX
 from mapwright.functions.constants import FEEL_AXES, FEEL_DIMENSIONS
 from mapwright.functions.values import signed_text
 from mapwright.operators.histogram import exact_percentiles
 from mapwright.operators.ranking import top_per_group
 
 AXIS = {a[0]: a for a in FEEL_AXES}
+N_ANCHORS = sum(1 if a[2] is None else 2 for a in FEEL_AXES)
 
 
 def anchor_table(spark: SparkSession) -> DataFrame:
@@ -44,14 +46,22 @@ def anchor_problems(anchors: DataFrame) -> DataFrame:
 def anchor_similarities(entities: DataFrame, anchors: DataFrame, vector: str = "embedding") -> DataFrame:
     """Cosine of each entity with each anchor as an array in anchor order.
 
-    The anchors are 23 rows by definition; they travel as one array value, so the entity
-    table is scanned once and nothing is shuffled.
+    The anchors are 23 rows by definition: they are fetched once, and entities are
+    multiplied with them in Arrow batches without a shuffle.
     """
-    rows = F.array_sort(F.collect_list(F.struct("anchor_index", VX.unit(F.col("anchor_vector")).alias("v"))))
-    ref = anchors.agg(F.transform(rows, lambda r: r["v"])).scalar()
-    unit = entities.withColumn("_anchors", ref).withColumn("_unit", VX.unit(F.col(vector)))
-    sims = F.transform("_anchors", lambda a: VX.dot(a, F.col("_unit")))
-    return unit.withColumn("similarities", sims).drop("_anchors", "_unit")
+    rows = anchors.orderBy("anchor_index").select("anchor_vector").limit(N_ANCHORS + 1).collect()
+    if len(rows) != N_ANCHORS:
+        raise ValueError(f"expected {N_ANCHORS} anchors")
+    ref = np.array([r["anchor_vector"] for r in rows], dtype=np.float64)
+    ref /= np.maximum(np.linalg.norm(ref, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("array<double>")
+    def cosines(v: pd.Series) -> pd.Series:
+        m = np.array(v.tolist(), dtype=np.float64)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return pd.Series(list((m / np.where(length > 0, length, 1.0)) @ ref.T))
+
+    return entities.withColumn("similarities", cosines(F.col(vector)))
 
 
 def feel_scores(df: DataFrame, defined: Column, sims: str = "similarities") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.operators.ranking import top_per_group
+from mapwright.sources.storage import spread, use_checkpoint_dir
 
 TILE_ROWS = 2000
 MAX_CUTS = 1024
@@ -148,7 +149,7 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int) -> Dat
             "qid": asks["id"].to_numpy(), "part": asks["part"].to_numpy(), "qx": asks["x"].to_numpy(),
             "qy": asks["y"].to_numpy(), "tile": asks["tile"].to_numpy(), "found": found})
 
-    return q.unionByName(r).groupBy("tile", "chunk").applyInPandas(
+    return spread(q.unionByName(r), "tile", "chunk").groupBy("tile", "chunk").applyInPandas(
         kernel, f"qid string, part string, qx double, qy double, tile bigint, found {_PAIR}")
 
 
@@ -159,7 +160,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
     candidates of its part only, and never itself. Ids are texts.
     """
     tile_rows = max(tile_rows, 4 * k)
-    kept = top_per_group(refs, ["part", "rx", "ry"], [F.col("rid")], k + 1).drop("rank")
+    use_checkpoint_dir(refs.sparkSession)
+    narrow = refs.select("rid", "rx", "ry", "part")
+    kept = top_per_group(narrow, ["part", "rx", "ry"], [F.col("rid")], k + 1).drop("rank").checkpoint()
     tiling = build_tiling(kept, tile_rows)
     shared = refs.sparkSession.sparkContext.broadcast(tiling)
 
@@ -172,6 +175,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
     first = _search(asked, tiled, k, 2 * tile_rows)
     best = first.select("qid", "part", "found")
     if tiling.tiles > len(tiling.sets):
+        # Both the second round and the merge read this stage: run it once.
+        first = first.checkpoint()
+        best = first.select("qid", "part", "found")
         full = F.size("found") >= k
         radius = F.when(full, F.sqrt(F.col("found")[k - 1]["d2"])).otherwise(F.lit(float("inf")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.operators import tfidf
+from mapwright.sources.storage import spread, use_checkpoint_dir
 
 # Random directions beyond the wanted ones, and passes that sharpen them.
 OVERSAMPLE, PASSES = 10, 5
@@ -56,27 +57,26 @@ def _sum_over_rows(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.
     return np.array([r["v"] for r in sorted(lines, key=lambda r: r["line"])])
 
 
-def fit_svd(docs: DataFrame, key: str, text: str, stopwords, components: int = 256, limit: int = tfidf.VOCABULARY_LIMIT,
-            seed: int = 42, ids: DataFrame | None = None) -> FittedSvd:
-    """Randomised truncated SVD in a fixed number of passes.
+def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256, limit: int = tfidf.VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
+    """Randomised truncated SVD of the weighted term counts in a fixed number of passes.
 
     Only the vocabulary and vocabulary-by-component matrices come to the driver; both are
     bounded by ``limit`` and ``components``, whatever the number of documents.
     """
-    vocab_rows = tfidf.fit_vocabulary(docs, key, text, stopwords, limit, ids).orderBy("term").collect()
+    vocab_rows = tfidf.fit_vocabulary(counts, ids, limit).orderBy("term").collect()
     if not vocab_rows:
         raise ValueError("no term left to fit on")
     terms, idf = [r["term"] for r in vocab_rows], [r["idf"] for r in vocab_rows]
     fitted = FittedSvd(terms, idf, np.zeros((0, 0)), np.zeros(0), 0)
-    vocab = fitted.vocabulary(docs.sparkSession)
-    rows = tfidf.sparse_rows(tfidf.transform(docs, vocab, key, text, stopwords), vocab, key).persist(StorageLevel.DISK_ONLY)
+    vocab = fitted.vocabulary(counts.sparkSession)
+    rows = spread(tfidf.sparse_rows(tfidf.transform(counts, vocab, key), vocab, key), key).persist(StorageLevel.DISK_ONLY)
     try:
         fitted.rows = rows.count()
         width = len(terms)
         k = max(1, min(components, width, fitted.rows))
         wide = min(k + OVERSAMPLE, width)
         q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, wide)))[0]
-        for _ in range(PASSES):
+        for _ in range(PASSES if wide < width else 0):
             q = np.linalg.qr(_sum_over_rows(rows, width, lambda a, q=q: a.T @ (a @ q)))[0]
         gram = _sum_over_rows(rows, width, lambda a, q=q: (a @ q).T @ (a @ q))
     finally:
@@ -90,24 +90,34 @@ def fit_svd(docs: DataFrame, key: str, text: str, stopwords, components: int = 2
     return fitted
 
 
-def project_svd(docs: DataFrame, fitted: FittedSvd, key: str, text: str, stopwords, ids: DataFrame | None = None) -> DataFrame:
+def project_svd(counts: DataFrame, fitted: FittedSvd, ids: DataFrame, key: str) -> DataFrame:
     """Reduced vector of length one per id; ids without a known term get zeros."""
-    spark = docs.sparkSession
+    spark = counts.sparkSession
     vocab = fitted.vocabulary(spark)
-    rows = tfidf.sparse_rows(tfidf.transform(docs, vocab, key, text, stopwords), vocab, key)
-    every = (docs if ids is None else ids).select(key).join(rows, key, "left")
+    rows = spread(tfidf.sparse_rows(tfidf.transform(counts, vocab, key), vocab, key), key)
     shared = spark.sparkContext.broadcast(fitted.basis)
 
     @F.pandas_udf("array<double>")
     def reduce(positions: pd.Series, weights: pd.Series) -> pd.Series:
         basis, out = shared.value, []
         for p, w in zip(positions, weights):
-            v = np.zeros(basis.shape[1]) if p is None else np.asarray(w) @ basis[np.asarray(p)]
+            v = np.asarray(w) @ basis[np.asarray(p)]
             n = np.sqrt(v @ v)
             out.append(v / n if n > 0 else v)
         return pd.Series(out)
 
-    return every.select(key, reduce("positions", "weights").alias("embedding"))
+    reduced = rows.select(key, reduce("positions", "weights").alias("embedding"))
+    zeros = F.array_repeat(F.lit(0.0), fitted.basis.shape[1])
+    return ids.select(key).join(reduced, key, "left").select(key, F.coalesce("embedding", zeros).alias("embedding"))
+
+
+def embed_texts(docs: DataFrame, ids: DataFrame, key: str, text: str, stopwords, components: int = 256,
+                limit: int = tfidf.VOCABULARY_LIMIT) -> tuple[DataFrame, FittedSvd]:
+    """Fit and project in one go; texts are tokenised once and the counts checkpointed."""
+    use_checkpoint_dir(docs.sparkSession)
+    counts = tfidf.term_counts(docs, key, text, stopwords).checkpoint()
+    fitted = fit_svd(counts, ids, key, components, limit)
+    return project_svd(counts, fitted, ids, key), fitted
 
 
 def layout_2d(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

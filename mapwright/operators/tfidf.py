@@ -25,29 +25,29 @@ def default_stopwords(spark: SparkSession) -> list[str]:
 
 def term_counts(docs: DataFrame, key: str, text: str, stopwords: Sequence[str]) -> DataFrame:
     """Occurrences per (id, term); summed inside each task before the shuffle."""
-    words = docs.select(key, F.explode(term_tokens(F.col(text), stopwords)).alias("term"))
+    words = docs.select(key, F.explode(term_tokens(F.col(text))).alias("term"))
+    if stopwords:
+        words = words.where(~F.col("term").isin(list(stopwords)))
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(docs: DataFrame, key: str, text: str, stopwords: Sequence[str], limit: int = VOCABULARY_LIMIT,
-                   ids: DataFrame | None = None) -> DataFrame:
+def fit_vocabulary(counts: DataFrame, ids: DataFrame, limit: int = VOCABULARY_LIMIT) -> DataFrame:
     """The most used terms with their inverse document frequency; at most ``limit`` rows.
 
-    ``ids`` lists every id once; it is needed when ids have several rows or none.
+    ``counts`` comes from :func:`term_counts`; ``ids`` lists every id once, also those
+    without a single term.
     """
-    per_term = term_counts(docs, key, text, stopwords).groupBy("term").agg(
-        F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
-    rows = (docs if ids is None else ids).agg(F.count(F.lit(1))).scalar()
+    per_term = counts.groupBy("term").agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
+    rows = ids.agg(F.count(F.lit(1))).scalar()
     top = per_term.orderBy(F.desc("uses"), "term").limit(limit)
     return top.withColumn("idf", F.log((rows + 1) / (F.col("df") + 1)) + 1)
 
 
-def transform(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, stopwords: Sequence[str]) -> DataFrame:
+def transform(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Weight per (id, term), every id's weights scaled to length one.
 
     The vocabulary is limited when it is fitted, so it may be broadcast.
     """
-    counts = term_counts(docs, key, text, stopwords)
     raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))

@@ -30,8 +30,7 @@ def fused_vectors(ids: DataFrame, pieces: DataFrame, reviews: DataFrame, share:
     ``ids`` lists the entities; ``pieces`` holds their texts as rows (id, text); ``reviews``
     has id and embedding. Missing blocks are zeros.
     """
-    fitted = reduce.fit_svd(pieces, "id", "text", stopwords, components, ids=ids)
-    base = reduce.project_svd(pieces, fitted, "id", "text", stopwords, ids=ids)
+    base, _ = reduce.embed_texts(pieces, ids, "id", "text", stopwords, components)
     second = reviews.select("id", F.col("embedding").cast("array<double>").alias("review_embedding"))
     size = second.agg(F.max(F.size("review_embedding"))).first()[0] or 1
     both = base.join(second, "id", "left").withColumn(

@@ -197,8 +197,7 @@ def e08(t):
     from mapwright.functions.constants import NAMING_STOPWORDS
 
     docs = t.documents
-    fitted = reduce.fit_svd(docs, "doc_id", "text", NAMING_STOPWORDS, components=32, limit=1000)
-    vectors = reduce.project_svd(docs, fitted, "doc_id", "text", NAMING_STOPWORDS)
+    vectors = reduce.embed_texts(docs, docs, "doc_id", "text", NAMING_STOPWORDS, components=32, limit=1000)[0].checkpoint()
     placed = vectors.join(reduce.layout_2d(vectors, "doc_id"), "doc_id")
     points = sampling.sample(placed, "doc_id", 3000).select(
         F.col("doc_id").cast("string").alias("id"), F.col("embedding").alias("source"), F.array("x", "y").alias("map"))

@@ -10,7 +10,7 @@ from mapwright.operators import density, encode, feel, fusion, metrics, reduce,
 from mapwright.plans.q_scalars import sql_list
 from mapwright.plans.registry import query, r6
 
-TOKENS_SQL = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}'),
+TOKENS_SQL = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
       lambda w: NOT list_contains([{sql_list(NAMING_STOPWORDS)}], w))"""
 
 
@@ -25,23 +25,24 @@ def tfidf_sql(fit: str, use: str) -> str:
 
 @query("v01_tfidf", tfidf_sql("true", "true"))
 def v01(t):
-    vocab = tfidf.fit_vocabulary(t.documents, "doc_id", "text", NAMING_STOPWORDS)
-    return tfidf.transform(t.documents, vocab, "doc_id", "text", NAMING_STOPWORDS).withColumn("weight", r6("weight"))
+    counts = tfidf.term_counts(t.documents, "doc_id", "text", NAMING_STOPWORDS)
+    vocab = tfidf.fit_vocabulary(counts, t.documents)
+    return tfidf.transform(counts, vocab, "doc_id").withColumn("weight", r6("weight"))
 
 
 @query("v02_vocabulary_reuse", tfidf_sql("lang = 'en'", "lang <> 'en'"))
 def v02(t):
-    vocab = tfidf.fit_vocabulary(t.documents.where("lang = 'en'"), "doc_id", "text", NAMING_STOPWORDS)
-    other = t.documents.where("lang <> 'en'")
-    return tfidf.transform(other, vocab, "doc_id", "text", NAMING_STOPWORDS).withColumn("weight", r6("weight"))
+    english, other = t.documents.where("lang = 'en'"), t.documents.where("lang <> 'en'")
+    vocab = tfidf.fit_vocabulary(tfidf.term_counts(english, "doc_id", "text", NAMING_STOPWORDS), english)
+    counts = tfidf.term_counts(other, "doc_id", "text", NAMING_STOPWORDS)
+    return tfidf.transform(counts, vocab, "doc_id").withColumn("weight", r6("weight"))
 
 
 @query("v03_truncated_svd")
 def v03(t):
     """Reduced document vectors: at most 64 numbers, length one."""
     docs = t.documents
-    fitted = reduce.fit_svd(docs, "doc_id", "text", NAMING_STOPWORDS, components=64)
-    out = reduce.project_svd(docs, fitted, "doc_id", "text", NAMING_STOPWORDS)
+    out, fitted = reduce.embed_texts(docs, docs, "doc_id", "text", NAMING_STOPWORDS, components=64)
     return out.select("doc_id", F.size("embedding").alias("dims"), r6(VX.norm(F.col("embedding"))).alias("length"),
                       F.lit(round(fitted.explained, 6)).alias("explained"))
 

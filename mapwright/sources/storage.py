@@ -23,6 +23,15 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all shuffle partitions ahead of heavy Python work.
+
+    A fixed number keeps small inputs from being merged into one task; on a cluster it is
+    the configured number of shuffle partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, reachable by every executor."""
     return f"{use_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
