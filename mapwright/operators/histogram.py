@@ -1,10 +1,11 @@
 """Ranks and percentiles from a value histogram.
 
 A window without a bound on its partitions would sort every row of a domain in one
-task. Here rows are first reduced to distinct values with counts; values fall into
-ordered buckets by magnitude (a fixed rule, so a lost task recomputes the same
-buckets); running counts are taken inside buckets, and bucket totals are added up over
-a table that holds at most ``2 * 2048 * BUCKETS_PER_OCTAVE`` short rows per group.
+task. Here rows are first reduced to distinct values with counts. Values fall into
+ordered buckets by magnitude, and a bucket with many distinct values is cut into equal
+ranges between its smallest and largest value. Both rules give the same buckets whenever
+a lost task is run again. Running counts are taken inside the pieces; totals of pieces
+are added up over a short table (see ``BUCKETS_PER_OCTAVE`` and ``PIECE_VALUES``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 512
+BUCKETS_PER_OCTAVE = 64
+# Distinct values a piece should hold, and the most pieces one bucket is cut into.
+PIECE_VALUES, MAX_PIECES = 200_000, 100_000
 _SHIFT = 1 << 21
 
 
@@ -24,7 +27,7 @@ def magnitude_bucket(v: Column) -> Column:
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0).cast("bigint"))
 
 
-def value_histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def value_histogram(df: DataFrame, groups: Sequence[str], value: str, piece_values: int = PIECE_VALUES) -> DataFrame:
     """Per group and distinct value: ``cnt``, ``below`` (rows smaller) and ``total``."""
     groups = list(groups)
     v = F.col(value).cast("double")
@@ -34,20 +37,26 @@ def value_histogram(df: DataFrame, groups: Sequence[str], value: str) -> DataFra
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("bucket", magnitude_bucket(F.col(value)))
     )
-    ordered = Window.partitionBy(*groups).orderBy("bucket")
+    shape = counts.groupBy(*groups, "bucket").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.least(F.ceil(F.count(F.lit(1)) / piece_values), F.lit(MAX_PIECES)).alias("_pieces"))
+    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_pieces")
+    piece = F.when(F.col("_pieces") > 1, F.least(F.floor(share), F.col("_pieces") - 1)).otherwise(F.lit(0))
+    cut = counts.join(shape, [*groups, "bucket"]).withColumn("piece", piece.cast("bigint")).drop("_lo", "_hi", "_pieces")
+    ordered = Window.partitionBy(*groups).orderBy("bucket", "piece")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        counts.groupBy(*groups, "bucket").agg(F.sum("cnt").alias("in_bucket"))
-        .withColumn("offset", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-        .withColumn("total", F.sum("in_bucket").over(Window.partitionBy(*groups)))
-        .drop("in_bucket")
+    offsets = (
+        cut.groupBy(*groups, "bucket", "piece").agg(F.sum("cnt").alias("in_piece"))
+        .withColumn("offset", F.coalesce(F.sum("in_piece").over(before), F.lit(0)))
+        .withColumn("total", F.sum("in_piece").over(Window.partitionBy(*groups)))
+        .drop("in_piece")
     )
     inside = (
-        Window.partitionBy(*groups, "bucket").orderBy(value)
+        Window.partitionBy(*groups, "bucket", "piece").orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        counts.join(buckets, [*groups, "bucket"])
+        cut.join(offsets, [*groups, "bucket", "piece"])
         .withColumn("below", F.col("offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
         .select(*groups, value, "cnt", "below", "total")
     )
