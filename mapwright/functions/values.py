@@ -28,6 +28,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def empty_to_null(c: Column) -> Column:
+    """Null for empty text only; blanks count as text and stay."""
+    return F.when(c != "", c)
+
+
 def zero_to_null(c: Column) -> Column:
     return F.when(c != 0, c)
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from mapwright.functions.values import blank_to_null, finite, zero_to_null
+from mapwright.functions.values import empty_to_null, finite, zero_to_null
 
 
 def display_title(*candidates: Column) -> Column:
-    return F.coalesce(*[blank_to_null(c) for c in candidates], F.lit("Unknown"))
+    return F.coalesce(*[empty_to_null(c) for c in candidates], F.lit("Unknown"))
 
 
 def first_nonzero(*candidates: Column) -> Column:
@@ -19,7 +19,7 @@ def first_nonzero(*candidates: Column) -> Column:
 
 
 def category_list(*candidates: Column) -> Column:
-    return F.array_compact(F.array(F.coalesce(*[blank_to_null(c) for c in candidates])))
+    return F.array_compact(F.array(F.coalesce(*[empty_to_null(c) for c in candidates])))
 
 
 def feature_description(**flags: Column) -> Column:
@@ -34,7 +34,7 @@ def _pick(df: DataFrame, kind: str, *names: str) -> list[Column]:
 def item_struct(df: DataFrame, map_domain: str) -> DataFrame:
     """One nested document per entity; columns that do not exist become nulls."""
     source = F.coalesce(*_pick(df, "string", "source_id", "movieId", "business_id", "mbid"), F.lit(""))
-    tags = F.array_compact(F.array(blank_to_null(_pick(df, "string", "tags_text")[0])))
+    tags = F.array_compact(F.array(empty_to_null(_pick(df, "string", "tags_text")[0])))
     used = F.coalesce(_pick(df, "int", "reviews_used_for_embedding", "review_count")[0], F.lit(0))
     reviews = F.coalesce(_pick(df, "int", "review_count")[0], F.lit(0))
     metadata = [

@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
