@@ -80,9 +80,9 @@ def _even_edges(grid: list[float], parts: int) -> np.ndarray:
 
 def build_tiling(refs: DataFrame, tile_rows: int) -> Tiling:
     """Two small aggregations: quantiles of x per set, then of y per strip."""
-    grid = [i / MAX_CUTS for i in range(MAX_CUTS)]
+    grid = ", ".join(f"{i / MAX_CUTS}D" for i in range(MAX_CUTS))
     per_set = refs.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("rx", grid, 10000).alias("q")).collect()
+        F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(rx, array({grid}), 10000)").alias("q")).collect()
     x_edges, single = {}, True
     for row in per_set:
         strips = min(MAX_CUTS, int(np.ceil(np.sqrt(row["n"] / tile_rows))))
@@ -90,14 +90,17 @@ def build_tiling(refs: DataFrame, tile_rows: int) -> Tiling:
         single &= len(x_edges[row["part"]]) == 0
     if single and all(r["n"] <= 2 * tile_rows for r in per_set):
         return Tiling({p: (e, [np.array([])]) for p, e in x_edges.items()})
-    edges = {p: e.tolist() for p, e in x_edges.items()}
 
     @F.pandas_udf("int")
     def strip_of(part: pd.Series, x: pd.Series) -> pd.Series:
-        return pd.Series([int(np.searchsorted(edges[p], v, side="right")) for p, v in zip(part, x)], dtype="int32")
+        out = np.zeros(len(part), dtype="int32")
+        for name, edges in x_edges.items():
+            rows = (part == name).to_numpy()
+            out[rows] = np.searchsorted(edges, x.to_numpy()[rows], side="right")
+        return pd.Series(out)
 
     per_strip = refs.withColumn("strip", strip_of("part", "rx")).groupBy("part", "strip").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("ry", grid, 10000).alias("q")).collect()
+        F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(ry, array({grid}), 10000)").alias("q")).collect()
     cells = {p: [np.array([]) for _ in range(len(e) + 1)] for p, e in x_edges.items()}
     for row in per_strip:
         parts = min(MAX_CUTS, max(1, round(row["n"] / tile_rows)))
