@@ -23,7 +23,8 @@ _SHIFT = 1 << 21
 
 def magnitude_bucket(v: Column) -> Column:
     """Whole number that never falls as the value grows."""
-    octave = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE).cast("bigint") + _SHIFT
+    # The cap takes the infinities into the outermost bucket.
+    octave = F.floor(F.least(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE, F.lit(1e6))).cast("bigint") + _SHIFT
     return F.when(v > 0, octave).when(v < 0, -octave).otherwise(F.lit(0).cast("bigint"))
 
 

@@ -138,6 +138,9 @@ def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> list[list[dict]]:
 def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int) -> DataFrame:
     """Neighbours of each (query, tile) row among the candidates of that tile."""
     sizes = queries.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
+    # One short row per tile and never more than MAX_CUTS^2 tiles per set: safe to broadcast,
+    # so queries crowding into one tile are not shuffled before they are split.
+    sizes = F.broadcast(sizes)
     q = queries.join(sizes, "tile").select(
         F.lit(True).alias("is_query"), "tile", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int").alias("chunk"),
         F.col("qid").alias("id"), "part", F.col("qx").alias("x"), F.col("qy").alias("y"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapwright.functions import text as T
 from mapwright.functions import values as V
-from mapwright.operators.histogram import exact_percentiles
+from mapwright.operators.histogram import attach_ranks, exact_percentiles
 
 
 def resolve_columns(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
@@ -45,8 +45,18 @@ def joined_text(df: DataFrame, key: str, text: str, order: Sequence[str], name:
         F.count(text).alias(f"{name}_count"))
 
 
-def with_order(df: DataFrame, order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+def text_parts(df: DataFrame, key: str, text: str, position: str, order: Sequence[str], rows: int = 10000, sep: str = " ") -> DataFrame:
+    """The texts of a key as numbered parts of about ``rows`` texts each, in order.
+
+    For keys with very many texts: places come from the histogram over the numeric
+    ``position``, so no task ever holds more than one part. The parts in order, joined by
+    ``sep``, are the text :func:`joined_text` gives.
+    """
+    known = df.where(F.col(text).isNotNull())
+    placed = attach_ranks(known, [key], position).withColumn("part", F.floor(F.col("below") / rows))
+    texts = F.collect_list(F.struct(*order, text))
+    return placed.groupBy(key, "part").agg(
+        F.array_join(F.transform(F.sort_array(texts), lambda r: r[text]), sep).alias("text"), F.count(text).alias("texts"))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
