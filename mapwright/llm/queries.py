@@ -5,14 +5,23 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapwright.llm import exact_dedup, token_counts
-from mapwright.llm.common import table
+from pyspark.sql import functions as F
+
+from mapwright.llm import exact_dedup, language_id, token_counts
+from mapwright.llm.common import id_bucket, table
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, id_bucket("doc_id", 4) != 2)
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -25,7 +34,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries():
-    return {f.__name__: f for f in (op4_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_token_counts, op7_language_id, op10_exact_dedup)}
 
 
 def oracle_sql():
