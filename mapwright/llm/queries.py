@@ -7,10 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import exact_dedup, language_id, token_counts
+from mapwright.llm import exact_dedup, language_id, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, id_bucket("doc_id", 5) != 0)
+    held_out = F.coalesce(id_bucket("doc_id", 5), F.lit(-1)) == 0
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "passages")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,7 +41,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries():
-    return {f.__name__: f for f in (op4_token_counts, op7_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op7_language_id, op10_exact_dedup)}
 
 
 def oracle_sql():
