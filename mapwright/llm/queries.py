@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import exact_dedup, language_id, token_counts, toxicity
+from mapwright.llm import exact_dedup, language_id, sharding, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
@@ -22,6 +22,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select("doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, id_bucket("doc_id", 4) != 2)
@@ -41,7 +47,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op7_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op6_sharding, op7_language_id, op10_exact_dedup)}
 
 
 def oracle_sql():
