@@ -39,6 +39,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+PAGE_BITS = 32768  # of Spark's bitmap functions
+
+
+def set_bits(places: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of the numbers in column ``place`` (0 to bits - 1); at most ``bits / 8`` bytes reach the driver."""
+    place = F.col("place") + 1
+    pages = places.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for page, found in pages.toLocalIterator():
+        at = (page - 1) * PAGE_BITS // 8
+        out[at : at + len(found)] = np.frombuffer(bytes(found), dtype=np.uint8)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def id_bucket(column: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number: the fixed split into learning and held-out rows."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % modulus

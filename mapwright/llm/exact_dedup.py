@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapwright.llm.common import free_name, rows, small_batches, stored, texts
+from mapwright.llm.common import free_name, has_bit, rows, set_bits, small_batches, stored
 
 #: Bits of the maps of repeated lengths and of repeated (length, beginning) keys; 2 MB and 16 MB whatever the input.
 LENGTH_BITS, PREFIX_BITS = 1 << 24, 1 << 27
 PREFIX_CHARS = 64
-PAGE_BITS = 32768  # of Spark's bitmap functions
 # The letters that are compared without case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,20 +35,8 @@ def slot(bits: int, *keys: Column) -> Column:
 
 def repeated(keyed: DataFrame, keys: list[str], bits: int) -> np.ndarray:
     """Bitmap of the slots of keys that more than one row has; at most ``bits / 8`` bytes reach the driver."""
-    place = slot(bits, *[F.col(k) for k in keys]) + 1
-    pages = (
-        keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    )
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for page, found in pages.toLocalIterator():
-        at = (page - 1) * PAGE_BITS // 8
-        out[at : at + len(found)] = np.frombuffer(bytes(found), dtype=np.uint8)
-    return out
-
-
-def has_bit(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    counted = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return set_bits(counted.select(slot(bits, *[F.col(k) for k in keys]).alias("place")), bits)
 
 
 def full_hashes(docs: DataFrame, text_col: str, everywhere: bool) -> tuple[DataFrame, str, str]:
@@ -119,6 +106,3 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document of the table, dropped ones too."""
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
-
-
-__all__ = ["digest", "drop_exact_duplicates", "exact_groups", "texts"]

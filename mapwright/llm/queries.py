@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import chat_format, exact_dedup, language_id, packing, sharding, token_counts, toxicity
+from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, packing, sharding, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
@@ -60,6 +60,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(id_bucket("doc_id", 4), F.lit(-1)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -76,7 +80,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_token_counts, op6_sharding, op7_language_id, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_token_counts, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql():
