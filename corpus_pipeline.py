@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mapwright.llm.common import stored, table
+from mapwright.llm import language_id
+from mapwright.llm.common import free_name, id_bucket, stored, table
+from mapwright.llm.decontamination import drop_contaminated
 from mapwright.llm.exact_dedup import drop_exact_duplicates
+from mapwright.llm.minhash_dedup import drop_near_duplicates
+from mapwright.llm.packing import pack
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter in the text, or no text) go; ``lang`` becomes the language that was found."""
+    model = language_id.fit(docs, F.coalesce(id_bucket("doc_id", 4), F.lit(-1)) != 2)
+    found = free_name(docs.columns, "found")
+    kept = language_id.predicted(docs, model, "text", found).where(F.col(found) != "und")
+    return kept.select(*[F.col(found).alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +27,36 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("minhash_near_dedup", near_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-#: The automata, minhash tables and tokenizers of the stages have no SQL form; tests hold the stages against brute force.
+#: Automata, minhash tables and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage for the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

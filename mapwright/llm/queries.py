@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, sharding, token_counts, toxicity
+from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, pii, sharding, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
@@ -43,6 +43,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -84,7 +89,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup)}
 
 
 def oracle_sql():
