@@ -106,6 +106,36 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, schema)
 
 
+class Recent(dict):
+    """Cache of ``make(key)`` in two generations: what was not asked for during a whole generation is forgotten."""
+
+    def __init__(self, make: Callable, size: int = 200_000, longest: int = 256):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+# The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up in order.
+_PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def byte_level(piece: str) -> str:
+    """A pre-token as the byte-level models see it."""
+    return piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+
+
 # Character classes of the plain alphabet, in which Python's and the libraries' classes agree.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 NUMBERS = "0-9²³¹¼-¾"

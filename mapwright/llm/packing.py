@@ -22,35 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import LETTERS, NOT_PLAIN, NUMBERS, SPACES, map_rows, small_batches, stored, texts
+from mapwright.llm.common import LETTERS, NOT_PLAIN, NUMBERS, SPACES, Recent, byte_level, map_rows, small_batches, stored, texts
 from mapwright.llm.token_counts import load, special_strings
 
 SEQUENCE, END_ID = 4096, 2
 #: Directions, and bits of each coordinate on the curve.
 DIMENSIONS, BITS = 3, 16
-CACHE_SIZE = 1 << 18
 LONG_TEXT = 1 << 20
 
 # The word pattern of the lower-casing tokenizer, written for the plain alphabet.
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-class Coded(dict):
-    """Word to its ids as little-endian bytes; a full cache starts anew."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(word) <= 256:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[word] = found
-        return found
-
-
 def encoder(path: str) -> Callable[[str], bytes]:
     """Ids of a whole text as unsigned 32-bit little-endian bytes, equal to the tokenizer's own."""
     tokenizer = load(path)
@@ -59,7 +42,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def whole(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    look = Coded(whole).__getitem__
+    model = tokenizer.model
+    look = Recent(lambda word: np.array([t.id for t in model.tokenize(byte_level(word))], dtype="<u4").tobytes()).__getitem__
 
     def encode(text: str) -> bytes:
         lowered = text.lower()
@@ -72,6 +56,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
+def id_width(path: str) -> int:
+    """Bytes that hold any id of the vocabulary (the end id included) while tokens are stored and moved."""
+    return 2 if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def signs(ids: np.ndarray) -> np.ndarray:
     """One pseudo-random sign for each id and direction."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -119,10 +108,11 @@ def curve_keys(coded: list[bytes], table: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row``, ``doc_id``, ``curve``, ``doc_tokens`` and ``ids``, written to the shared folder."""
+    """``row``, ``doc_id``, ``curve``, ``doc_tokens`` and ``ids`` (narrow if they fit), written to the shared folder."""
     small_batches(docs.sparkSession)
     narrow = texts(docs, id_col, text_col)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    width = id_width(path)
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def make():
         encode = encoder(path)
@@ -130,8 +120,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "d
 
         def work(batch: pa.RecordBatch) -> dict:
             coded = [encode(t) for t in batch.column(1).to_pylist()]
+            narrow = coded if width == 4 else [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded]
             sizes = np.array([len(c) // 4 + 1 for c in coded], np.int64)
-            return {"doc_id": batch.column(0), "curve": curve_keys(coded, table), "doc_tokens": sizes, "ids": pa.array([c + end for c in coded], pa.binary())}
+            return {"doc_id": batch.column(0), "curve": curve_keys(coded, table), "doc_tokens": sizes, "ids": pa.array([c + end for c in narrow], pa.binary())}
 
         return work
 
@@ -170,6 +161,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
     laid = tokens.select("row", "doc_id", "doc_tokens", "ids").join(places(tokens), "row").drop("row")
     kind = laid.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    width = id_width(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,7 +176,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
                 start = begin - at[row]
                 held = batch.column(2)
                 views = [memoryview(held[i].as_buffer()) for i in range(len(at))]
-                parts = [bytes(views[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), (end - begin).tolist(), strict=True)]
+                parts = [np.frombuffer(views[r][width * s : width * (s + n)], f"<u{width}").astype("<u4").tobytes() for r, s, n in zip(row.tolist(), start.tolist(), (end - begin).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end - begin), pa.array(parts, pa.binary()), pa.array(size[row]), pa.array(number), pa.array(begin - number * sequence)], names=names)
 
     return laid.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
