@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import has_bit, map_rows, set_bits, small_batches, texts
+from mapwright.llm.common import Recent, free_name, has_bit, map_rows, set_bits, small_batches, texts
 
 WINDOW, LITERALS = 8, 5
 #: A pair counts with this share of the item's windows, or with this many of them.
@@ -29,7 +29,6 @@ SHARE, ENOUGH = 0.5, 6
 #: Share of the item's exchanged values that must map to one value each.
 CONSISTENT = 0.75
 BITS = 1 << 27
-CACHE_SIZE = 1 << 18
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 LITERAL, NUMBER, UNIT, NAME, MARK = range(5)
 
@@ -50,31 +49,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Codes(dict):
-    """Token to its hash, with its kind in the lowest three bits."""
-
-    def __missing__(self, token: str) -> int:
-        lowered = token.lower()
-        if token in ".!?\n":
-            kind = MARK
-        elif token[0].isdigit():
-            kind = NUMBER
-        elif lowered in UNITS:
-            kind = UNIT
-        elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-            kind = NAME
-        else:
-            kind = LITERAL
-        data = lowered.encode("utf-8", "replace")
-        found = (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & ~7 | kind
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        if len(token) <= 64:
-            self[token] = found
-        return found
-
-
-def template(text: str, codes: Codes) -> tuple[list[str], np.ndarray, np.ndarray]:
+def code(token: str) -> int:
+    """The token's hash, with its kind in the lowest three bits."""
+    lowered = token.lower()
+    if token in ".!?\n":
+        kind = MARK
+    elif token[0].isdigit():
+        kind = NUMBER
+    elif lowered in UNITS:
+        kind = UNIT
+    elif len(token) > 1 and token[0].isupper() and token[1:].islower():
+        kind = NAME
+    else:
+        kind = LITERAL
+    data = lowered.encode("utf-8", "replace")
+    return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & ~7 | kind
+
+
+def template(text: str, codes: Recent) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All tokens, the places of the words among them, and the words' template hashes and kinds."""
     tokens = TOKEN.findall(text)
     coded = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
@@ -112,7 +104,7 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     narrow = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
 
     def make():
-        codes = Codes()
+        codes = Recent(code)
 
         def work(batch: pa.RecordBatch) -> dict:
             ids, starts, values, held, counts = [], [], [], [], []
@@ -137,7 +129,7 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     narrow = texts(docs, id_col, text_col).where("doc_id is not null")
 
     def make():
-        codes = Codes()
+        codes = Recent(code)
         bitmap = shared.value
 
         def work(batch: pa.RecordBatch) -> dict:
@@ -160,7 +152,7 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item: windows found, the item's windows, exchanged values and how many are consistent."""
-    items = item_windows(benchmark).persist()
+    items = item_windows(benchmark)
     found = document_windows(docs, items, id_col, text_col).distinct()
     met = found.join(items, "window").where(F.size("item_slots") == F.size("doc_slots"))
     pair = F.explode_outer(F.arrays_zip("item_slots", "doc_slots"))
@@ -180,7 +172,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return per_pair.where(enough & (F.col("consistent_slots") >= F.col("slots") * CONSISTENT))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    # By the text's digest: ids may repeat or be missing.
+    key, bad_key = free_name(docs.columns, "text_digest"), free_name(docs.columns, "bad_digest")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    bad = contaminated(keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), benchmark).select(F.col("doc_id").alias(bad_key)).distinct()
+    return keyed.join(bad, keyed[key] == bad[bad_key], "left_anti").select(*docs.columns)

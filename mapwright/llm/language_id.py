@@ -156,12 +156,13 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     """Automata from the rows where ``learn`` holds: per language the rows with the smallest text hash."""
     mark = F.xxhash64(F.col(text_col))
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
-    sample = (
-        labelled.select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), mark.alias("mark"))
-        .dropDuplicates(["lang", "mark"])
-        .withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).select("lang", "rank", "text")
-    )
+    # Hashes are ranked without their texts, and in each task first; then the chosen texts are fetched.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    marks = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark")).distinct()
+    marks = marks.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
+    chosen = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
+    chosen = chosen.join(F.broadcast(marks), ["lang", "mark"])  # SAMPLE_ROWS marks per language
+    sample = chosen.groupBy("lang", "rank").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[str]] = {}
     for lang, _, text in sorted(sample.collect()):  # at most SAMPLE_ROWS rows of SAMPLE_CHARS characters per language
         by_lang.setdefault(lang, []).append(text)

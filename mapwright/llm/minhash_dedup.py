@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import free_name, has_bit, map_rows, set_bits, small_batches, stored
+from mapwright.llm.common import Recent, free_name, has_bit, map_rows, set_bits, small_batches, stored
 from mapwright.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -40,7 +40,6 @@ BITS = 1 << 27
 #: standard errors below the threshold.
 BINS, CLOSE = 256, 0.63
 SPLIT = 4096
-CACHE_SIZE = 1 << 18
 BLOCK = 4096
 
 _seeds = np.random.RandomState(20240607)
@@ -54,17 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def shingles(text: str, words: Words) -> np.ndarray:
+def shingles(text: str, words: Recent) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
@@ -113,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     narrow = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def make():
-        words = Words()
+        words = Recent(xxhash.xxh64_intdigest)
 
         def work(batch: pa.RecordBatch) -> dict:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
@@ -156,7 +145,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     narrow = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(BITS)).alias("place"))
 
     def make():
-        words = Words()
+        words = Recent(xxhash.xxh64_intdigest)
 
         def work(batch: pa.RecordBatch) -> dict:
             chosen = batch.filter(pa.array(has_bit(shared.value, batch.column(1).to_numpy())))

@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup of pre-token lengths on the map side.
 
 The first tier is a compact table of frequent pre-tokens and their token counts, broadcast once and of bounded size. A miss
-goes to a cache in the worker and from there to the tokenizer. No pre-token is shuffled and every text is split whole, so
+goes to a cache in the worker and from there to the tokenizer's model. No pre-token is shuffled and every text is split whole, so
 the table changes only the speed. Texts with characters outside the plain alphabet, or with a special token's string,
 go to the tokenizer as they are.
 
@@ -19,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import LETTERS, NOT_PLAIN, NUMBERS, SPACES, lengths, map_rows, small_batches, texts
+from mapwright.llm.common import LETTERS, NOT_PLAIN, NUMBERS, SPACES, Recent, byte_level, lengths, map_rows, small_batches, texts
 
 #: Pre-tokens in the broadcast table, the bytes one may have there, and the rows it is made from.
 TABLE_SIZE, LONGEST, SAMPLE_ROWS = 1 << 15, 48, 2000
-#: Entries of a worker's cache; a full cache starts anew.
-CACHE_SIZE = 1 << 18
 #: From this many characters on, pre-tokens are not put into a list first.
 LONG_TEXT = 1 << 20
 
@@ -46,22 +44,14 @@ def special_strings(path: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Frequent pre-tokens first, then this worker's cache, then the tokenizer."""
+    """Frequent pre-tokens first, then this worker's cache, then the tokenizer's model."""
 
     def __init__(self, frequent: dict[str, int], encode: Callable[[str], int]):
         super().__init__(frequent)
-        self.seen: dict[str, int] = {}
-        self.encode = encode
+        self.look = Recent(encode).__getitem__
 
     def __missing__(self, piece: str) -> int:
-        found = self.seen.get(piece)
-        if found is None:
-            found = self.encode(piece)
-            if len(piece) <= 256:
-                if len(self.seen) >= CACHE_SIZE:
-                    self.seen.clear()
-                self.seen[piece] = found
-        return found
+        return self.look(piece)
 
 
 def frequent_pieces(docs: DataFrame, path: str, size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -104,7 +94,8 @@ def counter(path: str, frequent: dict[str, int]) -> Callable[[str], int]:
     tokenizer = load(path)
     special = re.compile("|".join(map(re.escape, special_strings(path))) or "(?!)")
     whole = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
-    look = Lengths(frequent, whole).__getitem__
+    model = tokenizer.model
+    look = Lengths(frequent, lambda piece: len(model.tokenize(byte_level(piece)))).__getitem__
 
     def count(text: str) -> int:
         if NOT_PLAIN.search(text) or special.search(text):

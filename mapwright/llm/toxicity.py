@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import map_rows, small_batches, texts
+from mapwright.llm.common import Recent, map_rows, small_batches, texts
 
 BUCKETS = 1 << 20
 FIT_ROWS = 40_000
@@ -32,8 +32,6 @@ PRIOR_TOKENS, ERRORS = 2000.0, 2.5
 #: Subtracted from every token's score, so that segments end soon after their last telling word.
 DRIFT = 0.25
 SIGNIFICANT = 0.5
-#: Scores a worker remembers.
-CACHE_SIZE = 1 << 18
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 LIST_CHARS = 1 << 22
 
@@ -42,23 +40,12 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) & (BUCKETS - 1)
 
 
-class Scores(dict):
+def scores_of(weights: np.ndarray) -> Recent:
     """Word to score through the hashed table."""
+    return Recent(lambda word: float(weights[bucket(word)]))
 
-    def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        found = float(self.weights[bucket(word)])
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-def token_scores(text: str, look: Scores) -> np.ndarray:
+def token_scores(text: str, look: Recent) -> np.ndarray:
     lowered = text.lower()
     words = WORD.findall(lowered) if len(lowered) < LIST_CHARS else (m.group() for m in WORD.finditer(lowered))
     return np.fromiter(map(look.__getitem__, words), np.float64)
@@ -184,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(model)
 
     def make_rating():
-        look = Scores(shared.value["weights"])
+        look = scores_of(shared.value["weights"])
 
         def rate(batch: pa.RecordBatch) -> dict:
             found = [(max((s for _, _, s in segments(x)), default=0.0), len(x)) for x in (token_scores(t, look) for t in batch.column(0).to_pylist())]
@@ -209,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def rating_maker(shared, small: dict):
     def make():
-        look = Scores(shared.value["weights"])
+        look = scores_of(shared.value["weights"])
 
         def rate(batch: pa.RecordBatch) -> dict:
             found = [evidence(token_scores(t, look), small)[:2] for t in batch.column(0).to_pylist()]
@@ -230,7 +217,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def make():
         model = shared.value
-        look = Scores(model["weights"])
+        look = scores_of(model["weights"])
 
         def work(batch: pa.RecordBatch) -> dict:
             found = []
