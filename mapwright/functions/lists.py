@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from mapwright.functions.constants import EMPTY_LIST_TOKENS
 from mapwright.functions.text import clean_token, text_or_empty
 
+QUOTED = r"\"[^\"]*\"|'[^']*'"
+
 # Order in which delimiters are tried per domain.
 DELIMITERS = {"movies": ["|", ","], "restaurants": [",", "|"], "music": ["|", ","]}
 
@@ -15,12 +17,14 @@ DELIMITERS = {"movies": ["|", ","], "restaurants": [",", "|"], "music": ["|", ",
 def parse_list(c: Column, domain: str) -> Column:
     """Distinct clean tokens of a list written as text.
 
-    A bracketed list is split on its commas; otherwise the first delimiter the domain
+    A bracketed list of quoted items gives the items, commas inside them kept; another
+    bracketed list is split on its commas; otherwise the first delimiter the domain
     knows that occurs in the text decides; music without one falls back to words.
     """
     t = F.trim(text_or_empty(c))
     bracketed = t.startswith("[") & t.endswith("]")
-    out = F.when(bracketed, F.split(t, ","))
+    out = F.when(t.rlike(rf"^\[\s*(?:{QUOTED})(?:\s*,\s*(?:{QUOTED}))*\s*,?\s*\]$"), F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)))
+    out = out.when(bracketed, F.split(t, ","))
     for mark in DELIMITERS.get(domain, []):
         out = out.when(F.contains(t, F.lit(mark)), F.split(t, "\\" + mark))
     if domain == "music":

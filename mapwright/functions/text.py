@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Latin letters with accents and the plain letters they become.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# What titles lose before they are compared. Their order decides which titles are linked.
+CLOSING_YEAR = r"\s*\(\d{4}\)\s*$"
+CLOSING_YEARS = r"\s*\(\d{4}(?:\s*[-–—]\s*\d{0,4})?\)\s*$"
+CLOSING_NUMERAL = r"(?i)\s+\([ivxlcdm]+\)\s*$"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -40,13 +44,12 @@ def first_year(title: Column) -> Column:
 
 
 def strip_title_year(title: Column) -> Column:
-    return F.trim(F.regexp_replace(title, r"\s*\(\d{4}\)\s*$", ""))
+    return F.trim(F.regexp_replace(title, CLOSING_YEAR, ""))
 
 
 def strip_review_title(title: Column) -> Column:
     """Drop a closing year or year range, then a closing roman numeral."""
-    t = F.regexp_replace(F.trim(title), r"\s*\(\d{4}(?:\s*[-–—]\s*\d{0,4})?\)\s*$", "")
-    return F.trim(F.regexp_replace(t, r"(?i)\s+\([ivxlcdm]+\)\s*$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(title), CLOSING_YEARS, ""), CLOSING_NUMERAL, ""))
 
 
 def match_key(title: Column) -> Column:
@@ -54,16 +57,26 @@ def match_key(title: Column) -> Column:
     t = F.lower(F.trim(text_or_empty(title)))
     t = F.translate(t, "–—−’‘“”", "---''\"\"")
     t = F.regexp_replace(t, "&", "and")
-    t = F.regexp_replace(t, r"(?i)\s+\([ivxlcdm]+\)\s*$", "")
+    t = F.regexp_replace(t, CLOSING_NUMERAL, "")
     t = F.regexp_replace(t, r"[^a-z0-9\s]", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    """Compatibility decomposition without its combining marks."""
+    return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def strip_accents(c: Column) -> Column:
+    """Letters without accents, in any script. Spark has no function for it, so texts go to Python in Arrow batches."""
+    return _decomposed(text_or_empty(c))
+
+
 def search_key(title: Column) -> Column:
-    """Accent-free lower-case key for looking a name up."""
-    t = F.regexp_replace(text_or_empty(title), r"\s*\(\d{4}\)\s*$", "")
-    t = F.lower(F.translate(t, ACCENTED, PLAIN))
-    return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
+    """Accent-free lower-case key for looking a name up. Call it on distinct titles where titles repeat."""
+    t = F.regexp_replace(text_or_empty(title), CLOSING_YEAR, "")
+    return F.trim(F.regexp_replace(F.lower(strip_accents(t)), r"[^a-z0-9]+", " "))
 
 
 def label_text(c: Column) -> Column:

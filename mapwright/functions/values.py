@@ -19,8 +19,13 @@ def to_double(c: Column) -> Column:
 
 
 def to_int(c: Column) -> Column:
-    """Whole part of the number, null when it is none."""
-    return F.when(F.abs(to_double(c)) < 2147483648.0, to_double(c)).cast("int")
+    """Whole part of the number as a 64-bit integer, null when it is none or does not fit.
+
+    Whole numbers go straight to integers, so no digit is lost on the way.
+    """
+    t = F.trim(c.cast("string"))
+    d = to_double(c)
+    return F.coalesce(t.try_cast("bigint"), F.when(F.abs(d) < 9.2e18, d).cast("bigint"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -37,10 +42,21 @@ def zero_to_null(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
-def id_key(c: Column) -> Column:
-    """Text key: nulls blank, whole floats lose their decimals."""
+def id_key(c: Column, variant: str = "text") -> Column:
+    """Text key of an id; nulls become blank.
+
+    ``variant``: 'trim' takes the text as it is, 'typed' also writes whole floats without decimals or exponent, 'text'
+    does so for texts such as "12.0" too.
+    """
     t = F.trim(F.coalesce(c.cast("string"), F.lit("")))
-    return F.regexp_replace(t, r"^([+-]?\d+)\.0+$", "$1")
+    if variant == "trim":
+        return t
+    # The type is known when the plan is made, so this test costs nothing.
+    number = c.try_cast("double")
+    whole = F.typeof(c).isin("double", "float") & (F.floor(number) == number) & (F.abs(number) < 9.2e18)
+    typed = F.when(whole, number.try_cast("bigint").cast("string"))
+    rest = F.regexp_replace(t, r"^([+-]?\d+)\.0+$", "$1") if variant == "text" else t
+    return F.coalesce(typed, rest)
 
 
 def global_id(domain: Column, source_id: Column) -> Column:

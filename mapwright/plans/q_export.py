@@ -18,11 +18,12 @@ FNV = """CAST(list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transfo
       lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS INTEGER)"""
 
 
-@query("s01_csv_scan", "SELECT CAST(movie_id AS INTEGER) AS movieId, title, genres FROM movies")
+@query("s01_csv_scan", """SELECT CAST(movie_id AS INTEGER) AS movieId, concat('"The", ', title) AS title, genres, CAST(NULL AS DOUBLE) AS rating FROM movies""")
 def s01(t):
     path = storage.scratch_folder(t.spark, "csv")
-    t.movies.select(F.col("movie_id").cast("int").alias("movieId"), "title", "genres").write.csv(path, header=True)
-    return readers.read_csv(t.spark, path, readers.MOVIES)
+    # Columns in another order than the schema's, quoted commas and quotes, and a number that is none.
+    t.movies.select(F.lit("NaN").alias("rating"), "genres", F.concat(F.lit('"The", '), "title").alias("title"), F.col("movie_id").cast("int").alias("movieId")).write.csv(path, header=True, quote='"', escape='"')
+    return readers.read_csv(t.spark, path, f"{readers.MOVIES}, rating double")
 
 
 @query("s02_json_lines_scan", "SELECT business_id, name, categories, stars, CAST(review_count AS INTEGER) AS review_count FROM business")
@@ -32,15 +33,16 @@ def s02(t):
     return readers.read_json_lines(t.spark, path, readers.BUSINESS).select("business_id", "name", "categories", "stars", "review_count")
 
 
-@query("s03_json_array_scan", "SELECT CAST(c_custkey AS VARCHAR) AS review_id, c_name AS reviewer, c_mktsegment AS movie FROM customer")
+@query("s03_json_array_scan", """SELECT CAST(c_custkey AS VARCHAR) AS review_id, concat('} {', c_name, '"') AS reviewer, c_mktsegment AS movie FROM customer""")
 def s03(t):
-    """Many files with one JSON array each, landed as parquet."""
+    """Files with a JSON array each and files with objects one after another, landed as parquet."""
     path = storage.scratch_folder(t.spark, "arrays")
     rows = t.customer.select(
         F.floor(F.col("c_custkey") / 500).alias("file"),
-        F.struct(F.col("c_custkey").cast("string").alias("review_id"), F.col("c_name").alias("reviewer"), F.col("c_mktsegment").alias("movie")).alias("r"))
-    arrays = rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value"))
-    arrays.write.partitionBy("file").text(path)
+        F.struct(F.col("c_custkey").cast("string").alias("review_id"), F.concat(F.lit("} {"), "c_name", F.lit('"')).alias("reviewer"), F.col("c_mktsegment").alias("movie")).alias("r"))
+    arrays = rows.where("file % 2 = 0").groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value"))
+    objects = rows.where("file % 2 = 1").groupBy("file").agg(F.array_join(F.collect_list(F.to_json("r")), " ").alias("value"))
+    arrays.unionByName(objects).write.partitionBy("file").text(path)
     raw = readers.read_json_array(t.spark, f"{path}/file=*", readers.RAW_MOVIE_REVIEW)
     return readers.land(raw, storage.scratch_folder(t.spark, "landed")).select("review_id", "reviewer", "movie")
 
@@ -151,12 +153,12 @@ def k16(t):
                     F.contains("prompt", F.lit("shared feeling")).alias("asks_for_feeling"))
 
 
-@query("s14_prompt_export", "SELECT count(DISTINCT cluster) AS prompts FROM map_items WHERE cluster >= 0")
+@query("s14_prompt_export", """SELECT DISTINCT 'movies_music_restaurants_feel' AS map_id, CAST(cluster AS INTEGER) AS cluster_id, true AS names_cluster, true AS closed FROM map_items WHERE cluster >= 0""")
 def s14(t):
     path = storage.scratch_folder(t.spark, "prompts")
     writers.write_prompts(records(t), path)
     back = t.spark.read.schema("map_id string, cluster_id int, prompt string").json(path)
-    return back.where("length(prompt) > 100").agg(F.count_distinct("cluster_id").alias("prompts"))
+    return back.select("map_id", "cluster_id", F.contains("prompt", F.format_string('"cluster_id":%d', "cluster_id")).alias("names_cluster"), F.rtrim("prompt").rlike(r"[.\}\]]$").alias("closed"))
 
 
 @query("s15_versions", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3")

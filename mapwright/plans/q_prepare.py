@@ -215,13 +215,12 @@ def j04(t):
 
 
 @query("p14_category_and_tips", """
-    SELECT business_id, CAST(length(coalesce(tx, '')) AS INTEGER) AS tip_chars, concat(coalesce(categories, ''), ' ', left(coalesce(tx, ''), 2)) AS head
+    SELECT business_id, CAST(length(coalesce(tx, '')) AS INTEGER) AS tip_chars, md5(concat(coalesce(categories, ''), ' ', coalesce(tx, ''))) AS text_hash
     FROM business LEFT JOIN
       (SELECT business_id, string_agg(text, ' ' ORDER BY ord, line, price) AS tx FROM tips GROUP BY 1) g USING (business_id)""")
 def p14(t):
     own = tagged_business(t)
-    head = F.substring("tags_text", 1, F.length("tags_text") - F.length("tip_text") + 2)
-    return own.select("business_id", F.length("tip_text").alias("tip_chars"), head.alias("head"))
+    return own.select("business_id", F.length("tip_text").alias("tip_chars"), F.md5("tags_text").alias("text_hash"))
 
 
 @query("j05_one_to_one_scores", """

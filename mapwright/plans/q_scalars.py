@@ -57,20 +57,25 @@ def p05(t):
 
 
 @query("p06_search_key", """
-    SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS key_hash
-    FROM documents WHERE lang IN ('en', 'fr', 'es')""")
+    SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', ' ', 'g'))) AS key_hash
+    FROM (SELECT doc_id, concat(text, ' Dvořák Ştefan Łódź Ångström Ệ') AS x FROM documents)""")
 def p06(t):
-    docs = t.documents.where(F.col("lang").isin("en", "fr", "es"))
-    return docs.select("doc_id", F.md5(T.search_key(F.col("text"))).alias("key_hash"))
+    text = F.concat("text", F.lit(" Dvořák Ştefan Łódź Ångström Ệ"))
+    return t.documents.select("doc_id", F.md5(T.search_key(text)).alias("key_hash"))
 
 
 @query("p07_id_key", """
-    SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS from_float, CAST(o_orderkey AS VARCHAR) AS from_text,
-      '' AS from_null FROM orders""")
+    SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS from_float, CAST(12345678 + o_orderkey * 10000019 AS VARCHAR) AS from_large,
+      CAST(o_orderkey AS VARCHAR) AS from_text, concat(o_orderkey, '.00') AS typed_text, CAST(o_orderkey AS VARCHAR) AS typed_float,
+      concat(o_orderkey, '.00') AS trimmed, '' AS from_null FROM orders""")
 def p07(t):
     return t.orders.select(
         "o_orderkey",
-        V.id_key(F.col("o_custkey").cast("double").cast("decimal(20,1)")).alias("from_float"),
+        V.id_key(F.col("o_custkey").cast("double")).alias("from_float"),
+        V.id_key((F.col("o_orderkey") * 10000019 + 12345678).cast("double")).alias("from_large"),
+        V.id_key(F.concat(F.lit(" "), F.col("o_orderkey"), F.lit(".00 ")), "typed").alias("typed_text"),
+        V.id_key(F.col("o_orderkey").cast("double"), "typed").alias("typed_float"),
+        V.id_key(F.concat(F.lit(" "), F.col("o_orderkey"), F.lit(".00 ")), "trim").alias("trimmed"),
         V.id_key(F.concat(F.lit(" "), F.col("o_orderkey"), F.lit(".00 "))).alias("from_text"),
         V.id_key(F.lit(None).cast("string")).alias("from_null"))
 
@@ -226,12 +231,12 @@ def p24(t):
 
 
 @query("p25_safe_casts", """
-    SELECT event_id, value AS d, CAST(trunc(value) AS INTEGER) AS i, CAST(NULL AS DOUBLE) AS bad,
+    SELECT event_id, value AS d, CAST(trunc(value) AS BIGINT) AS i, 3000000000 + event_id * 1000000007 AS large, CAST(NULL AS DOUBLE) AS bad,
       CAST(NULL AS DOUBLE) AS endless FROM events""")
 def p25(t):
     return t.events.select(
         "event_id", V.to_double(F.concat(F.lit(" "), "value")).alias("d"),
-        V.to_int(F.col("value")).alias("i"), V.to_double(F.col("event_type")).alias("bad"),
+        V.to_int(F.col("value")).alias("i"), V.to_int((F.lit(3000000000) + F.col("event_id") * 1000000007).cast("string")).alias("large"), V.to_double(F.col("event_type")).alias("bad"),
         V.to_double(F.when(F.col("value") > 50, "inf").otherwise("NaN")).alias("endless"))
 
 
@@ -242,15 +247,16 @@ def p26(t):
 
 
 @query("p27_list_to_set", f"""
-    WITH s AS (SELECT id, CASE WHEN categories IS NULL THEN [] WHEN contains(categories, '|')
+    WITH s AS (SELECT id, CASE WHEN categories IS NULL THEN [] WHEN contains(id, 'music:') THEN [concat('a ', title, ', b'), 'c'] WHEN contains(categories, '|')
         THEN string_split(categories, '|') WHEN contains(categories, ',') THEN string_split(categories, ',')
         ELSE [categories] END AS parts FROM map_items)
     SELECT id, array_to_string(list_sort(list_distinct(list_transform(parts, lambda p: lower(trim(p))))), ',') AS tokens FROM s""")
 def p27(t):
     from mapwright.functions.lists import parse_list
 
-    tokens = parse_list(F.col("categories"), "movies")
-    return t.map_items.select("id", F.array_join(F.array_sort(tokens), ",").alias("tokens"))
+    quoted = F.concat(F.lit("['a "), F.col("title"), F.lit(", b', \"c\"]"))
+    text = F.when(F.col("categories").isNotNull() & F.contains("id", F.lit("music:")), quoted).otherwise(F.col("categories"))
+    return t.map_items.select("id", F.array_join(F.array_sort(parse_list(text, "movies")), ",").alias("tokens"))
 
 
 @query("p28_shard_hash", """
@@ -327,10 +333,9 @@ def p36(t):
 
 @query("p37_naming_tokens", f"""
     SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z][a-z\\-'']{{2,}}'),
-      lambda w: NOT list_contains([{sql_list(K.NAMING_STOPWORDS)}], w))) AS INTEGER) AS n FROM documents WHERE lang = 'en'""")
+      lambda w: NOT list_contains([{sql_list(K.NAMING_STOPWORDS)}], w))) AS INTEGER) AS n FROM documents""")
 def p37(t):
-    docs = t.documents.where("lang = 'en'")
-    return docs.select("doc_id", F.size(T.naming_tokens(F.col("text"), K.NAMING_STOPWORDS)).alias("n"))
+    return t.documents.select("doc_id", F.size(T.naming_tokens(F.col("text"), K.NAMING_STOPWORDS)).alias("n"))
 
 
 @query("p38_label_text", """

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mapwright.functions.values import to_double, to_int
 
-from mapwright.functions.values import to_int
+#: What stands between the objects of a file.
+BETWEEN = " \t\r\n,[]\ufeff"
 
 # Columns of the raw files.
 MOVIES = "movieId int, title string, genres string"
@@ -25,19 +33,70 @@ RAW_MOVIE_REVIEW = (
     "spoiler_tag int, review_detail string, helpful array<string>")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header CSV with quoted multi-line fields kept whole and NaN as null."""
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, nanValue="")
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV bound by column name, whatever the order of the columns; NaN and unreadable numbers become null.
+
+    The files of one path share a header. Files stay splittable unless ``multi_line`` says that quoted fields may hold
+    line breaks. A column of the schema that no file has is an error.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
+    wanted = T.StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+
+    def typed(field: T.StructField) -> Column:
+        c = raw[field.name]
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return to_double(c).cast(field.dataType)
+        return c if isinstance(field.dataType, T.StringType) else F.trim(c).try_cast(field.dataType)
+
+    return raw.select(*[typed(f).alias(f.name) for f in wanted])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every object of files that hold an array of objects, objects one after another, or both: ``file`` and ``record``.
+
+    Files are read in splits as pieces that end at a closing brace. The pieces of a file are put in order and run
+    through one task, which holds no more than the object it is reading. This is a landing step: store the result.
+    """
+    pieces = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    ordered = pieces.repartition("file").sortWithinPartitions("file", "block", "place").select("file", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, current, rest = json.JSONDecoder(), None, ""
+        for batch in batches:
+            files, records = [], []
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != current:
+                    if rest.strip(BETWEEN):
+                        raise ValueError(f"{current} ends inside an object")
+                    current, rest = file, ""
+                rest = (rest + piece).lstrip(BETWEEN)
+                if not rest:
+                    continue
+                try:
+                    end = decoder.raw_decode(rest + "}")[1]
+                except ValueError:  # a brace inside a text or a nested object: the record goes on
+                    rest += "}"
+                    continue
+                files.append(file), records.append((rest + "}")[:end])
+                rest = (rest + "}")[end:]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(records, pa.string())], names=["file", "record"])
+        if rest.strip(BETWEEN):
+            raise ValueError(f"{current} ends inside an object")
+
+    return ordered.mapInArrow(run, "file string, record string")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that hold one JSON array each. A file is read by one task, so this is a
-    landing step: store the result as parquet before anything else."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Files of arrays or of objects one after another, with the columns of the schema."""
+    return json_records(spark, path).select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
 def land(df: DataFrame, path: str) -> DataFrame:
@@ -59,7 +118,7 @@ def _first_path(df: DataFrame, paths: list[str]) -> Column:
             kind = kind[part].dataType
         if ok:
             found.append(F.col(path))
-    return F.coalesce(*[to_int(c) for c in found]) if found else F.lit(None).cast("int")
+    return F.coalesce(*[to_int(c) for c in found]).cast("int") if found else F.lit(None).cast("int")
 
 
 def read_map_items(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
