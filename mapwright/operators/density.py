@@ -1,22 +1,32 @@
-"""Density clusters on the map from a grid of cells."""
+"""Density clusters on the map from a grid of cells.
+
+The grid is set by the data: as many cells as make a neighbourhood of nine hold ``min_samples`` items on average over
+the middle of the map, times ``contrast``. A cell is dense by its share of the items, so the same shape gives the same
+clusters whatever the number of rows; far outliers do not widen the cells.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapwright.operators.histogram import exact_percentiles
 from mapwright.sources.storage import use_checkpoint_dir
 
-MAX_ROUNDS = 60
+#: Share of the items left out on either side when the map's extent is taken.
+TAIL = 0.01
 
 
-def to_cells(items: DataFrame, resolution: int) -> DataFrame:
-    """Items with their cell on a square grid over the map's extent."""
-    box = items.agg(F.struct(
-        F.min("x").alias("x0"), F.min("y").alias("y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))).scalar()
-    side = F.when(F.col("_b.span") > 0, F.col("_b.span") / resolution).otherwise(F.lit(1.0))
-    out = items.withColumn("_b", box)
+def to_cells(items: DataFrame, min_samples: int, contrast: float) -> DataFrame:
+    """Items with their cell on a square grid."""
+    long = items.select(F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("p")).select("p.*")
+    cuts = exact_percentiles(long, ["axis"], "v", [TAIL, 1 - TAIL])
+    span = cuts.agg(F.struct(
+        F.max(F.when(F.col("axis") == "x", F.col("p0"))).alias("x0"), F.max(F.when(F.col("axis") == "y", F.col("p0"))).alias("y0"),
+        F.max(F.col("p1") - F.col("p0")).alias("span"))).scalar()
+    count = items.agg(F.count(F.lit(1))).scalar()
+    out = items.withColumn("_b", span)
+    side = F.when(F.col("_b.span") > 0, F.col("_b.span") / F.greatest(F.lit(1.0), F.floor(F.sqrt(count * F.lit(9.0 / (contrast * min_samples)))))).otherwise(F.lit(1.0))
     return out.withColumn("cx", F.floor((F.col("x") - F.col("_b.x0")) / side)).withColumn(
         "cy", F.floor((F.col("y") - F.col("_b.y0")) / side)).drop("_b")
 
@@ -25,21 +35,20 @@ def components(cells: DataFrame) -> DataFrame:
     """Connected groups among cells (cx, cy), eight neighbours each; ``label`` is the
     smallest cell number of the group.
 
-    There are at most resolution^2 cells however many items the map holds. Each round
-    takes the smallest label around a cell and then jumps to that label's own label, so
-    long shapes settle in few rounds. Rounds are checkpointed: lineage stays short and a
-    lost executor costs one round.
+    Each round takes the smallest label around a cell and then jumps to that label's own
+    label, so long shapes settle in few rounds; rounds go on until nothing changes. They
+    are checkpointed: lineage stays short and a lost executor costs one round.
     """
     spark = cells.sparkSession
     use_checkpoint_dir(spark)
-    number = F.col("cx") * F.lit(1 << 20).cast("bigint") + F.col("cy")
+    number = F.col("cx") * F.lit(1 << 31).cast("bigint") + F.col("cy")
     nodes = cells.select("cx", "cy", number.alias("cell")).checkpoint()
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     around = nodes.select("cell", "cx", "cy", F.explode(steps).alias("s"))
-    far = (F.col("cx") + F.col("s.dx")) * F.lit(1 << 20).cast("bigint") + F.col("cy") + F.col("s.dy")
+    far = (F.col("cx") + F.col("s.dx")) * F.lit(1 << 31).cast("bigint") + F.col("cy") + F.col("s.dy")
     edges = around.select("cell", far.alias("other")).join(nodes.select(F.col("cell").alias("other")), "other").checkpoint()
     labels = nodes.select("cell", F.col("cell").alias("label"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = edges.join(labels.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(F.min("label").alias("m"))
         step = labels.join(seen, "cell", "left").select("cell", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
         jump = step.select(F.col("cell").alias("next"), F.col("next").alias("jump"))
@@ -48,16 +57,16 @@ def components(cells: DataFrame) -> DataFrame:
         labels = moved.select("cell", F.col("next").alias("label"))
         if not changed:
             return labels.join(nodes, "cell")
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def density_clusters(items: DataFrame, min_cluster_size: int = 150, min_samples: int = 20, resolution: int = 128) -> DataFrame:
+def density_clusters(items: DataFrame, min_cluster_size: int = 150, min_samples: int = 20, contrast: float = 1.0) -> DataFrame:
     """Add ``cluster``: dense neighbouring cells form a cluster, the rest is noise (-1).
 
-    A cell is dense when it and its eight neighbours hold ``min_samples`` items. Clusters
-    are numbered by size, ties by their smallest cell.
+    A cell is dense when it and its eight neighbours hold ``min_samples`` items; ``contrast``
+    is how many times the average density that is. Clusters are numbered by size, ties by
+    their smallest cell.
     """
-    placed = to_cells(items, resolution)
+    placed = to_cells(items, min_samples, contrast)
     counts = placed.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     spread = counts.withColumn("s", F.explode(steps)).select(

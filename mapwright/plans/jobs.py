@@ -38,14 +38,14 @@ def fused_vectors(ids: DataFrame, pieces: DataFrame, reviews: DataFrame, share:
     return both.select("id", fusion.concat_fusion(F.col("embedding"), F.col("review_embedding"), share).alias("embedding"))
 
 
-def lay_out(entities: DataFrame, vectors: DataFrame, min_cluster_size: int, min_samples: int, resolution: int = 128,
+def lay_out(entities: DataFrame, vectors: DataFrame, min_cluster_size: int, min_samples: int, contrast: float = 1.0,
             words: DataFrame | None = None) -> DataFrame:
     """Positions, density clusters and region labels for the entities that have a vector.
 
     ``words`` (id, text) gives the labels where the entities carry no macro category.
     """
     placed = stored(entities.join(reduce.layout_2d(stored(vectors, "vectors"), "id"), "id"), "placed")
-    clustered = stored(density.density_clusters(placed, min_cluster_size, min_samples, resolution), "clustered")
+    clustered = stored(density.density_clusters(placed, min_cluster_size, min_samples, contrast), "clustered")
     described = clustered
     if words is not None:
         described = clustered.select("id", "cluster").join(words, "id", "left").select("cluster", F.col("text").alias("semantic_text"))

@@ -166,16 +166,16 @@ def v13(t):
 
 
 @query("v14_density_clusters", """
-    WITH RECURSIVE b AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) / 32 AS side FROM places),
+    WITH RECURSIVE b AS (SELECT quantile_cont(x, 0.01) AS x0, quantile_cont(y, 0.01) AS y0, greatest(quantile_cont(x, 0.99) - quantile_cont(x, 0.01), quantile_cont(y, 0.99) - quantile_cont(y, 0.01)) / floor(sqrt(count(*) * (9.0 / 24))) AS side FROM places),
     p AS (SELECT id, CAST(floor((x - x0) / side) AS BIGINT) AS cx, CAST(floor((y - y0) / side) AS BIGINT) AS cy FROM places, b),
-    c AS (SELECT cx, cy, cx * 1048576 + cy AS cell, count(*) AS n FROM p GROUP BY 1, 2),
+    c AS (SELECT cx, cy, cx * 2147483648 + cy AS cell, count(*) AS n FROM p GROUP BY 1, 2),
     d AS (SELECT a.cx, a.cy, a.cell, a.n FROM c a JOIN c o ON abs(a.cx - o.cx) <= 1 AND abs(a.cy - o.cy) <= 1 GROUP BY ALL HAVING sum(o.n) >= {S}),
     reach AS (SELECT cell AS a, cell AS z, cx, cy FROM d UNION SELECT r.a, d.cell, d.cx, d.cy FROM reach r JOIN d ON abs(r.cx - d.cx) <= 1 AND abs(r.cy - d.cy) <= 1),
     g AS (SELECT z AS cell, min(a) AS label FROM reach GROUP BY 1),
     s AS (SELECT label, row_number() OVER (ORDER BY sum(n) DESC, label) - 1 AS cluster FROM g JOIN d USING (cell) GROUP BY 1 HAVING sum(n) >= 40)
-    SELECT id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM p LEFT JOIN g ON p.cx * 1048576 + p.cy = g.cell LEFT JOIN s USING (label)""".replace("{S}", "24"))
+    SELECT id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM p LEFT JOIN g ON p.cx * 2147483648 + p.cy = g.cell LEFT JOIN s USING (label)""".replace("{S}", "24"))
 def v14(t):
-    out = density.density_clusters(t.places, min_cluster_size=40, min_samples=24, resolution=32)
+    out = density.density_clusters(t.places, min_cluster_size=40, min_samples=24)
     return out.select("id", "cluster")
 
 

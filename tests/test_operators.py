@@ -132,7 +132,7 @@ def test_density_clusters_follow_long_shapes(spark):
     blob = [(f"b{i}", 50 + (i % 5) * 0.1, 60 + (i // 5) * 0.1) for i in range(50)]
     far = [("lonely", 0.0, 99.0)]
     df = spark.createDataFrame(snake + blob + far, "id string, x double, y double")
-    got = {r.id: r.cluster for r in density.density_clusters(df, 20, 4, 64).collect()}
+    got = {r.id: r.cluster for r in density.density_clusters(df, 20, 4).collect()}
     assert len(got) == 251 and {got[f"s{i}"] for i in range(200)} == {0}
     assert {got[f"b{i}"] for i in range(50)} == {1} and got["lonely"] == -1
 
