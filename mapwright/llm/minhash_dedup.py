@@ -8,8 +8,9 @@ tables need only ``2 * GROUPS * ROWS`` minhashes. At similarity 0.75 a pair shar
    (a bitmap of repeated groups, of fixed size); dropping the other keys loses nothing.
 2. In each bucket every node is compared with the bucket's first node; confirmed links are joined to components.
 3. Buckets that still hold different components are searched whole: pairs of different components are compared by
-   a sketch inside the task, and only the close ones, each in its first shared table, go to confirmation. So a large
-   group of near copies costs its members, not its pairs. Buckets above ``SPLIT`` are first divided by sketch groups.
+   a sketch inside the task, and only the close ones, each in its first shared table, go to confirmation: first each
+   node's closest, then, between what is still apart, all. So a large group of near copies costs its members, not its
+   pairs. Buckets above ``SPLIT`` are first divided by triples of sketch bins.
 4. Components are joined again over all confirmed links; no link, node or component reaches the driver.
 
 Words are maximal runs without white space after A-Z are lower-cased. A text with fewer words than a shingle is one shingle;
@@ -38,8 +39,10 @@ ROWS, GROUPS = 3, 14
 BITS = 1 << 27
 #: Bins of the sketch, and the least share of equal bins for a pair to be confirmed on its sets: more than four
 #: standard errors below the threshold.
-BINS, CLOSE = 256, 0.63
-SPLIT = 4096
+BIN_BITS, CLOSE = 10, 0.69
+BINS = 1 << BIN_BITS
+#: Nodes of a bucket that are compared directly; larger ones are divided by triples of bins first.
+SPLIT, TRIPLES = 4096, 40
 BLOCK = 4096
 
 _seeds = np.random.RandomState(20240607)
@@ -83,10 +86,10 @@ def groups(hashes: np.ndarray) -> np.ndarray:
 def sketch(hashes: np.ndarray) -> bytes:
     """The smallest hash of each bin as a byte, 0 in an empty bin."""
     spread = np.sort(mixed(hashes + np.uint64(0x5851F42D4C957F2D)))
-    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
     at = np.searchsorted(spread, edges)
     smallest = spread[np.minimum(at, len(spread) - 1)]
-    full = (at < len(spread)) & (smallest >> np.uint64(56) == np.arange(BINS, dtype=np.uint64))
+    full = (at < len(spread)) & (smallest >> np.uint64(64 - BIN_BITS) == np.arange(BINS, dtype=np.uint64))
     return np.where(full, mixed(smallest) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
 
 
@@ -181,49 +184,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.where(both * 100 >= (F.size("members_u") + F.size("members_v") - both) * PERCENT).select("u", "v")
 
 
-def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Close pairs of different components that share a bucket."""
+def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarray, marks: np.ndarray, table: int) -> Iterator[tuple[int, int, float]]:
+    """Positions of the close pairs of different components among nodes that share group ``table`` of the first collection.
+
+    Only nodes that share a group of the second collection too are compared, and only in the first table they share.
+    """
+    for second in range(GROUPS):
+        order = np.argsort(group[:, GROUPS + second], kind="stable")
+        edges = np.flatnonzero(np.diff(group[order, GROUPS + second])) + 1
+        for bucket in np.split(order, edges):
+            if len(bucket) < 2 or (root[bucket] == root[bucket[0]]).all():
+                continue
+            blocks, several = [bucket], len(bucket) > SPLIT
+            if several:  # nodes that agree in a triple of bins; a close pair agrees in some of them
+                blocks = []
+                for t in range(TRIPLES):
+                    value = marks[bucket, 3 * t].astype(np.int64) << 16 | marks[bucket, 3 * t + 1].astype(np.int64) << 8 | marks[bucket, 3 * t + 2]
+                    by = np.argsort(value, kind="stable")
+                    blocks += [bucket[x] for x in np.split(by, np.flatnonzero(np.diff(value[by])) + 1) if len(x) > 1]
+            seen: set[tuple[int, int]] = set()
+            for block in blocks:
+                for x, i in enumerate(block[:-1].tolist()):
+                    rest = block[x + 1 :]
+                    rest = rest[root[rest] != root[i]]
+                    rest = rest[np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * PERCENT]
+                    if len(rest):
+                        equal = group[rest] == group[i]
+                        rest = rest[(equal[:, :GROUPS].argmax(axis=1) == table) & (equal[:, GROUPS:].argmax(axis=1) == second)]
+                    if len(rest):
+                        close = closeness(marks[i], marks[rest])
+                        for j, c in zip(rest[close >= CLOSE].tolist(), close[close >= CLOSE].tolist(), strict=True):
+                            if several:
+                                pair = (min(i, j), max(i, j))
+                                if pair in seen:
+                                    continue
+                                seen.add(pair)
+                            yield i, j, c
+
+
+def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """Close pairs of different components that share a bucket; ``nearest``: for each node of a task's group only its closest.
+
+    A node goes out once for each group of the first collection, with its groups of the second: at most ``GROUPS`` rows in
+    place of one for each bucket.
+    """
     spark = buckets.sparkSession
     labelled = buckets.join(label.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rows = labelled.join(torn, "key", "left_semi").select("node", "root", F.expr(f"place div {GROUPS}").cast("int").alias("first")).distinct()
     detail = nodes.select("node", "groups", F.col("n_shingles").alias("n")).join(sets.select("node", "sketch"), "node")
-    rows = labelled.join(torn, "key", "left_semi").join(detail, "node")
+    rows = rows.join(detail, "node").withColumn("key", F.get("groups", F.col("first")))
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "place", "node", "root", "n", "groups", "sketch").repartition(number, "key").sortWithinPartitions("key", "node")
-
-    def compare(bucket: list[tuple]) -> Iterator[tuple[int, int]]:
-        place = bucket[0][0]
-        node, root, size = (np.array([b[k] for b in bucket], np.int64) for k in (1, 2, 3))
-        group = np.array([b[4] for b in bucket], np.int64)
-        marks = np.frombuffer(b"".join(b[5] for b in bucket), np.uint8).reshape(-1, BINS)
-        if len(bucket) <= SPLIT:
-            blocks = [np.arange(len(bucket))]
-        else:  # nodes that agree in three bins; a close pair agrees in some of the triples
-            blocks = []
-            for t in range(BINS // 3):
-                value = marks[:, 3 * t].astype(np.int64) << 16 | marks[:, 3 * t + 1].astype(np.int64) << 8 | marks[:, 3 * t + 2]
-                order = np.argsort(value, kind="stable")
-                blocks += [b for b in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(b) > 1]
-        seen: set[tuple[int, int]] = set()
-        for block in blocks:
-            for x, i in enumerate(block[:-1]):
-                rest = block[x + 1 :]
-                rest = rest[root[rest] != root[i]]
-                rest = rest[np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * PERCENT]
-                if not len(rest):
-                    continue
-                rest = rest[closeness(marks[i], marks[rest]) >= CLOSE]
-                if len(rest):  # only in the first table that the pair shares
-                    equal = group[rest] == group[i]
-                    first = equal[:, :GROUPS].argmax(axis=1) * GROUPS + equal[:, GROUPS:].argmax(axis=1)
-                    for j in rest[first == place].tolist():
-                        pair = (int(min(node[i], node[j])), int(max(node[i], node[j])))
-                        if pair not in seen:
-                            seen.add(pair)
-                            yield pair
+    dealt = rows.select("key", "first", "node", "root", "n", "groups", "sketch").repartition(number, "key").sortWithinPartitions("key", "node")
+
+    def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        node, root, size = (np.array([b[k] for b in held], np.int64) for k in (1, 2, 3))
+        group = np.array([b[4] for b in held], np.int64)
+        marks = np.frombuffer(b"".join(b[5] for b in held), np.uint8).reshape(-1, BINS)
+        found = nearby(node, root, size, group, marks, held[0][0])
+        if nearest:
+            best: dict[int, tuple[float, int]] = {}
+            for i, j, c in found:
+                for a, b in ((i, j), (j, i)):
+                    if a not in best or (c, -int(node[b])) > (best[a][0], -int(node[best[a][1]])):
+                        best[a] = (c, b)
+            found = ((a, b, c) for a, (c, b) in best.items())
+        for i, j, _ in found:
+            yield int(min(node[i], node[j])), int(max(node[i], node[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket, out = None, [], []
+        key, held, out = None, [], []
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
@@ -231,15 +261,15 @@ def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, sets: Da
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    if len(bucket) > 1:
-                        out += compare(bucket)
-                    key, bucket = k, []
-                bucket.append(tuple(row))
+                    if len(held) > 1:
+                        out += compare(held)
+                    key, held = k, []
+                held.append(tuple(row))
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
-        if len(bucket) > 1:
-            out += compare(bucket)
+        if len(held) > 1:
+            out += compare(held)
         if out:
             yield batch_of(out)
 
@@ -260,8 +290,11 @@ def labelled_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = buckets.where("leader <> node").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
     links = stored(confirmed(stars, sets), "minhash-links")
     label = components(links)
-    more = stored(confirmed(cross_pairs(buckets.select("key", "place", "node"), label, nodes, sets), sets), "minhash-more")
-    label = components(links.unionByName(more)).withColumnRenamed("u", "node")
+    for nearest in (True, False):  # closest pairs join most of what belongs together; then nothing is left out
+        found = cross_pairs(buckets.select("key", "place", "node"), label, nodes, sets, nearest)
+        links = links.unionByName(stored(confirmed(found, sets), "minhash-more"))
+        label = components(links)
+    label = label.withColumnRenamed("u", "node")
     return signed.select("doc_id", "text_hash", "n_shingles", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
