@@ -41,8 +41,9 @@ def resolve_names(names: DataFrame, items: DataFrame, defined: Column, title: st
     """Best item per queried name: same key first, else a key holding it; defined items
     first, then by id.
 
-    Substrings are found through an equi join on the opening letters of the query and the
-    letter runs of the titles, so no list of names has to fit in memory.
+    Substrings are found through an equi join on one run of letters of the query, the one that
+    the fewest titles hold, so a query with a common beginning meets few titles and no list of
+    names has to fit in memory.
     """
     queries = names.select("name", search_key(F.col("name")).alias("query_key")).where("length(query_key) >= 2").distinct()
     keyed = items.withColumn("item_key", search_key(F.col(title))).withColumn("_defined", F.coalesce(defined, F.lit(False)))
@@ -56,7 +57,13 @@ def resolve_names(names: DataFrame, items: DataFrame, defined: Column, title: st
         F.transform(starts, lambda i: F.substring(F.col("item_key"), i, F.lit(2))),
         F.transform(starts, lambda i: F.substring(F.col("item_key"), i, F.lit(3)))))
     runs = best.where("length(item_key) >= 2").select("item_key", "best", F.explode(grams).alias("gram"))
-    part = rest.withColumn("gram", F.substring("query_key", 1, 3)).join(runs, "gram").where(
+    width = F.least(F.length("query_key"), F.lit(3))
+    own = F.transform(F.sequence(F.lit(1), F.length("query_key") - width + 1), lambda i: F.substring(F.col("query_key"), i, width))
+    asked = rest.select("name", "query_key", F.explode(F.array_distinct(own)).alias("gram"))
+    used = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.join(used, "gram", "left").groupBy("name", "query_key").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    part = rare.join(runs, "gram").where(
         F.col("item_key").contains(F.col("query_key"))).select("name", F.lit(1).alias("level"), "best")
     hits = exact.unionByName(part).groupBy("name").agg(F.min(F.struct("level", "best")).alias("hit"))
     return hits.select("name", F.col("hit.best.id").alias("id"), F.col("hit.level").alias("level"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.functions.constants import FUSION_WEIGHTS
@@ -15,6 +15,7 @@ from mapwright.functions.values import sample_score
 from mapwright.operators import blocked as BL
 from mapwright.operators import clusters as C
 from mapwright.operators.neighbors import knn_join
+from mapwright.operators.ranking import places
 from mapwright.operators.sampling import sample, sample_per_class
 
 
@@ -86,8 +87,12 @@ def _mixing_from_pairs(pairs: DataFrame, labels: DataFrame, classes: int) -> Dat
         "qid", "own", "vote", entropy.alias("entropy"), (1 - same / F.col("k")).alias("cross_share"))
 
 
-def label_mixing(items: DataFrame, label: Column, k: int = 15, max_reference: int = 30000, query_per_class: int = 2000, seed: int = 42) -> DataFrame:
-    """One row on how strongly the labels separate on the map; nulls below two classes."""
+def label_mixing(items: DataFrame, label: Column, k: int = 15, max_reference: int | None = None, query_per_class: int | None = None, seed: int = 42) -> DataFrame:
+    """One row on how strongly the labels separate on the map; nulls below two classes.
+
+    Every labelled item is a candidate and a query. ``max_reference`` and ``query_per_class`` ask for samples instead;
+    the row says how many items took part.
+    """
     points = items.select("id", "x", "y", label.cast("string").alias("label")).where("label IS NOT NULL")
     classes = points.select("label").distinct().count()
     names = ["knn_accuracy", "knn_balanced_accuracy", "chance_accuracy", "local_entropy", "cross_label_neighbor_share"]
@@ -95,8 +100,8 @@ def label_mixing(items: DataFrame, label: Column, k: int = 15, max_reference: in
         empty = [F.lit(None).cast("double").alias(n) for n in names]
         return points.agg(F.count(F.lit(1)).alias("reference_items"), F.lit(0).cast("bigint").alias("query_items")).select(
             *empty, "reference_items", "query_items")
-    reference = sample_per_class(points, "id", "label", max(2, max_reference // classes), seed)
-    queries = sample_per_class(reference, "id", "label", query_per_class, seed + 1)
+    reference = points if max_reference is None else sample_per_class(points, "id", "label", max(2, max_reference // classes), seed)
+    queries = reference if query_per_class is None else sample_per_class(reference, "id", "label", query_per_class, seed + 1)
     q = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.lit("all").alias("part"))
     r = reference.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit("all").alias("part"))
     pairs = knn_join(q, r, k)
@@ -116,8 +121,11 @@ def _mixing_row(per: DataFrame, reference: DataFrame, classes: int) -> DataFrame
     return out.withColumn("reference_items", reference.agg(F.count(F.lit(1))).scalar())
 
 
-def source_space_mixing(items: DataFrame, vector: str, label: Column, k: int = 15, max_reference: int = 5000, query_per_class: int = 2000, seed: int = 42) -> DataFrame:
-    """Label mixing among nearest neighbours in the space the map was made from."""
+def source_space_mixing(items: DataFrame, vector: str, label: Column, max_reference: int, query_per_class: int, k: int = 15, seed: int = 42) -> DataFrame:
+    """Label mixing among nearest neighbours in the space the map was made from.
+
+    Works on samples of the sizes asked for, because it looks at all their pairs; the row says how many took part.
+    """
     points = items.select("id", F.col(vector).cast("array<double>").alias("vector"), label.cast("string").alias("label")).where("label IS NOT NULL")
     classes = points.select("label").distinct().count()
     per_class = max(2, max_reference // max(classes, 1))
@@ -137,16 +145,16 @@ def source_space_mixing(items: DataFrame, vector: str, label: Column, k: int = 1
     return _mixing_row(_mixing_from_pairs(pairs, reference, classes), reference, classes)
 
 
-def random_pairs(items: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` repeatable pairs of different items.
+def random_pairs(items: DataFrame, key: str, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Repeatable pairs of different items, one for each item; ``n`` keeps the first so many.
 
-    Two bounded samples in independent hash orders are matched place by place; a pair of
-    an item with itself moves on to the next place.
+    All items in two independent hash orders are matched place by place; a pair of an
+    item with itself moves on to the next place.
     """
     def ordered(s):
         scored = items.select(F.col(key).alias("id"), sample_score(s, F.col(key)).alias("score"))
-        top = scored.orderBy("score", "id").limit(n)
-        return top.withColumn("place", F.row_number().over(Window.orderBy("score", "id")))
+        placed = places(scored, "score", "id")
+        return placed if n is None else placed.where(F.col("place") <= n)
 
     left, right = ordered(seed), ordered(seed + 1)
     size = right.agg(F.count(F.lit(1))).scalar()
@@ -157,15 +165,15 @@ def random_pairs(items: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
     return moved.select("id", other.alias("other")).where("id <> other")
 
 
-def semantic_coherence(items: DataFrame, tokens: Column, macro: Column, k: int = 15, queries: int = 5000, pairs: int = 100000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def semantic_coherence(items: DataFrame, tokens: Column, macro: Column, k: int = 15, queries: int | None = None, pairs: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Neighbours against random pairs: shared tokens and equal macro labels.
 
-    Returns the summary row and the per-query detail. Every item is a candidate; only the
-    queries are sampled, as the metric asks for.
+    Returns the summary row and the per-query detail. Every item is a candidate and a query;
+    ``queries`` and ``pairs`` ask for samples instead.
     """
     facts = items.select("id", "x", "y", tokens.alias("tokens"), macro.alias("macro"))
     facts = facts.where(F.size("tokens") > 0)
-    q = sample(facts, "id", queries, seed)
+    q = facts if queries is None else sample(facts, "id", queries, seed)
     ask = q.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.lit("all").alias("part"))
     ref = facts.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit("all").alias("part"))
     near = knn_join(ask, ref, k)

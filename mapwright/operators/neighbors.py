@@ -13,6 +13,8 @@ Queries of a crowded tile are split into chunks, each with its own copy of the t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,53 +25,62 @@ from mapwright.sources.storage import spread, use_checkpoint_dir
 
 TILE_ROWS = 2000
 MAX_CUTS = 1024
-
-_PAIR = "array<struct<d2:double,rid:string>>"
-
+_FOUND = "qid string, part string, qx double, qy double, tile bigint, kth double, rid string, d2 double, rank bigint"
 
 class Tiling:
     """Strip and cell edges per candidate set."""
 
     def __init__(self, sets: dict[str, tuple[np.ndarray, list[np.ndarray]]]):
-        self.sets, self.offsets, at = {}, {}, 0
+        self.sets, at = {}, 0
         for name, (x_edges, y_edges) in sets.items():
-            starts = []
-            for edges in y_edges:
-                starts.append(at)
-                at += len(edges) + 1
-            self.sets[name] = (x_edges, y_edges, starts)
+            sizes = np.array([len(e) for e in y_edges])
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            starts = at + begin[:-1] + np.arange(len(sizes))
+            self.sets[name] = (x_edges, np.concatenate([*y_edges, [np.inf]]), begin, starts)
+            at += int(sizes.sum()) + len(sizes)
         self.tiles = at
 
+    def _cells(self, name: str, strip: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Place of each y among the edges of its strip, all rows searched together."""
+        _, flat, begin, _ = self.sets[name]
+        low, high = begin[strip].copy(), begin[strip + 1].copy()
+        while np.any(low < high):
+            mid = (low + high) // 2
+            open_, right = low < high, flat[mid] <= y
+            low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
+        return low - begin[strip]
+
     def tile_of(self, part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Tile of each point; -1 where the candidate set does not exist."""
         out = np.full(len(part), -1, dtype="int64")
-        for name, (x_edges, y_edges, starts) in self.sets.items():
+        for name, (x_edges, _, _, starts) in self.sets.items():
             rows = np.nonzero(part == name)[0]
-            if not len(rows):
-                continue
             strip = np.searchsorted(x_edges, x[rows], side="right")
-            flat = np.concatenate([*y_edges, [np.inf]])
-            begin = np.concatenate([[0], np.cumsum([len(e) for e in y_edges])])
-            low, high, value = begin[strip].copy(), begin[strip + 1].copy(), y[rows]
-            while np.any(low < high):
-                mid = (low + high) // 2
-                open_, right = low < high, flat[mid] <= value
-                low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
-            out[rows] = np.asarray(starts)[strip] + (low - begin[strip])
+            out[rows] = starts[strip] + self._cells(name, strip, y[rows])
         return out
 
-    def touched(self, name: str, x: float, y: float, radius: float, own: int) -> list[int]:
-        """Other tiles within ``radius`` of the point; a little more is harmless."""
-        x_edges, y_edges, starts = self.sets[name]
+    def touched(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and the other tiles within each row's radius; a little more is harmless."""
         reach = radius * (1 + 1e-9) + 1e-12
-        first = int(np.searchsorted(x_edges, x - reach, side="right"))
-        last = int(np.searchsorted(x_edges, x + reach, side="right"))
-        out = []
-        for s in range(first, last + 1):
-            low = int(np.searchsorted(y_edges[s], y - reach, side="right"))
-            high = int(np.searchsorted(y_edges[s], y + reach, side="right"))
-            out.extend(t for t in range(starts[s] + low, starts[s] + high + 1) if t != own)
-        return out
+        rows_out, tiles_out = [], []
+        for name, (x_edges, _, _, starts) in self.sets.items():
+            rows = np.nonzero(part == name)[0]
+            first = np.searchsorted(x_edges, x[rows] - reach[rows], side="right")
+            rows, strip = _ranges(rows, first, np.searchsorted(x_edges, x[rows] + reach[rows], side="right"))
+            low = self._cells(name, strip, y[rows] - reach[rows])
+            high = self._cells(name, strip, y[rows] + reach[rows])
+            rows, tile = _ranges(rows, starts[strip] + low, starts[strip] + high)
+            keep = tile != own[rows]
+            rows_out.append(rows[keep])
+            tiles_out.append(tile[keep])
+        return np.concatenate(rows_out), np.concatenate(tiles_out)
+
+
+def _ranges(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from first to last beside its row."""
+    count = last - first + 1
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(rows, count), np.repeat(first, count) + at
 
 
 def _even_edges(grid: list[float], parts: int) -> np.ndarray:
@@ -108,12 +119,15 @@ def build_tiling(refs: DataFrame, tile_rows: int) -> Tiling:
     return Tiling({p: (x_edges[p], cells[p]) for p in x_edges})
 
 
-def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> list[list[dict]]:
-    """k nearest rows of ``r`` for each row of ``q``, own id left out, ties by id."""
+def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """k nearest rows of ``r`` for each row of ``q``, own id left out, ties by id.
+
+    Flat arrays: row of ``q``, id, squared distance and rank.
+    """
     r = r.sort_values("id", kind="stable")
     rx, ry, rid = r["x"].to_numpy(), r["y"].to_numpy(), r["id"].to_numpy()
     index = pd.Index(rid)
-    out: list[list[dict]] = []
+    parts = []
     for start in range(0, len(q), 512):
         block = q.iloc[start : start + 512]
         dx = block["x"].to_numpy()[:, None] - rx[None, :]
@@ -127,12 +141,10 @@ def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> list[list[dict]]:
         dist = d2[rows, cols]
         order = np.lexsort((cols, dist, rows))
         rows, cols, dist = rows[order], cols[order], dist[order]
-        starts = np.searchsorted(rows, np.arange(len(block)))
-        ends = np.searchsorted(rows, np.arange(len(block)), side="right")
-        for a, b in zip(starts, ends):
-            b = min(b, a + k)
-            out.append([{"d2": float(d), "rid": rid[c]} for d, c in zip(dist[a:b], cols[a:b])])
-    return out
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+        keep = rank <= k
+        parts.append((rows[keep] + start, rid[cols[keep]], dist[keep], rank[keep]))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
 def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int) -> DataFrame:
@@ -150,13 +162,23 @@ def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int) -> Dat
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
         asks, cand = group[group["is_query"]], group[~group["is_query"]]
-        found = _nearest(asks, cand, k) if len(cand) else [[] for _ in range(len(asks))]
+        n = len(asks)
+        if n and len(cand):
+            rows, rid, d2, rank = _nearest(asks, cand, k)
+        else:
+            rows, rid, d2, rank = np.zeros(0, int), np.zeros(0, object), np.zeros(0), np.zeros(0, int)
+        # A query without a hit keeps one row, so that it can look further.
+        none = np.setdiff1d(np.arange(n), rows)
+        kth = np.full(n, np.inf)
+        kth[rows[rank == k]] = d2[rank == k]
+        rows = np.concatenate([rows, none])
+        take = lambda c: asks[c].to_numpy()[rows]
         return pd.DataFrame({
-            "qid": asks["id"].to_numpy(), "part": asks["part"].to_numpy(), "qx": asks["x"].to_numpy(),
-            "qy": asks["y"].to_numpy(), "tile": asks["tile"].to_numpy(), "found": found})
+            "qid": take("id"), "part": take("part"), "qx": take("x"), "qy": take("y"), "tile": take("tile"), "kth": kth[rows],
+            "rid": np.concatenate([rid, np.full(len(none), None, object)]), "d2": np.concatenate([d2, np.full(len(none), np.inf)]),
+            "rank": np.concatenate([rank, np.ones(len(none), int)])})
 
-    return spread(q.unionByName(r), "tile", "chunk").groupBy("tile", "chunk").applyInPandas(
-        kernel, f"qid string, part string, qx double, qy double, tile bigint, found {_PAIR}")
+    return spread(q.unionByName(r), "tile", "chunk").groupBy("tile", "chunk").applyInPandas(kernel, _FOUND)
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -179,26 +201,22 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
     tiled = kept.withColumn("tile", tile_of("part", "rx", "ry"))
     asked = queries.withColumn("tile", tile_of("part", "qx", "qy")).where("tile >= 0")
     first = _search(asked, tiled, k, 2 * tile_rows)
-    best = first.select("qid", "part", "found")
+    best = first.where("rid IS NOT NULL").select("qid", "part", "rid", "d2", "rank")
     if tiling.tiles > len(tiling.sets):
         # Both the second round and the merge read this stage: run it once.
         first = first.checkpoint()
-        best = first.select("qid", "part", "found")
-        full = F.size("found") >= k
-        radius = F.when(full, F.sqrt(F.col("found")[k - 1]["d2"])).otherwise(F.lit(float("inf")))
 
-        @F.pandas_udf("array<bigint>")
-        def touched(part: pd.Series, x: pd.Series, y: pd.Series, r: pd.Series, own: pd.Series) -> pd.Series:
-            t = shared.value
-            return pd.Series([t.touched(*row) for row in zip(part, x, y, r, own)])
+        def look_around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows, tile = shared.value.touched(f["part"].to_numpy(), f["qx"].to_numpy(), f["qy"].to_numpy(), np.sqrt(f["kth"].to_numpy()), f["tile"].to_numpy())
+                yield f[["qid", "part", "qx", "qy"]].iloc[rows].assign(tile=tile)
 
-        others = first.withColumn("r", radius).select(
-            "qid", "part", "qx", "qy", F.explode(touched("part", "qx", "qy", "r", "tile")).alias("tile"))
-        more = _search(others, tiled, k, 2 * tile_rows).select("qid", "part", "found")
-        merged = F.array_sort(F.flatten(F.collect_list("found")))
-        best = best.unionByName(more).groupBy("qid", "part").agg(F.slice(merged, 1, k).alias("found"))
-    return best.select("qid", "part", F.posexplode("found").alias("pos", "hit")).select(
-        "qid", "part", F.col("hit.rid").alias("rid"), F.sqrt("hit.d2").alias("distance"), (F.col("pos") + 1).alias("rank"))
+        asks = first.where("rank = 1").select("qid", "part", "qx", "qy", "tile", "kth")
+        others = asks.mapInPandas(look_around, "qid string, part string, qx double, qy double, tile bigint")
+        more = _search(others, tiled, k, 2 * tile_rows)
+        both = first.unionByName(more).where("rid IS NOT NULL").select("qid", "part", "rid", "d2")
+        best = top_per_group(both, ["qid", "part"], [F.col("d2"), F.col("rid")], k)
+    return best.select("qid", "part", "rid", F.sqrt("d2").alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
 def nearest_items(items: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -218,12 +236,13 @@ def nearest_by_label(items: DataFrame, label: Column, k: int, relation: str = "a
     values = labelled.where("_label IS NOT NULL").select(F.col("_label").alias("part")).distinct()
     r = labelled.where("_label IS NOT NULL").select(
         F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("_label").alias("part"))
-    every = values.agg(F.sort_array(F.collect_set("part"))).scalar()
-    q = labelled.select(
-        F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), "_label", F.explode(every).alias("part"))
+    q = labelled.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), "_label")
     if relation == "same":
-        q = q.where("part = _label")
-    elif relation == "other":
+        return knn_join(q.where("_label IS NOT NULL").withColumnRenamed("_label", "part"), r, k, tile_rows)
+    # The result has rows for every item and label, so the items are put beside all labels.
+    every = values.agg(F.sort_array(F.collect_set("part"))).scalar()
+    q = q.withColumn("part", F.explode(every))
+    if relation == "other":
         q = q.where("_label IS NULL OR part <> _label")
     return knn_join(q.drop("_label"), r, k, tile_rows)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mapwright.functions.constants import MAX_SIZE, MIN_SIZE, SIZE_STRENGTH
 from mapwright.operators.histogram import attach_ranks, exact_percentiles
+from mapwright.sources.storage import use_checkpoint_dir
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -91,3 +92,20 @@ def size_quantile_levels(df: DataFrame, size: str = "visual_size") -> DataFrame:
     return out.withColumn("far", F.col(size) >= F.col("_q.p0")).withColumn(
         "middle", F.col(size) >= F.col("_q.p1")).withColumn(
         "near", F.col("middle") & (F.col(size) >= near)).drop("_q")
+
+
+def places(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``place``, 1, 2, ... in the order given, without one task that sees all rows.
+
+    Rows are sorted in ranges and stored; the place in a range and the sizes of the ranges before it make the number.
+    The order should be unique.
+    """
+    use_checkpoint_dir(df.sparkSession)
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(number, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each range, as many as there are shuffle partitions.
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = ranged.join(F.broadcast(starts.drop("_n")), "_part")
+    return joined.withColumn("place", F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")

@@ -48,6 +48,21 @@ def e01_cluster(t):
     return rounded(M.label_mixing(t.map_items, F.col("cluster").cast("string"), K))
 
 
+SAMPLED_SQL = f"""
+    p AS (SELECT id, x, y, domain AS label FROM map_items QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5(concat('42|', id)), id) <= 120 // 3),
+    a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(concat('43|', id)), id) <= 20),
+    d AS (SELECT a.id AS q, a.label AS own, b.label, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS rn FROM a JOIN p b ON a.id <> b.id),
+    c AS (SELECT q, own, label, count(*) AS n FROM d WHERE rn <= {K} GROUP BY 1, 2, 3),
+    s AS (SELECT q, own, arg_min(label, (-n, label)) AS vote, 1 - coalesce(sum(n) FILTER (label = own), 0) / {K} AS c FROM c GROUP BY 1, 2)"""
+
+
+@query("e01_sampled_mixing", f"""
+    WITH {SAMPLED_SQL} SELECT R6(avg(CAST(vote = own AS INTEGER))) AS knn_accuracy, R6(avg(c)) AS cross_label_neighbor_share, count(*) AS query_items, (SELECT count(*) FROM p) AS reference_items FROM s""")
+def e01_sampled(t):
+    out = M.label_mixing(t.map_items, F.col("domain"), K, max_reference=120, query_per_class=20)
+    return out.select(r6("knn_accuracy").alias("knn_accuracy"), r6("cross_label_neighbor_share").alias("cross_label_neighbor_share"), "query_items", "reference_items")
+
+
 VEC = "[" + ", ".join(FEEL_DIMENSIONS) + "]"
 
 
@@ -60,7 +75,7 @@ VEC = "[" + ", ".join(FEEL_DIMENSIONS) + "]"
     SELECT R6(avg(CAST(vote = own AS INTEGER))) AS knn_accuracy, R6(avg(c)) AS cross_label_neighbor_share, count(*) AS query_items FROM s""")
 def e01_source(t):
     items = t.map_items.withColumn("v", F.array(*FEEL_DIMENSIONS))
-    out = M.source_space_mixing(items, "v", F.col("domain"), K)
+    out = M.source_space_mixing(items, "v", F.col("domain"), 5000, 2000, K)
     return out.select(r6("knn_accuracy").alias("knn_accuracy"), r6("cross_label_neighbor_share").alias("cross_label_neighbor_share"), "query_items")
 
 
@@ -155,7 +170,7 @@ TOK = """CASE WHEN categories IS NULL THEN [] WHEN contains(categories, '|') THE
       WHEN contains(categories, ',') THEN string_split(lower(categories), ', ') ELSE [lower(categories)] END"""
 COHERENCE_SQL = f"""
     f AS (SELECT id, x, y, {TOK} AS tok, macro_genre AS m FROM map_items WHERE categories IS NOT NULL),
-    q AS (SELECT id FROM f ORDER BY md5(concat('42|', id)), id LIMIT 5000),
+    q AS (SELECT id FROM f),
     d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS rn,
       len(list_intersect(a.tok, b.tok)) / len(list_distinct(a.tok || b.tok)) AS j, CAST(a.m = b.m AS INTEGER) AS same FROM f a JOIN q USING (id) JOIN f b ON a.id <> b.id),
     l AS (SELECT id, row_number() OVER (ORDER BY md5(concat('42|', id)), id) AS p FROM f), r AS (SELECT id, row_number() OVER (ORDER BY md5(concat('43|', id)), id) AS p FROM f),
@@ -188,7 +203,7 @@ def e07(t):
 
 @query("j14_random_pairs", f"WITH {COHERENCE_SQL} SELECT a AS id, b AS other FROM z")
 def j14(t):
-    return M.random_pairs(t.map_items.where("categories IS NOT NULL"), "id", 100000)
+    return M.random_pairs(t.map_items.where("categories IS NOT NULL"), "id")
 
 
 @query("e08_projection_fidelity")
