@@ -39,8 +39,14 @@ def concat_fusion(a: Column, b: Column, share: float) -> Column:
 
 
 def additive_fusion(a: Column, b: Column, share: float) -> Column:
-    """Weighted sum where both are known, the known one otherwise, with length one."""
+    """Weighted sum where both are known, the known one otherwise, with length one.
+
+    Vectors of unequal size, and known vectors that cancel each other out, are errors.
+    """
     total = F.zip_with(VX.doubles(a), VX.doubles(b), lambda x, y: x * (1 - share) + y * share)
+    unequal = F.size(a) != F.size(b)
+    total = F.when(unequal, F.raise_error(F.lit("the vectors have unequal sizes")).cast("array<double>")).otherwise(total)
+    total = F.when(VX.norm(total) == 0, F.raise_error(F.lit("the vectors cancel each other out")).cast("array<double>")).otherwise(total)
     both = VX.norm(a).__gt__(0) & VX.norm(b).__gt__(0)
     return VX.unit(F.when(both, total).when(VX.norm(a) > 0, VX.doubles(a)).otherwise(VX.doubles(b)))
 
@@ -72,12 +78,6 @@ def fuse_modalities(base: DataFrame, reviews: DataFrame, size: int, share: float
     ).withColumn("semantic_source", source_label(F.col("source_code"))).drop("base_embedding", "review_embedding")
 
 
-def cancelled_vectors(fused: DataFrame) -> DataFrame:
-    """Contract check, must be empty: known entities whose parts sum to nothing."""
-    known = F.col("has_base_semantics") | F.col("has_review_semantics")
-    return fused.where(known & (VX.norm(F.col("embedding")) == 0))
-
-
 def modality_coverage(fused: DataFrame) -> DataFrame:
     """Entities and percent per domain and source, zero cells kept."""
     counts = fused.groupBy("domain").pivot("semantic_source", SOURCE_LABELS).count().na.fill(0)

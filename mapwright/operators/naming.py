@@ -138,7 +138,14 @@ def name_problems(names: DataFrame) -> DataFrame:
 
 
 def apply_names(items: DataFrame, names: DataFrame) -> DataFrame:
-    """Put the names on their clusters; noise keeps its label."""
+    """Put the names on their clusters; noise keeps its label.
+
+    Clusters without a name, names without a cluster, blank names and names given twice are errors.
+    """
+    wrong = name_coverage(items, names).select(F.concat_ws(" ", "problem", "cluster").alias("what")).unionByName(
+        name_problems(names).select(F.concat_ws(" ", "problem", "key").alias("what"))).first()
+    if wrong is not None:
+        raise ValueError(f"names do not fit the map: {wrong['what']}")
     joined = items.join(names.select("cluster", "name"), "cluster", "left")
     named = F.when(F.col("cluster") >= 0, F.col("name")).otherwise(F.col("cluster_label"))
     return joined.withColumn("cluster_label", named).drop("name").select(*items.columns)

@@ -189,14 +189,21 @@ def filter_restaurants(df: DataFrame, min_reviews: int = 20) -> DataFrame:
 
 
 def union_domains(parts: dict[str, DataFrame]) -> DataFrame:
-    """Stack domains with differing columns under a global id ``domain:source_id``."""
+    """Stack domains with differing columns under a global id ``domain:source_id``; an id that repeats is an error."""
     out = None
     for domain, df in parts.items():
         df = df.withColumn("domain", F.lit(domain)).withColumn(
             "source_id", V.id_key(F.col("source_id"))).withColumn(
             "id", V.global_id(F.col("domain"), F.col("source_id")))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return unique(out, "id")
+
+
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """The rows themselves; a key that repeats raises inside the task that meets it."""
+    copies = F.count(F.lit(1)).over(Window.partitionBy(key))
+    guard = F.when(copies > 1, F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("_once", guard).where("_once").drop("_once")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

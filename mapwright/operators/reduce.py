@@ -18,6 +18,8 @@ from mapwright.sources.storage import spread, use_checkpoint_dir
 
 # Random directions beyond the wanted ones, and passes that sharpen them.
 OVERSAMPLE, PASSES = 10, 5
+# Most used terms a reduction works on, unless the caller says otherwise; it bounds the matrices on the driver.
+VOCABULARY_LIMIT = 5000
 CHUNK_ROWS = 256
 
 
@@ -52,12 +54,14 @@ def _sum_over_rows(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.
         if total is not None:
             yield pd.DataFrame({"line": np.arange(len(total)), "vals": list(total)})
 
-    sums = rows.select("positions", "weights").mapInPandas(run, "line bigint, vals array<double>")
+    # As many tasks as run at once: each sends one matrix, so fewer tasks move less.
+    few = rows.select("positions", "weights").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    sums = few.mapInPandas(run, "line bigint, vals array<double>")
     lines = sums.groupBy("line").agg(vector_to_array(Summarizer.sum(array_to_vector("vals"))).alias("v")).collect()
     return np.array([r["v"] for r in sorted(lines, key=lambda r: r["line"])])
 
 
-def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256, limit: int = tfidf.VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
+def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256, limit: int = VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
     """Randomised truncated SVD of the weighted term counts in a fixed number of passes.
 
     Only the vocabulary and vocabulary-by-component matrices come to the driver; both are
@@ -112,7 +116,7 @@ def project_svd(counts: DataFrame, fitted: FittedSvd, ids: DataFrame, key: str)
 
 
 def embed_texts(docs: DataFrame, ids: DataFrame, key: str, text: str, stopwords, components: int = 256,
-                limit: int = tfidf.VOCABULARY_LIMIT) -> tuple[DataFrame, FittedSvd]:
+                limit: int = VOCABULARY_LIMIT) -> tuple[DataFrame, FittedSvd]:
     """Fit and project in one go; texts are tokenised once and the counts checkpointed."""
     use_checkpoint_dir(docs.sparkSession)
     counts = tfidf.term_counts(docs, key, text, stopwords).checkpoint()

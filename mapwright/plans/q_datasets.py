@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mapwright.functions.constants import FEEL_DIMENSIONS, NAMING_STOPWORDS
+from mapwright.functions.constants import ENGLISH_STOPWORDS, FEEL_DIMENSIONS
 from mapwright.functions.values import global_id
 from mapwright.operators.ranking import percentile_size
 from mapwright.plans import jobs
@@ -61,31 +61,31 @@ def shown(df):
 
 @query("c01_movie_map")
 def c01(t):
-    return shown(jobs.domain_map(movies(t), pieces(t, "movies"), movie_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(movies(t), pieces(t, "movies"), movie_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
 
 
 @query("c02_music_map")
 def c02(t):
-    return shown(jobs.domain_map(artists(t), pieces(t, "music"), music_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(artists(t), pieces(t, "music"), music_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
 
 
 @query("c03_restaurant_map")
 def c03(t):
-    return shown(jobs.domain_map(restaurants(t), pieces(t, "restaurants"), restaurant_reviews(t), NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.domain_map(restaurants(t), pieces(t, "restaurants"), restaurant_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
 
 
 @query("c04_movies_music_map")
 def c04(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t))
     parts = {"movies": movies(t), "music": artists(t)}
-    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY))
 
 
 @query("c05_three_domain_map")
 def c05(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t)).unionByName(restaurant_reviews(t))
     parts = {"movies": movies(t), "music": artists(t), "restaurants": restaurants(t)}
-    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, NAMING_STOPWORDS, **DENSITY))
+    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY))
 
 
 def feel_inputs(t, domains):

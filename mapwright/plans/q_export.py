@@ -102,8 +102,11 @@ def s10(t):
 def s11(t):
     path = storage.scratch_folder(t.spark, "shards")
     writers.write_shards(t.map_items.select("domain", "source_id", "title", "popularity"), path)
-    back = t.spark.read.schema("source_id string, title string, popularity double, domain string, shard int").json(path)
-    return X.shard_sizes(back, "domain", "source_id")
+    items, index = writers.read_shards(t.spark, path, "source_id string, title string, popularity double")
+    # What lies in the folders against what the index promises.
+    held = items.groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("held"))
+    same = F.when(F.col("count") == F.coalesce("held", F.lit(0)), F.col("count"))
+    return index.join(held, ["domain", "shard"], "left").select("domain", "shard", same.alias("count"))
 
 
 @query("s12_manifest", f"""
@@ -210,7 +213,7 @@ def c09(t):
     full = details.join(samples.select("id", "reviews"), "id", "left")
     path = storage.scratch_folder(t.spark, "details")
     writers.write_shards(full, path)
-    back = t.spark.read.schema("source_id string, domain string, shard int").json(path)
+    back, _ = writers.read_shards(t.spark, path, "source_id string")
     return back.groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("items"), F.min("source_id").alias("first_id"))
 
 
@@ -218,7 +221,9 @@ def c09(t):
     SELECT id, CASE WHEN cluster < 0 THEN 'noise' ELSE concat('Region ', cluster) END AS cluster_label FROM map_items""")
 def c10(t):
     """Records and requests out, names back in, checked and applied."""
-    asked = naming.naming_prompts(records(t))
+    path = storage.scratch_folder(t.spark, "requests")
+    writers.write_prompts(records(t), path)
+    asked = t.spark.read.schema("map_id string, cluster_id int, prompt string").json(path).where("prompt <> ''")
     names = asked.select(F.col("cluster_id").alias("cluster"), F.format_string("Region %d", "cluster_id").alias("name"))
     items = t.map_items.withColumn("cluster_label", F.lit("noise"))
     return naming.apply_names(items, names).select("id", "cluster_label")

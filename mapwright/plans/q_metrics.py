@@ -209,10 +209,10 @@ def j14(t):
 @query("e08_projection_fidelity")
 def e08(t):
     """Layout of document vectors against the space it came from."""
-    from mapwright.functions.constants import NAMING_STOPWORDS
+    from mapwright.functions.constants import ENGLISH_STOPWORDS
 
     docs = t.documents
-    vectors = reduce.embed_texts(docs, docs, "doc_id", "text", NAMING_STOPWORDS, components=32, limit=1000)[0].checkpoint()
+    vectors = reduce.embed_texts(docs, docs, "doc_id", "text", ENGLISH_STOPWORDS)[0].checkpoint()
     placed = vectors.join(reduce.layout_2d(vectors, "doc_id"), "doc_id")
     points = sampling.sample(placed, "doc_id", 3000).select(
         F.col("doc_id").cast("string").alias("id"), F.col("embedding").alias("source"), F.array("x", "y").alias("map"))

@@ -334,13 +334,13 @@ def j12(t):
 
 
 @query("j13_apply_cluster_names", """
-    SELECT id, cluster, CASE WHEN cluster >= 0 THEN r_name ELSE 'noise' END AS cluster_label
+    SELECT id, cluster, CASE WHEN cluster >= 0 THEN concat(r_name, ' ', cluster) ELSE 'noise' END AS cluster_label
     FROM map_items LEFT JOIN region ON cluster % 5 = r_regionkey AND cluster >= 0""")
 def j13(t):
     from mapwright.operators.naming import apply_names
 
     names = t.map_items.where("cluster >= 0").select("cluster").distinct().withColumn("r_regionkey", F.col("cluster") % 5)
-    names = names.join(t.region, "r_regionkey").select("cluster", F.col("r_name").alias("name"))
+    names = names.join(t.region, "r_regionkey").select("cluster", F.concat_ws(" ", "r_name", "cluster").alias("name"))
     items = t.map_items.withColumn("cluster_label", F.lit("noise"))
     return apply_names(items, names).select("id", "cluster", "cluster_label")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mapwright.functions import vectors as VX
-from mapwright.functions.constants import FEEL_AXES, FEEL_DIMENSIONS, FUSION_WEIGHTS, NAMING_STOPWORDS
+from mapwright.functions.constants import ENGLISH_STOPWORDS, FEEL_AXES, FEEL_DIMENSIONS, FUSION_WEIGHTS
 from mapwright.operators import density, encode, feel, fusion, metrics, reduce, sampling, tfidf
 from mapwright.plans.q_scalars import sql_list
 from mapwright.plans.registry import query, r6
 
 TOKENS_SQL = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
-      lambda w: NOT list_contains([{sql_list(NAMING_STOPWORDS)}], w))"""
+      lambda w: NOT list_contains([{sql_list(ENGLISH_STOPWORDS)}], w))"""
 
 
 def tfidf_sql(fit: str, use: str) -> str:
@@ -25,24 +25,24 @@ def tfidf_sql(fit: str, use: str) -> str:
 
 @query("v01_tfidf", tfidf_sql("true", "true"))
 def v01(t):
-    counts = tfidf.term_counts(t.documents, "doc_id", "text", NAMING_STOPWORDS)
-    vocab = tfidf.fit_vocabulary(counts, t.documents)
+    counts = tfidf.term_counts(t.documents, "doc_id", "text", ENGLISH_STOPWORDS)
+    vocab = tfidf.fit_vocabulary(counts, t.documents, 5000)
     return tfidf.transform(counts, vocab, "doc_id").withColumn("weight", r6("weight"))
 
 
 @query("v02_vocabulary_reuse", tfidf_sql("lang = 'en'", "lang <> 'en'"))
 def v02(t):
     english, other = t.documents.where("lang = 'en'"), t.documents.where("lang <> 'en'")
-    vocab = tfidf.fit_vocabulary(tfidf.term_counts(english, "doc_id", "text", NAMING_STOPWORDS), english)
-    counts = tfidf.term_counts(other, "doc_id", "text", NAMING_STOPWORDS)
+    vocab = tfidf.fit_vocabulary(tfidf.term_counts(english, "doc_id", "text", ENGLISH_STOPWORDS), english, 5000)
+    counts = tfidf.term_counts(other, "doc_id", "text", ENGLISH_STOPWORDS)
     return tfidf.transform(counts, vocab, "doc_id").withColumn("weight", r6("weight"))
 
 
 @query("v03_truncated_svd")
 def v03(t):
-    """Reduced document vectors: at most 64 numbers, length one."""
+    """Reduced document vectors: at most 256 numbers, length one."""
     docs = t.documents
-    out, fitted = reduce.embed_texts(docs, docs, "doc_id", "text", NAMING_STOPWORDS, components=64)
+    out, fitted = reduce.embed_texts(docs, docs, "doc_id", "text", ENGLISH_STOPWORDS)
     return out.select("doc_id", F.size("embedding").alias("dims"), r6(VX.norm(F.col("embedding"))).alias("length"),
                       F.lit(round(fitted.explained, 6)).alias("explained"))
 

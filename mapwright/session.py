@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "mapwright", cpus: str | None = None) -> SparkSession:
-    """Local session; on a cluster the submitting side sets these instead."""
+    """Local session of the tests and the benchmark. Cluster jobs build their session with spark-submit and pass it in."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -9,14 +9,21 @@ SCHEMA = "entity_id string, embedding array<float>, review_count int"
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Read a vector table; missing columns are an error."""
+    """Read a vector table; missing columns and a broken contract are errors."""
     df = spark.read.parquet(path)
     missing = {"entity_id", "embedding"} - set(df.columns)
     if missing:
         raise ValueError(f"vector table lacks {sorted(missing)}")
+    enforce(vector_contract(df).first())
     return df
 
 
+def enforce(facts) -> None:
+    """Refuse vectors of unequal size, repeated ids and missing vectors."""
+    if facts["rows"] and (facts["min_size"] != facts["max_size"] or facts["duplicate_ids"] or facts["missing"]):
+        raise ValueError(f"vector table breaks its contract: {facts.asDict()}")
+
+
 def vector_contract(df: DataFrame) -> DataFrame:
     """One row of facts: sizes must agree, no id twice, no vector missing."""
     per_id = df.groupBy("entity_id").agg(
@@ -28,7 +35,9 @@ def vector_contract(df: DataFrame) -> DataFrame:
 
 
 def write_vectors(df: DataFrame, path: str, model: str) -> None:
-    """Write the vectors and, beside them, one row that says what they are."""
+    """Write the vectors and, beside them, one row that says what they are; vectors that break the contract are refused."""
     df.write.mode("errorifexists").parquet(f"{path}/vectors")
-    facts = vector_contract(df).withColumn("model", F.lit(model))
+    stored = df.sparkSession.read.parquet(f"{path}/vectors")
+    facts = vector_contract(stored).withColumn("model", F.lit(model))
+    enforce(facts.first())
     facts.write.mode("errorifexists").json(f"{path}/metadata")

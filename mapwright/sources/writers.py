@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapwright.operators.export import as_json, item_struct, json_safe, regions, sharded_documents
+from mapwright.operators.export import as_json, item_struct, json_safe, regions, shard_sizes, sharded_documents
 from mapwright.operators.naming import naming_prompts
 from mapwright.operators.ranking import top_per_group
 
@@ -28,9 +28,19 @@ def write_bundle(items: DataFrame, path: str, map_id: str) -> None:
 
 
 def write_shards(details: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Details by (domain, shard); a client finds an id's shard by hashing the id."""
+    """Details by (domain, shard) under ``items``; a client finds an id's shard by hashing the id.
+
+    ``index`` lists every shard of every domain with its number of items, so a shard without files is known to be empty.
+    """
     sharded = json_safe(sharded_documents(details, "domain", "source_id", shards))
-    sharded.write.mode("errorifexists").partitionBy("domain", "shard").option("ignoreNullFields", "false").json(path)
+    sharded.write.mode("errorifexists").partitionBy("domain", "shard").option("ignoreNullFields", "false").json(f"{path}/items")
+    shard_sizes(details, "domain", "source_id", shards).write.mode("errorifexists").json(f"{path}/index")
+
+
+def read_shards(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The items as they lie in their shards, and the index."""
+    items = spark.read.schema(f"{schema}, domain string, shard int").json(f"{path}/items")
+    return items, spark.read.schema("domain string, shard int, count bigint").json(f"{path}/index")
 
 
 def manifest(details: DataFrame, fit: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -5,14 +5,14 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from mapwright.functions.constants import NAMING_STOPWORDS
+from mapwright.functions.constants import ENGLISH_STOPWORDS
 from mapwright.operators import encode, metrics, reduce, tfidf
 from mapwright.plans import catalog
 
 
 def test_svd_matches_numpy(spark, tables):
     docs = tables.documents.where("lang = 'en'").select("doc_id", "text").where("length(text) < 2000")
-    counts = tfidf.term_counts(docs, "doc_id", "text", NAMING_STOPWORDS).cache()
+    counts = tfidf.term_counts(docs, "doc_id", "text", ENGLISH_STOPWORDS).cache()
     fitted = reduce.fit_svd(counts, docs, "doc_id", components=5, limit=200)
     vocab = fitted.vocabulary(spark)
     rows = {r.doc_id: r for r in tfidf.sparse_rows(tfidf.transform(counts, vocab, "doc_id"), vocab, "doc_id").collect()}
