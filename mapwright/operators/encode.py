@@ -39,13 +39,15 @@ def encode_with(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndar
     return df.mapInPandas(run, f"{fields}, embedding array<double>")
 
 
-def select_reviews(reviews: DataFrame, entity: str = "entity_id", n: int = ENCODED_PER_ENTITY, seed: int = 42) -> DataFrame:
-    """The ``n`` reviews of each entity with the smallest hash; chosen before blanks go."""
+def select_reviews(reviews: DataFrame, entity: str = "entity_id", n: int | None = ENCODED_PER_ENTITY, seed: int = 42) -> DataFrame:
+    """The ``n`` reviews of each entity with the smallest hash, chosen before blanks go; all of them with None."""
+    if n is None:
+        return reviews
     order = [V.sample_score(seed, F.col("review_id")), F.col("review_id")]
     return top_per_group(reviews, [entity], order, n, "_r").drop("_r")
 
 
-def review_embeddings(reviews: DataFrame, entity: str = "entity_id", n: int = ENCODED_PER_ENTITY, seed: int = 42,
+def review_embeddings(reviews: DataFrame, entity: str = "entity_id", n: int | None = ENCODED_PER_ENTITY, seed: int = 42,
                       encoder: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """Mean review vector of every entity from its chosen, non-blank reviews."""
     chosen = select_reviews(reviews, entity, n, seed).where(T.collapse_spaces(F.col("review_text")) != "")

@@ -94,10 +94,17 @@ def restaurant_pieces(business: DataFrame, tips: DataFrame) -> DataFrame:
     return own.unionByName(tips.select(gid, "text"))
 
 
+def with_reviews(entities: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Entities with the number of reviews behind their vector."""
+    counts = reviews.select("id", "review_count")
+    return entities.drop("review_count").join(counts, "id", "left").na.fill(0, ["review_count"])
+
+
 def domain_map(entities: DataFrame, pieces: DataFrame, reviews: DataFrame, stopwords: Sequence[str], share: float = 0.5,
                components: int = 256, min_cluster_size: int = 150, min_samples: int = 20) -> DataFrame:
-    """Single-domain map from the entities' texts and review vectors."""
-    entities = stored(entities, "entities")
+    """Single-domain map from the entities' texts and review vectors (id, embedding, review_count)."""
+    reviews = stored(reviews, "reviews")
+    entities = stored(with_reviews(entities, reviews), "entities")
     texts = pieces.join(entities.select("id"), "id", "left_semi")
     vectors = fused_vectors(entities.select("id"), texts, reviews, share, stopwords, components)
     return lay_out(entities, vectors, min_cluster_size, min_samples)
@@ -117,7 +124,8 @@ def shared_text_map(parts: dict[str, DataFrame], pieces: DataFrame, reviews: Dat
     union = None
     for part in parts.values():
         union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    entities = stored(union.drop("macro_genre"), "entities")
+    reviews = stored(reviews, "reviews")
+    entities = stored(with_reviews(union.drop("macro_genre"), reviews), "entities")
     words = stored(shared_words(pieces.join(entities.select("id"), "id", "left_semi"), list(parts)), "words")
     vectors = fused_vectors(entities.select("id"), words, reviews, share, stopwords, components)
     return lay_out(entities, vectors, min_cluster_size, min_samples, words=words)

@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mapwright.functions import constants as K
 from mapwright.functions.constants import ENGLISH_STOPWORDS, FEEL_DIMENSIONS
 from mapwright.functions.values import global_id
+from mapwright.operators import encode
 from mapwright.operators.ranking import percentile_size
 from mapwright.plans import jobs
+from mapwright.plans.q_ranking import PCT
+from mapwright.plans.q_scalars import _like
 from mapwright.plans.registry import query, r6
+from mapwright.sources import readers, storage, writers
 
 DENSITY = {"min_cluster_size": 10, "min_samples": 5}
 
 
+ENTITIES = 400
+
+
 def reviews_for(t, domain, ids):
-    """Vectors stand in for review vectors, matched to the entities by number."""
-    vectors = t.embeddings.select(F.col("vec_id").alias("n"), "embedding")
-    return ids.join(vectors, "n").select(global_id(F.lit(domain), F.col("source_id")).alias("id"), "embedding")
+    """Review vectors from the texts: documents are dealt to the first entities by number, chosen, encoded and pooled."""
+    dealt = t.raw_reviews.select((F.col("ord") % ENTITIES + 1).alias("n"), "review_id", "review_text").join(ids, "n")
+    texts = dealt.select(global_id(F.lit(domain), F.col("source_id")).alias("entity_id"), "review_id", "review_text")
+    return encode.review_embeddings(texts).withColumnRenamed("entity_id", "id")
 
 
 def movie_reviews(t):
@@ -59,33 +68,53 @@ def shown(df):
     return df.select("id", "domain", "title", r6("x").alias("x"), r6("y").alias("y"), "cluster", "cluster_label", r6("visual_size").alias("visual_size"))
 
 
+def movie_map(t):
+    return jobs.domain_map(movies(t), pieces(t, "movies"), movie_reviews(t), ENGLISH_STOPWORDS, **DENSITY)
+
+
 @query("c01_movie_map")
 def c01(t):
-    return shown(jobs.domain_map(movies(t), pieces(t, "movies"), movie_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
+    return shown(movie_map(t))
+
+
+def music_map(t):
+    return jobs.domain_map(artists(t), pieces(t, "music"), music_reviews(t), ENGLISH_STOPWORDS, **DENSITY)
 
 
 @query("c02_music_map")
 def c02(t):
-    return shown(jobs.domain_map(artists(t), pieces(t, "music"), music_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
+    return shown(music_map(t))
+
+
+def restaurant_map(t):
+    return jobs.domain_map(restaurants(t), pieces(t, "restaurants"), restaurant_reviews(t), ENGLISH_STOPWORDS, **DENSITY)
 
 
 @query("c03_restaurant_map")
 def c03(t):
-    return shown(jobs.domain_map(restaurants(t), pieces(t, "restaurants"), restaurant_reviews(t), ENGLISH_STOPWORDS, **DENSITY))
+    return shown(restaurant_map(t))
 
 
-@query("c04_movies_music_map")
-def c04(t):
+def two_domain_map(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t))
     parts = {"movies": movies(t), "music": artists(t)}
-    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY))
+    return jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY)
 
 
-@query("c05_three_domain_map")
-def c05(t):
+@query("c04_movies_music_map")
+def c04(t):
+    return shown(two_domain_map(t))
+
+
+def three_domain_map(t):
     reviews = movie_reviews(t).unionByName(music_reviews(t)).unionByName(restaurant_reviews(t))
     parts = {"movies": movies(t), "music": artists(t), "restaurants": restaurants(t)}
-    return shown(jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY))
+    return jobs.shared_text_map(parts, pieces(t, *parts), reviews, ENGLISH_STOPWORDS, **DENSITY)
+
+
+@query("c05_three_domain_map")
+def c05(t):
+    return shown(three_domain_map(t))
 
 
 def feel_inputs(t, domains):
@@ -101,10 +130,74 @@ def c06_two(t):
     return shown(jobs.feel_map(entities, scores, **DENSITY))
 
 
-@query("c06_feel_map")
-def c06(t):
+def shared_feel_map(t):
     """Populations are checked against the counts taken from the scores."""
     entities, scores = feel_inputs(t, ["movies", "music", "restaurants"])
     domain = F.split("id", ":")[0].alias("domain")
     counts = scores.where("is_semantically_defined").groupBy(domain).count().collect()
-    return shown(jobs.feel_map(entities, scores, {r["domain"]: r["count"] for r in counts}, **DENSITY))
+    return jobs.feel_map(entities, scores, {r["domain"]: r["count"] for r in counts}, **DENSITY)
+
+
+@query("c06_feel_map")
+def c06(t):
+    return shown(shared_feel_map(t))
+
+
+# ---- what SQL can know of a finished map, read back from its written bundle
+
+SIZE = "R6(4 + pow({p}, 1.8) * 76)"
+REVIEWS_SQL = f"rev AS (SELECT 1 + ord % {ENTITIES} AS n, least(count(*), 50) AS reviews FROM raw_reviews WHERE trim(review_text) <> '' GROUP BY 1)"
+FACTS_SQL = {
+    "movies": f"""SELECT concat('movies:', movie_id) AS id, 'movies' AS domain, title, coalesce(genres, 'Unknown') AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
+      FROM (SELECT movies.*, v FROM movies JOIN (SELECT movie_id, CAST(count(rating) AS DOUBLE) AS v FROM ratings GROUP BY 1) r USING (movie_id)) LEFT JOIN rev ON n = movie_id""",
+    "music": f"""SELECT concat('music:', mbid) AS id, 'music' AS domain, coalesce(nullif(trim(artist_lastfm), ''), artist_mb) AS title, {_like('tags_lastfm', K.MUSIC_MACROS)} AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
+      FROM (SELECT artists.*, c_custkey, 0.6 * ln(1 + listeners) + 0.4 * ln(1 + scrobbles) AS v FROM artists JOIN customer ON c_name = mbid WHERE listeners >= 1000 AND NOT ambiguous) LEFT JOIN rev ON n = c_custkey""",
+    "restaurants": f"""SELECT concat('restaurants:', business_id) AS id, 'restaurants' AS domain, name AS title, categories AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
+      FROM (SELECT *, CAST(review_count AS DOUBLE) AS v FROM business WHERE contains(lower(categories), 'restaurants') AND review_count >= 20) LEFT JOIN rev ON n = suppkey""",
+}
+
+
+def facts_sql(*domains: str) -> str:
+    return f"WITH {REVIEWS_SQL}, f AS ({' UNION ALL '.join(f'SELECT * FROM ({FACTS_SQL[d]})' for d in domains)}) SELECT * FROM f"
+
+
+def written(t, items, map_id):
+    """The map's bundle, written and read back: one row per item."""
+    path = storage.scratch_folder(t.spark, "map")
+    writers.write_bundle(items, path, map_id)
+    schema = ("id string, domain string, title string, text struct<categories:array<string>>, visual struct<size:double>, enrichment map<string,string>")
+    back = readers.read_json_lines(t.spark, f"{path}/items", schema)
+    return back.select("id", "domain", "title", F.get("text.categories", F.lit(0)).alias("category"), r6("visual.size").alias("visual_size"),
+                       F.col("enrichment")["review_count"].cast("bigint").alias("reviews"))
+
+
+@query("c01_movie_bundle", facts_sql("movies"))
+def c01_bundle(t):
+    return written(t, movie_map(t), "movies")
+
+
+@query("c02_music_bundle", facts_sql("music"))
+def c02_bundle(t):
+    return written(t, music_map(t), "music")
+
+
+@query("c03_restaurant_bundle", facts_sql("restaurants"))
+def c03_bundle(t):
+    return written(t, restaurant_map(t), "restaurants")
+
+
+@query("c04_movies_music_bundle", facts_sql("movies", "music").replace("SELECT * FROM f", "SELECT id, domain, title, visual_size, reviews FROM f"))
+def c04_bundle(t):
+    return written(t, two_domain_map(t), "movies_music").drop("category")
+
+
+@query("c05_three_domain_bundle", facts_sql("movies", "music", "restaurants").replace("SELECT * FROM f", "SELECT id, domain, title, visual_size, reviews FROM f"))
+def c05_bundle(t):
+    return written(t, three_domain_map(t), "movies_music_restaurants").drop("category")
+
+
+@query("c06_feel_bundle", """
+    SELECT id, domain, title, visual_size FROM (SELECT id, domain, title, review_count, R6(CASE WHEN popularity IS NULL THEN 4 ELSE 4 + pow((rank() OVER (PARTITION BY domain ORDER BY popularity) + (count(*) OVER (PARTITION BY domain, popularity) - 1) / 2)
+      / count(popularity) OVER (PARTITION BY domain), 1.8) * 76 END) AS visual_size FROM map_items) WHERE review_count > 0""")
+def c06_bundle(t):
+    return written(t, shared_feel_map(t), "movies_music_restaurants_feel").select("id", "domain", "title", "visual_size")
