@@ -70,7 +70,7 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def rows(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def rows(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``limit`` bytes of text; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:

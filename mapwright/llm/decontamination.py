@@ -28,7 +28,7 @@ WINDOW, LITERALS = 8, 5
 SHARE, ENOUGH = 0.5, 6
 #: Share of the item's exchanged values that must map to one value each.
 CONSISTENT = 0.75
-BITS = 1 << 27
+BITS = 1 << 25
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 LITERAL, NUMBER, UNIT, NAME, MARK = range(5)
 

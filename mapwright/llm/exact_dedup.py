@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from mapwright.llm.common import free_name, has_bit, rows, set_bits, small_batches, stored
 
-#: Bits of the maps of repeated lengths and of repeated (length, beginning) keys; 2 MB and 16 MB whatever the input.
-LENGTH_BITS, PREFIX_BITS = 1 << 24, 1 << 27
+#: Bits of the maps of repeated lengths and of repeated (length, beginning) keys; 0.5 MB and 4 MB whatever the input.
+LENGTH_BITS, PREFIX_BITS = 1 << 22, 1 << 25
 PREFIX_CHARS = 64
 # The letters that are compared without case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -13,13 +13,16 @@ learned. Ties go to the language whose name sorts first. Repeated rows get the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mapwright.llm.common import map_rows, small_batches, texts
+from mapwright.llm.common import map_rows, rows, small_batches, texts
 
 #: The fitting sample: rows of a language, characters of a row, symbols of a language, and symbols of all languages together.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 20_000, 30_000, 1 << 18
@@ -119,7 +122,7 @@ def phrases(moves: np.ndarray, blocks: np.ndarray, sizes: np.ndarray) -> np.ndar
         n = live[t]
         if not n:
             break
-        c = blocks[:n, t]
+        c = blocks[:n, t].astype(np.int64)
         to = flat[state[:n] * width + c]
         miss = to < 0
         count[:n] += miss
@@ -143,7 +146,7 @@ def parse(model: dict, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in parts])
     order = np.argsort(-sizes, kind="stable")
     sizes, owner = sizes[order], np.array(owner)[order]
-    blocks = np.zeros((len(parts), int(sizes[0])), dtype=np.int64)
+    blocks = np.zeros((len(parts), int(sizes[0])), dtype=np.uint8)
     for row, k in enumerate(order):
         blocks[row, : sizes[row]] = parts[k]
     length = np.maximum(1, np.bincount(owner, sizes, len(batch)))
@@ -222,9 +225,13 @@ def predicted(docs: DataFrame, model: dict, text_col: str, name: str) -> DataFra
     """The rows themselves with the prediction as one more column."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
+    at, names = docs.columns.index(text_col), schema.names
 
-    @F.pandas_udf("string")
-    def lang_of(text: pd.Series) -> pd.Series:
-        return pd.Series(labeller(shared.value)(text.fillna("").tolist())[0], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = labeller(shared.value)
+        for batch in rows(batches):
+            found = label(pc.fill_null(batch.column(at).cast(pa.string()), "").to_pylist())[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 
-    return docs.withColumn(name, lang_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 Two small collections of minhash groups are computed; a table key is a pair of one group from each, so ``GROUPS`` squared
 tables need only ``2 * GROUPS * ROWS`` minhashes. At similarity 0.75 a pair shares no key with a chance of about
-``2 * (1 - 0.75 ** ROWS) ** GROUPS`` (below 0.001 here), at 0.8 and above far less.
+``2 * (1 - 0.75 ** ROWS) ** GROUPS`` (0.0001 here), at 0.8 and above far less.
 
 1. Texts with equal shingle sets are one node. A pair key is made only where both of its groups occur in other nodes too
    (a bitmap of repeated groups, of fixed size); dropping the other keys loses nothing.
@@ -25,18 +25,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import Recent, free_name, has_bit, map_rows, set_bits, small_batches, stored
+from mapwright.llm.common import free_name, has_bit, map_rows, set_bits, small_batches, stored
 from mapwright.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Minhashes in a group, groups in each of the two collections.
-ROWS, GROUPS = 3, 14
-BITS = 1 << 27
+ROWS, GROUPS = 3, 18
+BITS = 1 << 25
 #: Bins of the sketch, and the least share of equal bins for a pair to be confirmed on its sets: more than four
 #: standard errors below the threshold.
 BIN_BITS, CLOSE = 10, 0.69
@@ -56,12 +57,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, words: Recent) -> np.ndarray:
+def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     width = min(WORDS, len(codes))
     n = len(codes) - width + 1
     total = np.full(n, np.uint64(width), np.uint64)
@@ -105,10 +106,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     narrow = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def make():
-        words = Recent(xxhash.xxh64_intdigest)
-
         def work(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
             nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True) if len(s) else None for s in sets]
             return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n_shingles": [len(s) for s in sets], "node": pa.array(nodes, pa.int64()), "groups": pa.array([groups(s) if len(s) else None for s in sets], pa.list_(pa.int64()))}
 
@@ -148,13 +147,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
     narrow = docs.select(text.alias("text"), F.pmod(F.xxhash64(text), F.lit(BITS)).alias("place"))
 
     def make():
-        words = Recent(xxhash.xxh64_intdigest)
-
         def work(batch: pa.RecordBatch) -> dict:
             chosen = batch.filter(pa.array(has_bit(shared.value, batch.column(1).to_numpy())))
             sets: dict[int, np.ndarray] = {}
             for text in dict.fromkeys(chosen.column(0).to_pylist()):
-                s = shingles(text, words)
+                s = shingles(text)
                 if len(s):
                     sets[int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)] = s
             return {"node": pa.array(list(sets), pa.int64()), "members": pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64())), "sketch": pa.array([sketch(s) for s in sets.values()], pa.binary())}
@@ -311,17 +308,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest id (of the smallest text hash, where ids repeat), all columns unchanged.
 
-    Rows without words stay.
+    Rows without words stay. Only rows that go, or that repeat another's id and text, are moved: a bitmap of them (of fixed
+    size) lets all others pass where they are.
     """
-    rows = stored(labelled_documents(docs, id_col, text_col).select("doc_id", "text_hash", "root"), "minhash-rows")
-    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_hash").alias("keep_hash"), F.lit(False).alias("blank"))
-    blank = rows.where("root is null").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash"), F.lit(True).alias("blank"))
-    keep = stored(keep.unionByName(blank.distinct()), "minhash-keep")
-    mark, number = free_name(docs.columns, "text_hash"), free_name(docs.columns, "number")
-    keep = keep.select("keep_id", "keep_hash", "blank").alias("k")
-    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
-    met = hashed.join(keep, (hashed[mark] == F.col("k.keep_hash")) & hashed[id_col].eqNullSafe(F.col("k.keep_id")))
-    # Rows that repeat both id and text: one stays, unless they have no words.
+    spark = docs.sparkSession
+    rows = labelled_documents(docs, id_col, text_col).where("root is not null").groupBy("doc_id", "text_hash").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    rows = stored(rows, "minhash-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    touched = rows.join(best, "root").select("doc_id", "text_hash", stays.alias("stays"), "n").where("n > 1 or not stays")
+    place = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    touched = stored(touched.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), "stays"), "minhash-touched")
+    shared = spark.sparkContext.broadcast(set_bits(touched.select(place("t_hash", "t_id").alias("place")), BITS))
+
+    @F.pandas_udf("boolean")
+    def may_go(at: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(shared.value, at.to_numpy()))
+
+    mark, number, bit = (free_name(docs.columns, n) for n in ("text_hash", "number", "bit"))
+    hashed = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))).withColumn(bit, may_go(place(mark, id_col)))
+    here = hashed.where(~F.col(bit)).select(*docs.columns)
+    met = hashed.where(bit).join(touched, (F.col(mark) == F.col("t_hash")) & F.col(id_col).eqNullSafe(F.col("t_id")), "left")
     first = F.row_number().over(Window.partitionBy(mark, id_col).orderBy(mark))
-    return met.withColumn(number, first).where((F.col(number) == 1) | F.col("k.blank")).select(*[F.col(c) for c in docs.columns])
+    moved = met.where("stays is null or stays").withColumn(number, first).where((F.col(number) == 1) | F.col("stays").isNull())
+    return here.unionByName(moved.select(*[F.col(c) for c in docs.columns]))
