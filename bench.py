@@ -16,9 +16,9 @@ from mapwright.session import build_session
 
 HEADLINE = [
     "flagship_landmarks", "a01_rating_stats", "a04_movie_review_summary", "a12_mean_pool", "a13_describe_dimensions",
-    "a28_correlations", "c07_prepared_reviews", "f01_entity_filters", "f12_name_resolution", "j02_movies_with_stats_and_tags", "j08_record_linkage",
+    "a28_correlations", "c01_movie_map", "c05_three_domain_map", "c06_feel_map", "c07_prepared_reviews", "f01_entity_filters", "f12_name_resolution", "j02_movies_with_stats_and_tags", "j08_record_linkage",
     "j15_distance_join", "k03_m_nearest_per_domain", "k09_item_statistics", "k14_review_samples", "e03_trustworthiness",
-    "e05_map_metrics", "p28_shard_hash", "s05_pruned_scan", "v01_tfidf", "v03_truncated_svd", "v09_anchor_similarity",
+    "e05_map_metrics", "e08_projection_fidelity", "e09_map_comparison", "p28_shard_hash", "s05_pruned_scan", "v01_tfidf", "v03_truncated_svd", "v09_anchor_similarity",
     "v14_density_clusters", "v15_fusion_weight_sweep", "w01_keep_first", "w02_percentile_size", "w03_size_per_domain",
     "w11_balanced_domains",
 ]
