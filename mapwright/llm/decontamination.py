@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by template windows, also when numbers, names or units were exchanged.
 
 A text becomes template tokens: numbers, units and names (capitalised words inside a sentence) are typed placeholders, all
-else is the lower-cased word. Windows of ``WINDOW`` tokens with at least ``LITERALS`` plain words are hashed. Documents keep only
+else is the lower-cased word. Windows of ``WINDOW`` tokens with at least ``LITERALS`` plain words are hashed; those with names a
+second time with the names as words. Documents keep only
 windows that pass a bitmap of the benchmark's windows (of fixed size, whatever the benchmark's), and these meet the benchmark
 in a hash join. For each document and item the exchanged values must be consistent: one value of the item stands for one
 value of the document throughout. A pair counts when enough of the item's windows are found.
@@ -66,37 +67,46 @@ def code(token: str) -> int:
     return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & ~7 | kind
 
 
-def template(text: str, codes: Recent) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All tokens, the places of the words among them, and the words' template hashes and kinds."""
+def template(text: str, codes: Recent) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens, the places of the words among them, the words' kinds and their hashes as plain words."""
     tokens = TOKEN.findall(text)
     coded = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     kind = (coded & np.uint64(7)).astype(np.int8)
     mark = kind == MARK
     opens = np.concatenate(([True], mark[:-1])) if len(tokens) else mark
     kind[(kind == NAME) & opens] = LITERAL
-    word = ~mark
-    kind, hashes = kind[word], coded[word] & ~np.uint64(7)
-    hashes = np.where(kind == LITERAL, hashes, kind.astype(np.uint64) + np.uint64(1))
-    return tokens, np.flatnonzero(word), np.stack([mixed(hashes), kind.astype(np.uint64)]) if len(kind) else np.zeros((2, 0), np.uint64)
-
-
-def windows(hashed: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, int]:
-    """Starts and hashes of the windows with enough plain words; ``whole``: a shorter text is one window."""
-    hashes, kind = hashed
-    width = min(WINDOW, len(hashes)) if whole else WINDOW
-    n = len(hashes) - width + 1
-    if not len(hashes) or n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), width
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    plain = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    at = np.flatnonzero(plain[width:] - plain[:n] >= min(LITERALS, width))
-    return at, mixed(total[at] + np.uint64(width)), width
-
-
-def slots(tokens: list[str], places: np.ndarray, kind: np.ndarray, at: int, width: int) -> list[str]:
-    return [tokens[places[i]].lower() for i in range(at, at + width) if kind[i] != LITERAL]
+    return tokens, np.flatnonzero(~mark), kind[~mark], coded[~mark] & ~np.uint64(7)
+
+
+def windows(kind: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts and hashes of the windows with enough plain words, with the kinds they were made from.
+
+    Windows that hold names come twice: with placeholders, and with the names as plain words, so that a passage set in
+    other capitals is found too. A text shorter than a window is one window.
+    """
+    width = min(WINDOW, len(words))
+    n = len(words) - width + 1
+    out = []
+    for names in (True, False):
+        own = kind if names else np.where(kind == NAME, LITERAL, kind)
+        if not width or not names and not (kind == NAME).any():
+            continue
+        hashes = mixed(np.where(own == LITERAL, words, own.astype(np.uint64) + np.uint64(1)))
+        total = np.zeros(n, np.uint64)
+        for k in range(width):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        plain = np.concatenate(([0], np.cumsum(own == LITERAL)))
+        good = plain[width:] - plain[:n] >= min(LITERALS, width)
+        if not names:
+            named = np.concatenate(([0], np.cumsum(kind == NAME)))
+            good &= named[width:] > named[:n]
+        at = np.flatnonzero(good)
+        out.append((at, mixed(total[at] + np.uint64(width)), own))
+    return out
+
+
+def slots(tokens: list[str], places: np.ndarray, kind: np.ndarray, at: int) -> list[str]:
+    return [tokens[places[i]].lower() for i in range(at, min(at + WINDOW, len(places))) if kind[i] != LITERAL]
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -109,11 +119,13 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
         def work(batch: pa.RecordBatch) -> dict:
             ids, starts, values, held, counts = [], [], [], [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, places, hashed = template(text, codes)
-                at, found, width = windows(hashed, True)
-                for a, w in zip(at.tolist(), found.astype(np.int64).tolist(), strict=True):
-                    ids.append(item), starts.append(a), values.append(w), counts.append(len(at))
-                    held.append(slots(tokens, places, hashed[1], a, width))
+                tokens, places, kind, words = template(text, codes)
+                made = windows(kind, words)
+                number = len(np.unique(np.concatenate([at for at, _, _ in made]))) if made else 0
+                for at, found, own in made:
+                    for a, w in zip(at.tolist(), found.astype(np.int64).tolist(), strict=True):
+                        ids.append(item), starts.append(a), values.append(w), counts.append(number)
+                        held.append(slots(tokens, places, own, a))
             return {"item_id": pa.array(ids, batch.column(0).type), "item_at": pa.array(starts, pa.int64()), "window": pa.array(values, pa.int64()), "item_slots": pa.array(held, pa.list_(pa.string())), "n_windows": pa.array(counts, pa.int64())}
 
         return work
@@ -135,14 +147,11 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         def work(batch: pa.RecordBatch) -> dict:
             row, values, held = [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                tokens, places, hashed = template(text, codes)
-                at, found, width = windows(hashed, True)
-                if not len(at):
-                    continue
-                place = (found & np.uint64(BITS - 1)).astype(np.int64)
-                hit = has_bit(bitmap, place)
-                for a, w in zip(at[hit].tolist(), found[hit].astype(np.int64).tolist(), strict=True):
-                    row.append(r), values.append(w), held.append(slots(tokens, places, hashed[1], a, width))
+                tokens, places, kind, words = template(text, codes)
+                for at, found, own in windows(kind, words):
+                    hit = has_bit(bitmap, (found & np.uint64(BITS - 1)).astype(np.int64))
+                    for a, w in zip(at[hit].tolist(), found[hit].astype(np.int64).tolist(), strict=True):
+                        row.append(r), values.append(w), held.append(slots(tokens, places, own, a))
             return {"doc_id": batch.column(0).take(pa.array(row, pa.int64())), "window": pa.array(values, pa.int64()), "doc_slots": pa.array(held, pa.list_(pa.string()))}
 
         return work

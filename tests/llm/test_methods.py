@@ -127,11 +127,11 @@ def test_reparameterised_question(spark):
     docs = [
         (1, "Noise before. Yesterday the farmer Bob sold 17 apples and 44 pears for 9 dollars each at the market near Denver before noon. Noise."),
         (2, "Yesterday the weather was fine and the farmer Tom went home with 12 apples."),
-        (3, item.upper()), (4, item),
+        (3, item.upper()), (4, item), (5, item.title()), (6, f"He said {item[0].lower()}{item[1:]}"),
     ]
     found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
     got = {r.doc_id: r.exchanged for r in found.collect()}
-    assert got.keys() >= {1, 4} and 2 not in got and got[1] and not got[4]
+    assert got.keys() == {1, 3, 4, 5, 6} and got[1] and not got[4]
 
 
 def test_components(spark):
