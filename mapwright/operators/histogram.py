@@ -67,12 +67,15 @@ def attach_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Add ``cnt``, ``below`` and ``total`` to every row; null where the value is null.
 
     The joined side has one row per (group, value). A value shared by a large part of
-    the rows is split over tasks by the adaptive skew join.
+    the rows is split over tasks by the adaptive skew join; rows without a value match
+    nothing and are spread by a second key.
     """
     hist = value_histogram(df, groups, value)
     key = F.col(value).cast("double") + F.lit(0.0)
     left = df.withColumn("_value", F.when(~F.isnan(key), key))
-    return left.join(hist.withColumnRenamed(value, "_value"), [*groups, "_value"], "left").drop("_value")
+    left = left.withColumn("_spread", F.when(F.col("_value").isNull(), F.monotonically_increasing_id() % 1024).otherwise(F.lit(-1).cast("bigint")))
+    right = hist.withColumnRenamed(value, "_value").withColumn("_spread", F.lit(-1).cast("bigint"))
+    return left.join(right, [*groups, "_value", "_spread"], "left").drop("_value", "_spread")
 
 
 def exact_percentiles(

@@ -46,10 +46,10 @@ def _sum_over_rows(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.
         for batch in batches:
             for start in range(0, len(batch), CHUNK_ROWS):
                 piece = batch.iloc[start : start + CHUNK_ROWS]
-                dense = np.zeros((len(piece), width))
+                dense = np.zeros((len(piece), width), dtype=np.float32)
                 for i, (p, w) in enumerate(zip(piece["positions"], piece["weights"])):
                     dense[i, p] = w
-                value = part(dense)
+                value = part(dense).astype(np.float64)
                 total = value if total is None else total + value
         if total is not None:
             yield pd.DataFrame({"line": np.arange(len(total)), "vals": list(total)})
@@ -81,7 +81,8 @@ def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256,
         wide = min(k + OVERSAMPLE, width)
         q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, wide)))[0]
         for _ in range(PASSES if wide < width else 0):
-            q = np.linalg.qr(_sum_over_rows(rows, width, lambda a, q=q: a.T @ (a @ q)))[0]
+            # Single precision is enough here: the directions are made orthogonal in double precision after each pass.
+            q = np.linalg.qr(_sum_over_rows(rows, width, lambda a, q=q.astype(np.float32): a.T @ (a @ q)))[0]
         gram = _sum_over_rows(rows, width, lambda a, q=q: (a @ q).T @ (a @ q))
     finally:
         rows.unpersist()

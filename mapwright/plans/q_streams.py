@@ -69,4 +69,4 @@ def z04(t):
         events.where(part).write.mode("append").parquet(f"{base}/in")
         stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
         ingest.run_to_end(ingest.keep_smallest(stream, "user_id", order, 5, f"{base}/out", f"{base}/progress"))
-    return ingest.newest_version(t.spark, f"{base}/out").select("user_id", "event_id")
+    return ingest.smallest_rows(t.spark, f"{base}/out", "user_id", order, 5).select("user_id", "event_id")

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from mapwright.operators.ranking import top_per_group
 
@@ -81,31 +80,21 @@ def finish_sums(sums: DataFrame) -> DataFrame:
 
 
 def keep_smallest(stream: DataFrame, entity: str, order: Sequence[Column], n: int, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the ``n`` first rows per entity while batches arrive.
+    """Store the ``n`` first rows per entity of every batch while batches arrive.
 
-    Version b is written from version b-1 and batch b; versions are never changed, so a
-    repeated batch rebuilds the same version. Each batch is cut to ``n`` per entity inside
-    its tasks before it meets the stored rows.
+    A batch writes its own folder only, so a repeated batch replaces it and nothing stored is read again; the rows of
+    all batches meet in ``smallest_rows``.
     """
     columns = stream.columns
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = top_per_group(batch, [entity], order, n, "_r").select(*columns)
-        try:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/version={number - 1}").select(*columns))
-        except AnalysisException:
-            if number > 0:
-                raise
-        top_per_group(rows, [entity], order, n, "_r").select(*columns).write.mode("overwrite").parquet(f"{path}/version={number}")
+    def save(batch: DataFrame, number: int) -> None:
+        top_per_group(batch, [entity], order, n, "_r").select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
 
 
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the last version written."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("version")).scalar()
-    return rows.where(F.col("version") == last).drop("version")
+def smallest_rows(spark: SparkSession, path: str, entity: str, order: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` first rows per entity over all stored batches; each holds ``n`` per entity at most."""
+    return top_per_group(spark.read.parquet(path).drop("batch"), [entity], order, n, "_r").drop("_r")
