@@ -20,16 +20,18 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour is an aggregate that is joined back.
     """
     use_checkpoint_dir(edges.sparkSession)
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    # Links are few and narrow beside the documents: as many tasks as run at once write fewer and larger shuffle files.
+    tasks = edges.sparkSession.sparkContext.defaultParallelism
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).coalesce(tasks).distinct().coalesce(tasks).checkpoint()
     before = None
     while True:
         pairs = _both(edges)
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pairs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = pairs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least, "u").coalesce(tasks)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
+        edges = small.where("u <> v").distinct().coalesce(tasks).checkpoint()
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select("u", F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
