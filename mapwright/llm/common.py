@@ -133,6 +133,8 @@ BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in
 
 def byte_level(piece: str) -> str:
     """A pre-token as the byte-level models see it."""
+    if piece.isascii() and piece.isalpha():
+        return piece
     return piece.encode().decode("latin-1").translate(BYTE_LEVEL)
 
 

@@ -14,6 +14,7 @@ tokens are written. An empty table gives an empty result. A null id stays null.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,12 @@ DIMENSIONS, BITS = 3, 16
 LONG_TEXT = 1 << 20
 
 # The word pattern of the lower-casing tokenizer, written for the plain alphabet.
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+WORDS = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
@@ -43,11 +49,12 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     model = tokenizer.model
-    look = Recent(lambda word: np.array([t.id for t in model.tokenize(byte_level(word))], dtype="<u4").tobytes()).__getitem__
+    look = Recent(lambda word: pack_ids([t.id for t in model.tokenize(byte_level(word))])).__getitem__
 
     def encode(text: str) -> bytes:
         lowered = text.lower()
-        if NOT_PLAIN.search(text) or special.search(lowered):
+        # In ASCII texts all classes agree, control characters included.
+        if not text.isascii() and NOT_PLAIN.search(text) or special.search(lowered):
             return whole(text)
         if len(text) > LONG_TEXT:
             return b"".join(look(m.group()) for m in WORDS.finditer(lowered))

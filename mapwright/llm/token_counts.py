@@ -28,7 +28,7 @@ LONG_TEXT = 1 << 20
 
 # The byte-level pre-token pattern, written for the plain alphabet.
 PIECES = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d|\\x20?[{LETTERS}]+|\\x20?[{NUMBERS}]+|\\x20?[^{SPACES}{LETTERS}{NUMBERS}]+"
+    f"\\x20?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|\\x20?[{NUMBERS}]+|\\x20?[^{SPACES}{LETTERS}{NUMBERS}]+"
     f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 
@@ -98,7 +98,8 @@ def counter(path: str, frequent: dict[str, int]) -> Callable[[str], int]:
     look = Lengths(frequent, lambda piece: len(model.tokenize(byte_level(piece)))).__getitem__
 
     def count(text: str) -> int:
-        if NOT_PLAIN.search(text) or special.search(text):
+        # In ASCII texts all classes agree, control characters included.
+        if not text.isascii() and NOT_PLAIN.search(text) or special.search(text):
             return whole(text)
         if len(text) > LONG_TEXT:
             return sum(look(m.group()) for m in PIECES.finditer(text))
