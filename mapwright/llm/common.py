@@ -109,7 +109,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
 class Recent(dict):
     """Cache of ``make(key)`` in two generations: what was not asked for during a whole generation is forgotten."""
 
-    def __init__(self, make: Callable, size: int = 200_000, longest: int = 256):
+    def __init__(self, make: Callable, size: int = 100_000, longest: int = 256):
         super().__init__()
         self.make, self.size, self.longest, self.older = make, size, longest, {}
 

@@ -30,6 +30,8 @@ SEQUENCE, END_ID = 4096, 2
 #: Directions, and bits of each coordinate on the curve.
 DIMENSIONS, BITS = 3, 16
 LONG_TEXT = 1 << 20
+#: Words of a generation of the cache.
+CACHED = 200_000
 
 # The word pattern of the lower-casing tokenizer, written for the plain alphabet.
 WORDS = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
@@ -49,7 +51,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     model = tokenizer.model
-    look = Recent(lambda word: pack_ids([t.id for t in model.tokenize(byte_level(word))])).__getitem__
+    look = Recent(lambda word: pack_ids([t.id for t in model.tokenize(byte_level(word))]), CACHED).__getitem__
 
     def encode(text: str) -> bytes:
         lowered = text.lower()
