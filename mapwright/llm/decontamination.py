@@ -4,8 +4,10 @@ A text becomes template tokens: numbers, units and names (capitalised words insi
 else is the lower-cased word. Windows of ``WINDOW`` tokens with at least ``LITERALS`` plain words are hashed; those with names a
 second time with the names as words. Documents keep only
 windows that pass a bitmap of the benchmark's windows (of fixed size, whatever the benchmark's), and these meet the benchmark
-in a hash join. For each document and item the exchanged values must be consistent: one value of the item stands for one
-value of the document throughout. A pair counts when enough of the item's windows are found.
+in a hash join. The exchanged values must be consistent: one value of the item stands for one value of the document. A pair
+counts when enough of the item's windows are found with consistent values, in the whole document or in one occurrence:
+windows of the same distance from their places in the item (or of almost the same, for inserted words), or windows that hold
+the item's own values.
 
 Items shorter than a window are one window of their own length and found only as such. Null or empty texts and items have no
 windows. Repeated documents are each reported; rows that share a ``doc_id`` are one document. An empty table on either side
@@ -14,22 +16,26 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapwright.llm.common import Recent, free_name, has_bit, map_rows, set_bits, small_batches, texts
+from mapwright.llm.common import Recent, free_name, has_bit, map_rows, set_bits, small_batches, stored, texts
 
 WINDOW, LITERALS = 8, 5
 #: A pair counts with this share of the item's windows, or with this many of them.
 SHARE, ENOUGH = 0.5, 6
 #: Share of the item's exchanged values that must map to one value each.
 CONSISTENT = 0.75
+#: Windows of one occurrence differ by at most so many words, from one to the next, in their distance from the item's places.
+DRIFT = 4
 BITS = 1 << 25
+VIEW = "struct<kind:int,piece:bigint,at:bigint>"
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 LITERAL, NUMBER, UNIT, NAME, MARK = range(5)
 
@@ -105,6 +111,10 @@ def windows(kind: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def slots(tokens: list[str], places: np.ndarray, kind: np.ndarray, at: int) -> list[str]:
     return [tokens[places[i]].lower() for i in range(at, min(at + WINDOW, len(places))) if kind[i] != LITERAL]
 
@@ -134,7 +144,7 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
 
 
 def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``window`` and ``doc_slots`` of the windows that may be an item's."""
+    """``doc_id``, ``piece`` (the text's digest), ``window``, ``doc_slots`` and all places ``doc_at`` of the windows that may be an item's."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(set_bits(items.select(F.pmod("window", F.lit(BITS)).alias("place")), BITS))
@@ -145,40 +155,70 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         bitmap = shared.value
 
         def work(batch: pa.RecordBatch) -> dict:
-            row, values, held = [], [], []
+            row, pieces, values, held, places_of = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 tokens, places, kind, words = template(text, codes)
+                met: dict[tuple, list[int]] = {}
                 for at, found, own in windows(kind, words):
                     hit = has_bit(bitmap, (found & np.uint64(BITS - 1)).astype(np.int64))
                     for a, w in zip(at[hit].tolist(), found[hit].astype(np.int64).tolist(), strict=True):
-                        row.append(r), values.append(w), held.append(slots(tokens, places, own, a))
-            return {"doc_id": batch.column(0).take(pa.array(row, pa.int64())), "window": pa.array(values, pa.int64()), "doc_slots": pa.array(held, pa.list_(pa.string()))}
+                        met.setdefault((w, *slots(tokens, places, own, a)), []).append(a)
+                piece = digest(text) if met else 0
+                for (w, *own_slots), starts in met.items():
+                    row.append(r), pieces.append(piece), values.append(w), held.append(own_slots), places_of.append(starts)
+            return {
+                "doc_id": batch.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(pieces, pa.int64()), "window": pa.array(values, pa.int64()),
+                "doc_slots": pa.array(held, pa.list_(pa.string())), "doc_at": pa.array(places_of, pa.list_(pa.int64())),
+            }
 
         return work
 
-    return map_rows(narrow, make, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, window long, doc_slots array<string>")
+    return map_rows(narrow, make, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece long, window long, doc_slots array<string>, doc_at array<bigint>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and item: windows found, the item's windows, exchanged values and how many are consistent."""
-    items = item_windows(benchmark)
-    found = document_windows(docs, items, id_col, text_col).distinct()
-    met = found.join(items, "window").where(F.size("item_slots") == F.size("doc_slots"))
+def consistency(met: DataFrame, *by: str) -> DataFrame:
+    """Per document, item and ``by``: windows found, the item's windows, exchanged values and how many are consistent."""
+    keys = ["doc_id", "item_id", *by]
     pair = F.explode_outer(F.arrays_zip("item_slots", "doc_slots"))
     # Per exchanged value of the item: does it stand for one value of the document?
-    values = met.select("doc_id", "item_id", "item_at", "n_windows", pair.alias("pair")).select("doc_id", "item_id", "item_at", "n_windows", "pair.*")
-    per_value = values.groupBy("doc_id", "item_id", "item_slots").agg(
+    values = met.select(*keys, "item_at", "n_windows", pair.alias("pair")).select(*keys, "item_at", "n_windows", "pair.*")
+    per_value = values.groupBy(*keys, "item_slots").agg(
         F.count_distinct("doc_slots").alias("stands_for"), F.max(F.col("item_slots") != F.col("doc_slots")).alias("exchanged"),
         F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("at"),
     )
     slot = F.col("item_slots").isNotNull()
-    per_pair = per_value.groupBy("doc_id", "item_id").agg(
+    return per_value.groupBy(*keys).agg(
         F.max("n_windows").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("windows_found"),
         F.sum(F.when(slot, 1).otherwise(0)).alias("slots"), F.sum(F.when(slot & (F.col("stands_for") == 1), 1).otherwise(0)).alias("consistent_slots"),
         F.coalesce(F.max("exchanged"), F.lit(False)).alias("exchanged"),
     )
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document and item: windows found, the item's windows, exchanged values and how many are consistent.
+
+    The figures are those of the whole document, or, if its values are not consistent, of the occurrence with most windows.
+    """
+    items = stored(item_windows(benchmark), "item-windows")
+    found = stored(document_windows(docs, items, id_col, text_col).distinct(), "document-windows")
+    met = found.join(items, "window").where(F.size("item_slots") == F.size("doc_slots"))
     enough = (F.col("windows_found") >= F.col("item_windows") * SHARE) | (F.col("windows_found") >= ENOUGH)
-    return per_pair.where(enough & (F.col("consistent_slots") >= F.col("slots") * CONSISTENT))
+    consistent = F.col("consistent_slots") >= F.col("slots") * CONSISTENT
+    whole = consistency(met).where(enough)
+    unsure = whole.where(~consistent).select("doc_id", "item_id")
+    # Occurrences: windows on one alignment, on alignments next to each other, and those with the item's own values.
+    placed = met.join(unsure, ["doc_id", "item_id"]).withColumn("doc_at", F.explode("doc_at")).withColumn("place", F.col("doc_at") - F.col("item_at"))
+    in_order = Window.partitionBy("doc_id", "piece", "item_id").orderBy("place")
+    placed = placed.withColumn("jump", F.when(F.col("place") - F.lag("place").over(in_order) > DRIFT, 1).otherwise(0))
+    placed = placed.withColumn("run", F.sum("jump").over(in_order))
+    view = lambda kind, piece, at: F.struct(F.lit(kind).alias("kind"), piece.cast("long").alias("piece"), at.cast("long").alias("at"))
+    aligned = F.array(view(0, F.col("piece"), F.col("place")), view(1, F.col("piece"), F.col("run")))
+    own = F.when(F.col("item_slots") == F.col("doc_slots"), F.array(view(2, F.lit(0), F.lit(0)))).otherwise(F.array().cast(f"array<{VIEW}>"))
+    occurrences = consistency(placed.withColumn("view", F.explode(F.concat(aligned, own))), "view").where(enough & consistent)
+    figures = F.struct("windows_found", "item_windows", "consistent_slots", "slots", (~F.col("exchanged")).alias("own"))
+    best = occurrences.groupBy("doc_id", "item_id").agg(F.max(figures).alias("best")).select("doc_id", "item_id", "best.*")
+    best = best.withColumn("exchanged", ~F.col("own")).drop("own")
+    return whole.where(consistent).unionByName(best)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

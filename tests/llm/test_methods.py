@@ -134,6 +134,21 @@ def test_reparameterised_question(spark):
     assert got.keys() == {1, 3, 4, 5, 6} and got[1] and not got[4]
 
 
+def test_item_beside_passages_of_its_template(spark):
+    """Occurrences are judged one by one: other values of the template elsewhere in the document do not hide an item."""
+    say = "Yesterday the farmer {} sold {} apples and {} pears for {} dollars each at the market near {} before noon.".format
+    item, bob, ann = say("Tom", 12, 30, 5, "Boston"), say("Bob", 17, 44, 9, "Denver"), say("Ann", 21, 63, 8, "Dallas")
+    drill = "please add number 3 to the big sum now then please add number 8 to the big sum now then stop"
+    split = item.replace("for 5", "for as much as 5")
+    mixed = "Yesterday the farmer Bob sold 17 apples and 44 pears in town. The farmer Ann sold 63 apples and 21 pears for 8 dollars."
+    docs = [(1, f"{item} {bob}"), (2, f"{bob} Some words. {ann}"), (3, drill), (4, f"{ann} And so on. {split}"), (5, f"{item} {bob} {ann} {item}"), (6, mixed)]
+    docs += [(7, bob), (7, ann)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, drill)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    assert got.keys() == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 1), (7, 1)} and len(got) == found.count()
+    assert not got[1, 1].exchanged and got[2, 1].exchanged and not got[3, 2].exchanged
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1080)]
