@@ -9,8 +9,10 @@ counts when enough of the item's windows are found with consistent values, in th
 windows of the same distance from their places in the item (or of almost the same, for inserted words), or windows that hold
 the item's own values.
 
-Items shorter than a window are one window of their own length and found only as such. Null or empty texts and items have no
-windows. Repeated documents are each reported; rows that share a ``doc_id`` are one document. An empty table on either side
+Items shorter than a window are one window of their own length, and documents are cut into windows of these lengths too. An item
+without a window of enough plain words (short ones, numbers) is found by its own words: windows of all words as they are, kept
+where the passage of the document is the item's but for capitals and white space. Letters of scripts written without spaces
+are words of their own. Null or empty texts and items have no windows; nor have texts without any letter or digit. Repeated documents are each reported; rows that share a ``doc_id`` are one document. An empty table on either side
 gives an empty result.
 """
 
@@ -37,6 +39,10 @@ DRIFT = 4
 BITS = 1 << 25
 VIEW = "struct<kind:int,piece:bigint,at:bigint>"
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
+# Thai, Lao, Tibetan, Myanmar, Khmer, Tai Le to Khmer signs, Kana and Bopomofo, Han, and their higher planes.
+SPACELESS = "\u0e01-\u0e4f\u0e81-\u0ecf\u0edc-\u0fbc\u1000-\u103f\u1050-\u109f\u1780-\u17d3\u1950-\u19df\u3005-\u3007\u3021-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018dff\U0001b000-\U0001b2ff\U00020000-\U0003ffff"
+HAS_SPACELESS = re.compile(f"[{SPACELESS}]")
+TOKEN_SPACELESS = re.compile(rf"\d+(?:[.,]\d+)*|[{SPACELESS}]|[^\W{SPACELESS}]+|[.!?\n]")
 LITERAL, NUMBER, UNIT, NAME, MARK = range(5)
 
 # Words that count as units.
@@ -73,9 +79,13 @@ def code(token: str) -> int:
     return (zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)) & ~7 | kind
 
 
+def pattern(text: str) -> re.Pattern:
+    return TOKEN if text.isascii() or not HAS_SPACELESS.search(text) else TOKEN_SPACELESS
+
+
 def template(text: str, codes: Recent) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """All tokens, the places of the words among them, the words' kinds and their hashes as plain words."""
-    tokens = TOKEN.findall(text)
+    tokens = pattern(text).findall(text)
     coded = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
     kind = (coded & np.uint64(7)).astype(np.int8)
     mark = kind == MARK
@@ -84,70 +94,104 @@ def template(text: str, codes: Recent) -> tuple[list[str], np.ndarray, np.ndarra
     return tokens, np.flatnonzero(~mark), kind[~mark], coded[~mark] & ~np.uint64(7)
 
 
-def windows(kind: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of ``width`` words."""
+    n = max(0, len(hashes) - width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+    return mixed(total + np.uint64(width))
+
+
+def windows(kind: np.ndarray, words: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Starts and hashes of the windows with enough plain words, with the kinds they were made from.
 
     Windows that hold names come twice: with placeholders, and with the names as plain words, so that a passage set in
-    other capitals is found too. A text shorter than a window is one window.
+    other capitals is found too. Only a text that is one window may have fewer plain words, if all its words are.
     """
-    width = min(WINDOW, len(words))
     n = len(words) - width + 1
     out = []
+    if n < 1 or not width or width < LITERALS and n > 1:
+        return out
     for names in (True, False):
         own = kind if names else np.where(kind == NAME, LITERAL, kind)
-        if not width or not names and not (kind == NAME).any():
+        if not names and not (kind == NAME).any():
             continue
         hashes = mixed(np.where(own == LITERAL, words, own.astype(np.uint64) + np.uint64(1)))
-        total = np.zeros(n, np.uint64)
-        for k in range(width):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
         plain = np.concatenate(([0], np.cumsum(own == LITERAL)))
         good = plain[width:] - plain[:n] >= min(LITERALS, width)
         if not names:
             named = np.concatenate(([0], np.cumsum(kind == NAME)))
             good &= named[width:] > named[:n]
         at = np.flatnonzero(good)
-        out.append((at, mixed(total[at] + np.uint64(width)), own))
+        out.append((at, rolled(hashes, width)[at], own))
     return out
 
 
+def verbatim(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of words as they are, whatever their kinds."""
+    return rolled(mixed(words + np.uint64(MARK)), width)
+
+
+def passages(text: str, places: np.ndarray, starts: list[int], width: int) -> list[int]:
+    """Digests of the passages that begin at these words, in lower case and with single spaces."""
+    spans = [m.span() for m in pattern(text).finditer(text)]
+    return [digest(" ".join(text[spans[places[a]][0] : spans[places[a + width - 1]][1]].lower().split())) for a in starts]
+
+
 def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def slots(tokens: list[str], places: np.ndarray, kind: np.ndarray, at: int) -> list[str]:
-    return [tokens[places[i]].lower() for i in range(at, min(at + WINDOW, len(places))) if kind[i] != LITERAL]
+def slots(tokens: list[str], places: np.ndarray, kind: np.ndarray, at: int, width: int) -> list[str]:
+    return [tokens[places[i]].lower() for i in range(at, at + width) if kind[i] != LITERAL]
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id``, ``item_at``, ``window``, ``item_slots`` and ``n_windows`` of the item."""
+    """``item_id``, ``item_at``, ``window``, ``item_slots`` and ``n_windows`` of the item.
+
+    ``width`` is the window's; ``sign`` is what documents are tried by: the window, or a verbatim window's words.
+    """
     narrow = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
 
     def make():
         codes = Recent(code)
 
         def work(batch: pa.RecordBatch) -> dict:
-            ids, starts, values, held, counts = [], [], [], [], []
+            ids, starts, values, held, counts, widths, signs, forms = [], [], [], [], [], [], [], []
+
+            def add(item, at, window, own_slots, number, width, sign, exact):
+                ids.append(item), starts.append(at), values.append(window), held.append(own_slots)
+                counts.append(number), widths.append(width), signs.append(sign), forms.append(exact)
+
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, places, kind, words = template(text, codes)
-                made = windows(kind, words)
+                width = min(WINDOW, len(words))
+                made = windows(kind, words, width)
                 number = len(np.unique(np.concatenate([at for at, _, _ in made]))) if made else 0
                 for at, found, own in made:
                     for a, w in zip(at.tolist(), found.astype(np.int64).tolist(), strict=True):
-                        ids.append(item), starts.append(a), values.append(w), counts.append(number)
-                        held.append(slots(tokens, places, own, a))
-            return {"item_id": pa.array(ids, batch.column(0).type), "item_at": pa.array(starts, pa.int64()), "window": pa.array(values, pa.int64()), "item_slots": pa.array(held, pa.list_(pa.string())), "n_windows": pa.array(counts, pa.int64())}
+                        add(item, a, w, slots(tokens, places, own, a, width), number, width, w, False)
+                if width and (not number or width < LITERALS):
+                    found = verbatim(words, width).astype(np.int64).tolist()
+                    for a, (sign, w) in enumerate(zip(found, passages(text, places, range(len(found)), width), strict=True)):
+                        add(item, a, w, [], len(found), width, sign, True)
+            return {
+                "item_id": pa.array(ids, batch.column(0).type), "item_at": pa.array(starts, pa.int64()), "window": pa.array(values, pa.int64()), "item_slots": pa.array(held, pa.list_(pa.string())),
+                "n_windows": pa.array(counts, pa.int64()), "width": pa.array(widths, pa.int32()), "sign": pa.array(signs, pa.int64()), "exact": pa.array(forms, pa.bool_()),
+            }
 
         return work
 
-    return map_rows(narrow, make, f"item_id {narrow.schema['item_id'].dataType.simpleString()}, item_at long, window long, item_slots array<string>, n_windows long")
+    return map_rows(narrow, make, f"item_id {narrow.schema['item_id'].dataType.simpleString()}, item_at long, window long, item_slots array<string>, n_windows long, width int, sign long, exact boolean")
 
 
 def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``piece`` (the text's digest), ``window``, ``doc_slots`` and all places ``doc_at`` of the windows that may be an item's."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(set_bits(items.select(F.pmod("window", F.lit(BITS)).alias("place")), BITS))
+    shared = spark.sparkContext.broadcast(set_bits(items.select(F.pmod("sign", F.lit(BITS)).alias("place")), BITS))
+    shapes = sorted(map(tuple, items.select("width", "exact").distinct().collect()))  # at most WINDOW widths, twice
     narrow = texts(docs, id_col, text_col).where("doc_id is not null")
 
     def make():
@@ -159,10 +203,16 @@ def document_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
             for r, text in enumerate(batch.column(1).to_pylist()):
                 tokens, places, kind, words = template(text, codes)
                 met: dict[tuple, list[int]] = {}
-                for at, found, own in windows(kind, words):
-                    hit = has_bit(bitmap, (found & np.uint64(BITS - 1)).astype(np.int64))
-                    for a, w in zip(at[hit].tolist(), found[hit].astype(np.int64).tolist(), strict=True):
-                        met.setdefault((w, *slots(tokens, places, own, a)), []).append(a)
+                for width, exact in shapes:
+                    if exact:
+                        hit = np.flatnonzero(has_bit(bitmap, (verbatim(words, width) & np.uint64(BITS - 1)).astype(np.int64))).tolist()
+                        for a, w in zip(hit, passages(text, places, hit, width) if hit else [], strict=True):
+                            met.setdefault((w,), []).append(a)
+                        continue
+                    for at, found, own in windows(kind, words, width):
+                        hit = has_bit(bitmap, (found & np.uint64(BITS - 1)).astype(np.int64))
+                        for a, w in zip(at[hit].tolist(), found[hit].astype(np.int64).tolist(), strict=True):
+                            met.setdefault((w, *slots(tokens, places, own, a, width)), []).append(a)
                 piece = digest(text) if met else 0
                 for (w, *own_slots), starts in met.items():
                     row.append(r), pieces.append(piece), values.append(w), held.append(own_slots), places_of.append(starts)

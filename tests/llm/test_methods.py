@@ -149,6 +149,20 @@ def test_item_beside_passages_of_its_template(spark):
     assert not got[1, 1].exchanged and got[2, 1].exchanged and not got[3, 2].exchanged
 
 
+def test_items_without_template_windows(spark):
+    """Short items, items of numbers and items in scripts without spaces are found inside longer documents."""
+    items = [
+        (1, "What is 12 + 35 * 4 - 8?"), (2, "Name the red planet"), (3, "12 7 9 33 48 51 60 72 85 96"), (4, "今天天气很好我们去公园玩"), (5, "why do the leaves fall in autumn"),
+        (6, "Paris"), (7, "the store sold 12 red hats"), (8, "ไปเที่ยวทะเลกันไหม"), (9, "+ - *"), (10, "红色"),
+    ]
+    docs = [(i, f"Some noise before, and then: {text} And some noise of many words behind it.") for i, text in items]
+    docs += [(21, "And what is 12 - 35 * 4 + 8? Say so."), (22, "name,\nthe red; planet and other things in the sky"), (23, "我说今天天气很好我们去公园玩吧，好不好"), (24, "I know that the store sold 95 red hats then")]
+    docs += [(25, "NAME THE\nRED PLANET"), (26, "12 7 9 33 41 51 60 72 12 96"), (27, "What is 112 + 35 * 4 - 8? What is 12 + 35 * 4 - 80")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.exchanged for r in found.collect()}
+    assert got.keys() == {(i, i) for i, _ in items if i != 9} | {(23, 4), (24, 7), (25, 2)} and got[24, 7] and not got[7, 7]
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1080)]
