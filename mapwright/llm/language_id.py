@@ -37,7 +37,7 @@ UNKNOWN, SPACE = 0, 1
 def symbols(text: str, code: np.ndarray) -> np.ndarray:
     """Lower-cased letters as symbols; everything else is a space, runs of spaces are one, one stands at either end."""
     points = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
-    out = code[np.minimum(points, len(code) - 1)]
+    out = code[points]
     space = out == SPACE
     return out[np.concatenate(([True], ~(space[1:] & space[:-1])))]
 
@@ -45,12 +45,10 @@ def symbols(text: str, code: np.ndarray) -> np.ndarray:
 def letter_codes(counts: dict[str, int]) -> np.ndarray:
     """Symbol of each code point: letters of the sample by frequency, other letters unknown, the rest a space."""
     known = {c: i + 2 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:LETTER_SYMBOLS])}
-    code = np.full(0x11000, SPACE, dtype=np.uint8)
-    for point in range(len(code) - 1):
-        c = chr(point)
-        if c.isalpha():
-            code[point] = known.get(c, UNKNOWN)
-    code[-1] = UNKNOWN  # letters and signs of the higher planes
+    letter = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+    code = np.where(letter, UNKNOWN, SPACE).astype(np.uint8)
+    for c, symbol in known.items():
+        code[ord(c)] = symbol
     return code
 
 

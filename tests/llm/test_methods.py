@@ -99,6 +99,14 @@ def test_suffix_automaton_and_phrases():
         assert language_id.phrases(moves, np.array([text]), np.array([len(text)]))[0] == want
 
 
+def test_signs_of_higher_planes_are_no_letters(spark):
+    learn = [(1, "a cat and a dog", "en"), (2, "ein Hund und eine Katze", "de")]
+    model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
+    names, scores = language_id.labeller(model)(["😀🎉", "12 😀 7", "😀 a cat", "𐌰𐌱"])
+    assert names[:3] == ["und", "und", "en"] and names[3] != "und" and scores.tolist()[:2] == [0, 0] and scores[2] > 0
+    assert language_id.symbols("a😀b", model["code"]).tolist() == language_id.symbols("a b", model["code"]).tolist()
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|a", "<\\\\|", "<|<|", "a\nb\\n", "<\n|", "<\\n|", "\\", "<", "|", ""])
 def test_escapes(text):
     content, role = chat_format.escape(pa.array([text]))[0].as_py(), chat_format.escape_role(pa.array([text]))[0].as_py()
