@@ -14,6 +14,7 @@ learned. Ties go to the language whose name sorts first. Repeated rows get the s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from mapwright.llm.common import map_rows, rows, small_batches, texts
 
 #: The fitting sample: rows of a language, characters of a row, symbols of a language, and symbols of all languages together.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 20_000, 30_000, 1 << 18
-#: Different letters that get a symbol of their own; rarer ones share the unknown symbol.
-LETTER_SYMBOLS = 200
+#: Automata of languages with up to so many letters keep all transitions in a table, others only those there are.
+TABLE_SYMBOLS = 200
 BLOCK = 256
 #: How fast the score falls with the lead in bits per symbol.
 SHARPNESS = 12.0
@@ -42,18 +43,59 @@ def symbols(text: str, code: np.ndarray) -> np.ndarray:
     return out[np.concatenate(([True], ~(space[1:] & space[:-1])))]
 
 
-def letter_codes(counts: dict[str, int]) -> np.ndarray:
-    """Symbol of each code point: letters of the sample by frequency, other letters unknown, the rest a space."""
-    known = {c: i + 2 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:LETTER_SYMBOLS])}
+def letter_points() -> np.ndarray:
+    """Each letter's code point stands for itself, the rest is a space; no letter has a code point as small as the two symbols."""
     letter = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
-    code = np.where(letter, UNKNOWN, SPACE).astype(np.uint8)
-    for c, symbol in known.items():
-        code[ord(c)] = symbol
+    return np.where(letter, np.arange(0x110000), SPACE).astype(np.int32)
+
+
+def letter_codes(points: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Symbol of each code point: 2 and up for the letters ``known``, unknown for other letters, the rest a space."""
+    code = np.where(points == SPACE, SPACE, UNKNOWN).astype(np.min_scalar_type(len(known) + 1))
+    code[known] = np.arange(2, len(known) + 2)
     return code
 
 
-def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray:
+class Sparse(NamedTuple):
+    """Transitions that exist: ``state * width + symbol`` in order, and where they lead; the last state leads nowhere."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    width: int
+    dead: int
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        wanted = state * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.to[at], -1)
+
+
+class Table(NamedTuple):
+    """All transitions, states by symbols, in one row; -1 where there is none."""
+
+    flat: np.ndarray
+    width: int
+    dead: int
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.flat[state * self.width + symbol]
+
+
+def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray | Sparse:
     """Transitions of the automaton of all substrings: states by symbols, -1 where none; the last state leads nowhere."""
+    step = transitions(sequence)
+    if width > TABLE_SYMBOLS + 2:
+        pairs = np.array([(state * width + c, to) for state, row in enumerate(step) for c, to in sorted(row.items())], dtype=np.int64)
+        return Sparse(pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), width, len(step))
+    moves = np.full((len(step) + 1, width), -1, dtype=np.int32)
+    for state, row in enumerate(step):
+        for c, to in row.items():
+            moves[state, c] = to
+    return moves
+
+
+def transitions(sequence: np.ndarray) -> list[dict[int, int]]:
+    """Where each state of the automaton leads by each symbol."""
     link, size, step = [-1], [0], [{}]
     last = 0
     for c in sequence.tolist():
@@ -99,18 +141,14 @@ def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray:
                     step[p][c] = clone
                     p = link[p]
         last = new
-    moves = np.full((len(size) + 1, width), -1, dtype=np.int32)
-    for state, row in enumerate(step):
-        for c, to in row.items():
-            moves[state, c] = to
-    return moves
+    return step
 
 
-def phrases(moves: np.ndarray, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def phrases(moves: np.ndarray | Sparse, blocks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Greedy phrases of each block; blocks are rows, longest first, and all take a step at a time."""
-    width, dead = moves.shape[1], moves.shape[0] - 1
-    flat = moves.ravel()
-    start = np.where(moves[0] < 0, dead, moves[0]).astype(np.int32)
+    steps = moves if isinstance(moves, Sparse) else Table(moves.ravel(), moves.shape[1], moves.shape[0] - 1)
+    start = steps.follow(np.zeros(steps.width, np.int64), np.arange(steps.width))
+    start = np.where(start < 0, steps.dead, start).astype(np.int32)
     count = np.ones(len(blocks), dtype=np.int64)
     if not len(blocks):
         return count
@@ -121,7 +159,7 @@ def phrases(moves: np.ndarray, blocks: np.ndarray, sizes: np.ndarray) -> np.ndar
         if not n:
             break
         c = blocks[:n, t].astype(np.int64)
-        to = flat[state[:n] * width + c]
+        to = steps.follow(state[:n], c)
         miss = to < 0
         count[:n] += miss
         state[:n] = np.where(miss, start[c], to)
@@ -144,12 +182,13 @@ def parse(model: dict, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(p) for p in parts])
     order = np.argsort(-sizes, kind="stable")
     sizes, owner = sizes[order], np.array(owner)[order]
-    blocks = np.zeros((len(parts), int(sizes[0])), dtype=np.uint8)
+    blocks = np.zeros((len(parts), int(sizes[0])), dtype=model["code"].dtype)
     for row, k in enumerate(order):
         blocks[row, : sizes[row]] = parts[k]
     length = np.maximum(1, np.bincount(owner, sizes, len(batch)))
     for j, moves in enumerate(model["moves"]):
-        bits[:, j] = np.bincount(owner, phrases(moves, blocks, sizes), len(batch)) * np.log2(model["sizes"][j]) / length
+        own = model["letters"][j][blocks]
+        bits[:, j] = np.bincount(owner, phrases(moves, own, sizes), len(batch)) * np.log2(model["sizes"][j]) / length
     return bits, lettered
 
 
@@ -167,23 +206,22 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     by_lang: dict[str, list[str]] = {}
     for lang, _, text in sorted(sample.collect()):  # at most SAMPLE_ROWS rows of SAMPLE_CHARS characters per language
         by_lang.setdefault(lang, []).append(text)
-    counts: dict[str, int] = {}
-    for found in by_lang.values():
-        for text in found:
-            for c in text.lower():
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-    code = letter_codes(counts)
-    width = 2 + min(LETTER_SYMBOLS, len(counts))
+    points = letter_points()
     room = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(by_lang)))
-    model: dict = {"code": code, "names": [], "moves": [], "sizes": []}
-    for lang in sorted(by_lang):
-        sequence = np.concatenate([symbols(t, code) for t in by_lang[lang]])
-        if (sequence == SPACE).all():
-            continue
-        sequence = sequence[:room]
+    sequences = {lang: np.concatenate([symbols(t, points) for t in by_lang[lang]]) for lang in sorted(by_lang)}
+    sequences = {lang: found[:room] for lang, found in sequences.items() if not (found == SPACE).all()}
+    letters = {lang: np.unique(found[found != SPACE]) for lang, found in sequences.items()}
+    known = np.unique(np.concatenate([np.zeros(0, np.int32), *letters.values()]))
+    code = letter_codes(points, known)
+    model: dict = {"code": code, "names": [], "letters": [], "moves": [], "sizes": []}
+    for lang, sequence in sequences.items():
+        # The language's own symbols: letters it does not have are unknown to it.
+        own = np.zeros(len(known) + 2, dtype=np.min_scalar_type(len(letters[lang]) + 1))
+        own[SPACE] = SPACE
+        own[code[letters[lang]]] = np.arange(2, len(letters[lang]) + 2)
         model["names"].append(lang)
-        model["moves"].append(suffix_automaton(sequence, width))
+        model["letters"].append(own)
+        model["moves"].append(suffix_automaton(own[code[sequence]], len(letters[lang]) + 2))
         model["sizes"].append(max(2, len(sequence)))
     return model
 

@@ -99,6 +99,31 @@ def test_suffix_automaton_and_phrases():
         assert language_id.phrases(moves, np.array([text]), np.array([len(text)]))[0] == want
 
 
+def test_every_letter_of_the_sample_counts(spark):
+    """Languages with few rows and other letters are told apart beside one with thousands of common letters."""
+    rng = random.Random(7)
+    chinese = [chr(0x4E00 + k) for k in range(3000)]
+    scripts = {lang: [chr(first + k) for k in range(16)] for lang, first in (("am", 0x1200), ("hy", 0x561), ("ka", 0x10D0), ("gothic", 0x10330))}
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 6)))
+    learn = [("zh", "".join(rng.choice(chinese) for _ in range(300))) for _ in range(60)]
+    learn += [(lang, " ".join(word(letters) for _ in range(30))) for lang, letters in scripts.items() for _ in range(2)]
+    model = language_id.fit(spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(learn)], "doc_id long, text string, lang string"), F.lit(True))
+    assert all(model["code"][ord(c)] > 1 for lang, t in learn if lang != "zh" for c in t if c != " ") and len(model["letters"][model["names"].index("zh")]) > 2500
+    names, _ = language_id.labeller(model)([*(t[20:90] for _, t in learn), *(" ".join(word(letters) for _ in range(8)) for letters in scripts.values())])
+    assert names == [lang for lang, _ in learn] + list(scripts)
+
+
+def test_sparse_transitions_give_the_same_phrases(monkeypatch):
+    rng = np.random.default_rng(3)
+    sample, blocks = rng.integers(1, 9, 500), rng.integers(0, 9, (40, 60))
+    dense = language_id.suffix_automaton(sample, 9)
+    monkeypatch.setattr(language_id, "TABLE_SYMBOLS", 3)
+    sparse = language_id.suffix_automaton(sample, 9)
+    assert isinstance(sparse, language_id.Sparse) and not isinstance(dense, language_id.Sparse)
+    sizes = np.full(40, 60)
+    assert language_id.phrases(sparse, blocks, sizes).tolist() == language_id.phrases(dense, blocks, sizes).tolist()
+
+
 def test_signs_of_higher_planes_are_no_letters(spark):
     learn = [(1, "a cat and a dog", "en"), (2, "ein Hund und eine Katze", "de")]
     model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
