@@ -29,6 +29,8 @@ from mapwright.llm.common import map_rows, rows, small_batches, texts
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 20_000, 30_000, 1 << 18
 #: Automata of languages with up to so many letters keep all transitions in a table, others only those there are.
 TABLE_SYMBOLS = 200
+#: A long row gives its characters, and then its symbols, from so many places of the text at most, with so many symbols each at least.
+PLACES, PLACE_SYMBOLS = 4, 64
 BLOCK = 256
 #: How fast the score falls with the lead in bits per symbol.
 SHARPNESS = 12.0
@@ -192,6 +194,30 @@ def parse(model: dict, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bits, lettered
 
 
+def spread(text: Column) -> Column:
+    """A text of up to ``SAMPLE_CHARS`` whole, of a longer one as many characters from places spread over it."""
+    size = SAMPLE_CHARS // PLACES
+    left = F.length(text) - size
+    parts = [F.substring(text, F.floor(left * k / (PLACES - 1)).cast("int") + 1, F.lit(size)) for k in range(PLACES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
+
+
+def shared_room(sequences: list[np.ndarray], room: int) -> np.ndarray:
+    """Up to ``room`` symbols, the same number of each sequence; what short ones leave goes to the longer ones."""
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(sequences)
+    for done, k in enumerate(sorted(range(len(sequences)), key=lambda k: len(sequences[k]))):
+        found, quota = sequences[k], room // (len(sequences) - done)
+        if len(found) > quota:
+            places = max(1, min(PLACES, quota // PLACE_SYMBOLS))
+            size = quota // places
+            # One place alone is another one in each row.
+            at = np.linspace(0, len(found) - size, places) if places > 1 else [(len(found) - size) * (k % PLACES) / (PLACES - 1)]
+            found = np.concatenate([found[int(a) : int(a) + size] for a in at])
+        out[k] = found
+        room -= len(found)
+    return np.concatenate(out)
+
+
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text") -> dict:
     """Automata from the rows where ``learn`` holds: per language the rows with the smallest text hash."""
     mark = F.xxhash64(F.col(text_col))
@@ -200,16 +226,16 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str =
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     marks = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark")).distinct()
     marks = marks.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
-    chosen = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
+    chosen = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark"), spread(F.col(text_col).cast("string")).alias("text"))
     chosen = chosen.join(F.broadcast(marks), ["lang", "mark"])  # SAMPLE_ROWS marks per language
     sample = chosen.groupBy("lang", "rank").agg(F.min("text").alias("text"))
     by_lang: dict[str, list[str]] = {}
-    for lang, _, text in sorted(sample.collect()):  # at most SAMPLE_ROWS rows of SAMPLE_CHARS characters per language
+    for lang, _, text in sorted(sample.collect()):  # at most SAMPLE_ROWS rows of about SAMPLE_CHARS characters per language
         by_lang.setdefault(lang, []).append(text)
     points = letter_points()
     room = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(by_lang)))
-    sequences = {lang: np.concatenate([symbols(t, points) for t in by_lang[lang]]) for lang in sorted(by_lang)}
-    sequences = {lang: found[:room] for lang, found in sequences.items() if not (found == SPACE).all()}
+    sequences = {lang: shared_room([symbols(t, points) for t in by_lang[lang]], room) for lang in sorted(by_lang)}
+    sequences = {lang: found for lang, found in sequences.items() if not (found == SPACE).all()}
     letters = {lang: np.unique(found[found != SPACE]) for lang, found in sequences.items()}
     known = np.unique(np.concatenate([np.zeros(0, np.int32), *letters.values()]))
     code = letter_codes(points, known)

@@ -124,6 +124,18 @@ def test_sparse_transitions_give_the_same_phrases(monkeypatch):
     assert language_id.phrases(sparse, blocks, sizes).tolist() == language_id.phrases(dense, blocks, sizes).tolist()
 
 
+def test_one_long_row_is_not_a_language(spark):
+    """All rows of the sample share the room, and long rows give places from all over the text."""
+    letters = [chr(0x3041 + k) for k in range(40)]
+    learn = [(k, c * 50_000 if k % 2 else "x" * 50_000 + c * 5_000, "en") for k, c in enumerate(letters)]
+    model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
+    assert model["sizes"][0] <= language_id.SAMPLE_SYMBOLS and all(model["code"][ord(c)] > 1 for c in ["x", *letters])
+    rows = [np.arange(n) for n in (10, 5_000, 20, 9_000)]
+    taken = language_id.shared_room(rows, 1_000)
+    assert 990 <= len(taken) <= 1_000 and 8_999 in taken
+    assert np.array_equal(language_id.shared_room(rows, 20_000), np.concatenate(rows))
+
+
 def test_signs_of_higher_planes_are_no_letters(spark):
     learn = [(1, "a cat and a dog", "en"), (2, "ein Hund und eine Katze", "de")]
     model = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), F.lit(True))
