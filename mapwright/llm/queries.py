@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, pii, sharding, token_counts, toxicity
+from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, periodic_runs, pii, sharding, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
@@ -88,9 +88,37 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+
+
+# crc32 runs over the bits of the id's digits; a run is a row of neighbouring pairs of equal words at one distance.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(len(s)),
+    lambda i: list_transform(range(8), lambda b: CAST((ascii(s[i + 1]) >> b) & 1 AS BIGINT))))),
+  lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS h FROM d),
+g AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h),
+r AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM g),
+t AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM r),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isles AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pairs),
+stretches AS (SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM isles GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretches a WHERE NOT EXISTS (SELECT 1 FROM stretches b WHERE a.doc_id = b.doc_id AND b.period < a.period AND b.start <= a.start
+  AND b.start + b.length >= a.start + a.length)),
+per AS (SELECT doc_id, count(*) AS n_runs, first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.doc_id = t.doc_id
+  AND t.i >= runs.start + runs.period AND t.i < runs.start + runs.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+  1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup, op11_periodic_runs)}
 
 
 def oracle_sql():
-    return {"op2_chat_format": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_chat_format": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL}
