@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, minhash_dedup, packing, periodic_runs, pii, sharding, token_counts, toxicity
+from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, lexical_search, minhash_dedup, packing, periodic_runs, pii, sharding, token_counts, toxicity
 from mapwright.llm.common import id_bucket, table
 
 
@@ -116,9 +116,29 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+n AS (SELECT row, count(*) AS n FROM d GROUP BY row),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (row), total GROUP BY item_id, row, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup, op11_periodic_runs, op13_lexical_search)}
 
 
 def oracle_sql():
-    return {"op2_chat_format": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op2_chat_format": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_periodic_runs": OP11_SQL, "op13_lexical_search": OP13_SQL}
