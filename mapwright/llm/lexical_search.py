@@ -150,8 +150,11 @@ def build(plan: Plan, ids: pa.Array, n: np.ndarray, owner: np.ndarray, term: np.
     return Block(ids, terms, starts, docs, impacts, pair_max, np.cumsum(np.r_[0, sizes]), np.concatenate([np.zeros(0, np.int32), *pair_docs])), floors
 
 
-def groups(single: np.ndarray, wanted: np.ndarray, joint: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Terms matched into disjoint pairs, the largest saving first: bound, both places (-1: alone) and number of the pair."""
+def groups(single: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, joint: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Terms matched into disjoint pairs, the largest saving first: bound, both places (-1: alone) and number of the pair.
+
+    In the order of bounds a posting: what comes first may be left out at the least cost.
+    """
     alive = (single[wanted[:, 0]] > 0) & (single[wanted[:, 1]] > 0)
     wanted, joint = wanted[alive], joint[alive]
     bound = np.maximum(joint, np.maximum(single[wanted[:, 0]], single[wanted[:, 1]]))
@@ -163,15 +166,16 @@ def groups(single: np.ndarray, wanted: np.ndarray, joint: np.ndarray) -> list[tu
             used |= {i, j}
             out.append((int(bound[x]), i, j, p))
     out += [(int(single[i]), i, -1, -1) for i in np.nonzero(single)[0].tolist() if i not in used]
-    return sorted(out)
+    return sorted(out, key=lambda g: (g[0] / (sizes[g[1]] + (sizes[g[2]] if g[2] >= 0 else 0)), g[1]))
 
 
 def search_block(plan: Plan, block: Block, q: int, slot: np.ndarray, largest: np.ndarray, threshold: int, work: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of the block (places) and their whole scores: all that reach the threshold. ``work`` counts what was read."""
+    """Documents of the block (places) and their whole scores: all that reach the threshold. ``work`` counts candidates and postings read."""
     at = slot[plan.terms[q]]
     single = np.where(at >= 0, largest[at], 0)
     wanted = plan.item_pairs[q]
-    todo = groups(single, wanted, block.pair_max[wanted[:, 2]])
+    sizes = np.where(at >= 0, block.starts[at + 1] - block.starts[at], 0)
+    todo = groups(single, sizes, wanted, block.pair_max[wanted[:, 2]])
     before = np.cumsum([0, *[g[0] for g in todo]])
     none = np.zeros(0, dtype=np.int64)
     if before[-1] < threshold:
@@ -189,11 +193,15 @@ def search_block(plan: Plan, block: Block, q: int, slot: np.ndarray, largest: np
                 if x >= 0:
                     marked[block.docs[posting(x)]] = True
     left = np.nonzero(marked)[0]
+    if work is not None:
+        work += [len(left), 0]
     score = np.zeros(len(block.ids), dtype=np.int64)
     for g in reversed(range(len(todo))):
-        for x in todo[g][1:3]:
+        _, i, j, p = todo[g]
+        for x in (i, j):
             if x < 0 or not len(left):
                 continue
+            had = score[left]
             docs, impacts = block.docs[posting(x)], block.impacts[posting(x)]
             if len(docs) <= 4 * len(left):
                 score[docs] += impacts
@@ -203,8 +211,13 @@ def search_block(plan: Plan, block: Block, q: int, slot: np.ndarray, largest: np
                 hit = docs[found] == left
                 score[left[hit]] += impacts[found[hit]]
             if work is not None:
-                work += min(len(docs), 4 * len(left))
-        left = left[score[left] + before[g] >= threshold]
+                work += [0, min(len(docs), 4 * len(left))]
+            rest = before[g]
+            if x == i and j >= 0:
+                # With the first term of a pair the second adds no more than the joint maximum leaves.
+                gain = score[left] - had
+                rest = rest + np.where(gain > 0, np.clip(block.pair_max[p] - gain, 0, single[j]), single[j])
+            left = left[score[left] + rest >= threshold]
     return left, score[left]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, lexical_search, minhash_dedup, packing, periodic_runs, pii, sharding, token_counts, toxicity
+from mapwright.llm import chat_format, decontamination, exact_dedup, language_id, lexical_search, minhash_dedup, packing, periodic_runs, pii, sharding, token_counts, toxicity, vector_search
 from mapwright.llm.common import id_bucket, table
 
 
@@ -116,6 +116,10 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -137,7 +141,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup, op11_periodic_runs, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat_format, op3_pii, op4_token_counts, op5_minhash_dedup, op6_sharding, op7_language_id, op8_decontamination, op9_packing, op10_exact_dedup, op11_periodic_runs, op12_vector_search, op13_lexical_search)}
 
 
 def oracle_sql():

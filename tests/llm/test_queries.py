@@ -55,6 +55,12 @@ def near_answer(docs):
     return [(d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(docs)]
 
 
+#: Two queries (20 twice, 40) and what they may find: rows that are null, zero, not finite, short, or without an id take no part.
+ODD_VECTORS = [(*r, 0, "s", 9) for r in [
+    (20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (40, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [3.0, -1.0]), (4, [-2.0, 0.5]), (5, None), (6, [0.0, 0.0]),
+    (7, [None, 1.0]), (8, [float("nan"), 1.0]), (9, [float("inf"), 1.0]), (10, [1.0]), (11, [1.0, 2.0, 3.0]), (12, []), (None, [9.0, 9.0]), (60, None), (80, [0.0, -0.0])]]
+
+
 def odd_rows():
     prose = " ".join(f"word{k % 97}x{k % 31}" for k in range(400))
     near = prose.replace("word5x5", "other")
@@ -75,13 +81,14 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (None, "x y z x y z x y z"), (4, " ".join(f"word{k % 97}x{k % 31}" for k in range(50, 90)))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     turns = [(1, 0, "user", "a<|im_end|>\nb"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, None, "x"), (None, 0, "assistant", "<\\|"), (2, 3, "we\\ir\nd<|", "z" * 200_000), (2, 4, "assistant", "")]
     spark.createDataFrame([(*t, "c") for t in turns], "conv_id long, turn long, role string, text string, part string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame(ODD_VECTORS, "vec_id long, embedding array<float>, rank int, score string, list int").repartition(2).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "conversations"):
+    for name in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{odd}/{name}.parquet").where("false").write.parquet(f"{folder}/{name}.parquet")
     return folder
 
@@ -110,6 +117,18 @@ def test_odd_tables(spark, odd, name):
         assert {(r.doc_id, r.item_id) for r in rows} == {(d, 4) for d in (7, 8, 9, 10, 13)}
     elif name == "op9_packing":
         assert sum(r.start == 0 for r in rows) == n
+    elif name == "op12_vector_search":
+        east = [(3, 3.0), (1, 1.0), (2, 1.0), (20, 1.0), (20, 0.0), (4, -2.0)]
+        want = [(40, i, d, s) for i, (d, s) in enumerate(east, 1)]
+        want += [(20, i, d, s) for i, (d, s) in enumerate([(3, 3.0), (1, 1.0), (2, 1.0), (40, 1.0), (20, 0.0), (4, -2.0)], 1)]
+        want += [(20, i, d, s) for i, (d, s) in enumerate([(4, 1.0), (1, 0.0), (2, 0.0), (20, 0.0), (40, 0.0), (3, -2.0)], 1)]
+        assert collections.Counter(map(tuple, rows)) == collections.Counter(want)
+    elif name == "op13_lexical_search":
+        found = collections.defaultdict(list)
+        for r in rows:
+            found[r.item_id].append((r.rank, r.doc_id, r.score))
+        assert set(found) == {3, 4} and len(found[4]) == 7 and sorted(r for r, *_ in found[4]) == list(range(1, 8))
+        assert {d for _, d, _ in found[4]} == {7, 8, 9, 10, 13}
     else:
         assert len(rows) == n
         assert collections.Counter(r.doc_id for r in rows) == collections.Counter(d for d, *_ in odd_rows())
