@@ -7,7 +7,8 @@
    searches, of rows and of queries, walk a graph that joins each centroid with its nearest ones, in numpy inside the task.
 3. A query visits the lists whose centroid is at most ``ratio`` times as far as the nearest one. The ratio is fitted on the
    sample, so that ``RECALL`` of the exact neighbours there lie in a visited list. A query whose lists hold too few rows
-   goes on to the next nearest lists until they hold enough.
+   goes on to the next nearest lists until they hold enough. What the query finds among the sample's rows of its lists is a
+   first bound: rows of other parts that score less are in no answer.
 4. Neighbouring lists form parts of about ``PART_ROWS`` rows, larger lists are dealt over several parts; a query is sent once
    to each part it visits. The best rows of all parts meet per query.
 
@@ -44,6 +45,8 @@ SAMPLE_PER_LIST, SAMPLE_BYTES = 8, 32 << 20
 COPIES, MOST_COPIES = 1.5, 4
 #: Share of the sample's exact neighbours that the visited lists must hold; queries of the sample that are asked.
 RECALL, ASKED = 0.97, 512
+#: Rows of the sample that give a query its first bound.
+BOUND_ROWS = 16_384
 #: Edges of a centroid in the graph, first centroids of a walk, and how much farther than the nearest one a walk looks at least.
 EDGES, ENTRIES, LOOK = 16, 128, 1.1
 PART_ROWS, QUERY_ROWS = 4096, 512
@@ -59,6 +62,8 @@ class Model(NamedTuple):
     near: float  # a row goes to lists up to so many times the least distance
     ratio: float  # a query, to lists up to so many times it
     least: float  # distances below count as this one
+    rows: np.ndarray  # of the sample, at most BOUND_ROWS
+    lists: np.ndarray  # the nearest list of each
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -124,7 +129,8 @@ def fit(sample: np.ndarray, total: int, longest: float, k: int) -> Model:
         top = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
         need.append(np.where(held[top], d[r][nearest[top]], np.inf).min(axis=1) / max(d[r].min(), least, 1e-300))
     need = np.concatenate(need) if len(x) > 1 else np.ones(1)
-    return Model(centers, edges, entries, longest, near, float(np.quantile(need, RECALL, method="higher")), least)
+    some = np.linspace(0, len(x) - 1, min(BOUND_ROWS, len(x))).astype(np.int64)
+    return Model(centers, edges, entries, longest, near, float(np.quantile(need, RECALL, method="higher")), least, sample[some], nearest[some, 0])
 
 
 def walk(model: Model, x: np.ndarray, times: float, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +201,23 @@ def visited(model: Model, x: np.ndarray, counts: np.ndarray, enough: int) -> tup
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def bounds(model: Model, x: np.ndarray, row: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` rows of the visited lists reach for sure (-inf: unknown)."""
+    out = np.full(len(x), -np.inf)
+    if len(model.rows) < k:
+        return out
+    for a in range(0, len(x), 64):
+        b = min(a + 64, len(x))
+        mine = (row >= a) & (row < b)
+        seen = np.zeros((b - a, len(model.centers)), dtype=bool)
+        seen[row[mine] - a, lists[mine]] = True
+        close = np.where(seen[:, model.lists], x[a:b] @ model.rows.T, -np.inf)
+        reached = np.partition(close, len(model.rows) - k, axis=1)[:, len(model.rows) - k]
+        out[a:b] = reached - 1e-9 * np.abs(reached)
+    out[~np.isfinite(out)] = -np.inf
+    return out
+
+
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One row number per distinct vector, and the number of its vector for every row."""
     _, first, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
@@ -267,11 +290,11 @@ def deal(sizes: dict[int, tuple[int, int]], lists: int) -> Parts:
     return Parts(first, parts, counts)
 
 
-ROW = "part int, is_query boolean, lists array<int>, key1 long, key2 long, vec_id long"
+ROW = "part int, is_query boolean, lists array<int>, key1 long, key2 long, vec_id long, bound double"
 
 
 def search_parts(dealt: DataFrame, k: int) -> DataFrame:
-    """Rows of a part come first, then the queries that visit it: per query the best ``k`` rows of the part."""
+    """Rows of a part come first, then the queries that visit it: per query the best ``k`` rows of the part that reach its bound."""
 
     def score(part: list[pa.RecordBatch]):
         """Distinct vectors of the part with their ids, and the vectors of each list."""
@@ -294,6 +317,7 @@ def search_parts(dealt: DataFrame, k: int) -> DataFrame:
         for c in np.unique(asked):
             if int(c) in members:
                 close[np.ix_(owner[asked == c], members[int(c)])] = q[owner[asked == c]] @ x[members[int(c)]].T
+        close[close < batch.column("bound").to_numpy()[:, None]] = -np.inf
         width = min(k + SPARE, len(x))
         top = np.argpartition(-close, width - 1, axis=1)[:, :width]
         row, place = np.nonzero(np.isfinite(np.take_along_axis(close, top, axis=1)))
@@ -385,7 +409,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, at = visited(shared.value, matrix(batch.column(2)).astype(np.float64), p.counts, k + 1)
+            x = matrix(batch.column(2)).astype(np.float64)
+            row, at = visited(shared.value, x, p.counts, k + 1)
+            bound = bounds(shared.value, x, row, at, k + 1)
             n = p.parts[at]
             row, at, part = np.repeat(row, n), np.repeat(at, n), np.repeat(p.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
             order = np.lexsort((at, part, row))
@@ -394,11 +420,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             taken = batch.take(pa.array(row[new]))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)], pa.int32()), pa.array(at, pa.int32()))
             none = pa.nulls(len(new), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(np.ones(len(new), bool)), lists, taken.column(0), taken.column(1), none, taken.column(2)],
-                names=["part", "is_query", "lists", "key1", "key2", "vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[new], pa.int32()), pa.array(np.ones(len(new), bool)), lists, taken.column(0), taken.column(1), none, pa.array(bound[row[new]]), taken.column(2)],
+                names=["part", "is_query", "lists", "key1", "key2", "vec_id", "bound", "vec"])
 
     none = F.lit(None).cast("long")
-    placed = held.select(part_of("list", "vec_id").alias("part"), F.lit(False).alias("is_query"), F.array("list").alias("lists"), none.alias("key1"), none.alias("key2"), "vec_id", "vec")
+    placed = held.select(part_of("list", "vec_id").alias("part"), F.lit(False).alias("is_query"), F.array("list").alias("lists"), none.alias("key1"), none.alias("key2"), "vec_id", F.lit(None).cast("double").alias("bound"), "vec")
     dealt = placed.unionByName(asked.select("key1", "key2", "vec").mapInArrow(visits, f"{ROW}, vec {kind}"))
     found = search_parts(spread(dealt, "part").sortWithinPartitions("part", "is_query"), k + 1)
     # A row lies in several lists, so it may come from several parts.
