@@ -33,6 +33,8 @@ from mapwright.llm.common import map_rows, small_batches, stored, texts
 
 #: A block ends at either number.
 BLOCK_DOCS, BLOCK_POSTINGS = 4096, 250_000
+#: A block is a long row, so the writer of the index looks at its buffers after each row, not after a hundred.
+EVERY_ROW = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 #: Items are searched in rounds of about so many bytes and rows; what is sent to the workers follows from that.
 ROUND_BYTES, ROUND_ITEMS = 1 << 20, 10_000
 #: A pair joins a term with one of the next so many terms of the item in the order of weights.
@@ -316,7 +318,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         n_docs, n_terms = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(1))).first()
         df = {row.id: row.n for row in forward.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
         plan = spark.sparkContext.broadcast(make_plan(asked, number, df, n_docs, n_terms))
-        index = stored(index_blocks(forward, plan, k), "search-index")
+        index = stored(index_blocks(forward, plan, k), "search-index", **EVERY_ROW)
         floors = np.zeros(len(asked), dtype=np.int64)
         for q, least in index.select(F.posexplode("floors")).groupBy("pos").agg(F.max("col")).toLocalIterator():
             floors[q] = least
