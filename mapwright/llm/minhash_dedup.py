@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapwright.llm.common import free_name, has_bit, map_rows, set_bits, small_batches, stored
-from mapwright.llm.components import components
+from mapwright.llm.components import components, extended
 
 WORDS, PERCENT = 5, 75
 #: Minhashes in a group, groups in each of the two collections.
@@ -289,8 +289,7 @@ def labelled_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = components(links)
     for nearest in (True, False):  # closest pairs join most of what belongs together; then nothing is left out
         found = cross_pairs(buckets.select("key", "place", "node"), label, nodes, sets, nearest)
-        links = links.unionByName(stored(confirmed(found, sets), "minhash-more"))
-        label = components(links)
+        label = stored(extended(label, stored(confirmed(found, sets), "minhash-more")), "minhash-labels")
     label = label.withColumnRenamed("u", "node")
     return signed.select("doc_id", "text_hash", "n_shingles", "node").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
