@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapwright.llm.common import map_rows, rows, small_batches, texts
+from mapwright.llm.common import map_rows, rows, small_batches, stored, texts
 
 #: The fitting sample: rows of a language, characters of a row, symbols of a language, and symbols of all languages together.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALL_SYMBOLS = 200, 20_000, 30_000, 1 << 18
 #: Automata of languages with up to so many letters keep all transitions in a table, others only those there are.
 TABLE_SYMBOLS = 200
+#: So many times the rows wanted pass the bound on hashes, so that enough of them do.
+MARGIN = 4
 #: A long row gives its characters, and then its symbols, from so many places of the text at most, with so many symbols each at least.
 PLACES, PLACE_SYMBOLS = 4, 64
 BLOCK = 256
@@ -202,39 +204,86 @@ def spread(text: Column) -> Column:
     return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
 
 
+def quotas(sizes: list[int], room: int) -> list[int]:
+    """How many symbols each sequence gives: the same number each, and what short ones leave goes to the longer ones."""
+    out = [0] * len(sizes)
+    for done, k in enumerate(sorted(range(len(sizes)), key=lambda k: sizes[k])):
+        out[k] = min(sizes[k], room // (len(sizes) - done))
+        room -= out[k]
+    return out
+
+
+def cut(found: np.ndarray, quota: int, k: int) -> np.ndarray:
+    """About ``quota`` symbols of the k-th sequence, from places spread over it; one place alone is another one in each row."""
+    if len(found) <= quota:
+        return found
+    places = max(1, min(PLACES, quota // PLACE_SYMBOLS))
+    size = quota // places
+    at = np.linspace(0, len(found) - size, places) if places > 1 else [(len(found) - size) * (k % PLACES) / (PLACES - 1)]
+    return np.concatenate([found[int(a) : int(a) + size] for a in at])
+
+
 def shared_room(sequences: list[np.ndarray], room: int) -> np.ndarray:
-    """Up to ``room`` symbols, the same number of each sequence; what short ones leave goes to the longer ones."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(sequences)
-    for done, k in enumerate(sorted(range(len(sequences)), key=lambda k: len(sequences[k]))):
-        found, quota = sequences[k], room // (len(sequences) - done)
-        if len(found) > quota:
-            places = max(1, min(PLACES, quota // PLACE_SYMBOLS))
-            size = quota // places
-            # One place alone is another one in each row.
-            at = np.linspace(0, len(found) - size, places) if places > 1 else [(len(found) - size) * (k % PLACES) / (PLACES - 1)]
-            found = np.concatenate([found[int(a) : int(a) + size] for a in at])
-        out[k] = found
-        room -= len(found)
-    return np.concatenate(out)
+    """Up to ``room`` symbols of the sequences together."""
+    share = quotas([len(x) for x in sequences], room)
+    return np.concatenate([cut(x, share[k], k) for k, x in enumerate(sequences)])
+
+
+def chosen_rows(labelled: DataFrame) -> DataFrame:
+    """``lang``, ``mark`` and ``rank`` of the ``SAMPLE_ROWS`` smallest text hashes of each language.
+
+    The number of different hashes of a language, about, gives a bound that lets some ``MARGIN`` times as many through, so no task
+    ranks a whole language.
+    """
+    counted = labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"))
+    bound = F.when(F.col("n") <= MARGIN * SAMPLE_ROWS, F.lit(float(1 << 63))).otherwise(F.lit(2.0**64) * MARGIN * SAMPLE_ROWS / F.col("n") - F.lit(2.0**63))
+    near = labelled.join(F.broadcast(counted.select("lang", bound.alias("bound"))), "lang")  # a row a language
+    few = near.where(F.col("mark").cast("double") <= F.col("bound")).select("lang", "mark").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).select("lang", "mark", "rank")
 
 
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """Automata from the rows where ``learn`` holds: per language the rows with the smallest text hash."""
-    mark = F.xxhash64(F.col(text_col))
+    """Automata from the rows where ``learn`` holds: per language the rows with the smallest text hash.
+
+    Texts become symbols and are cut inside the tasks; at most ``SAMPLE_SYMBOLS`` symbols a language and ``ALL_SYMBOLS`` of
+    all reach the driver.
+    """
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # Hashes are ranked without their texts, and in each task first; then the chosen texts are fetched.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    marks = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark")).distinct()
-    marks = marks.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
-    chosen = labelled.select(F.col(lang_col).cast("string").alias("lang"), mark.alias("mark"), spread(F.col(text_col).cast("string")).alias("text"))
-    chosen = chosen.join(F.broadcast(marks), ["lang", "mark"])  # SAMPLE_ROWS marks per language
-    sample = chosen.groupBy("lang", "rank").agg(F.min("text").alias("text"))
-    by_lang: dict[str, list[str]] = {}
-    for lang, _, text in sorted(sample.collect()):  # at most SAMPLE_ROWS rows of about SAMPLE_CHARS characters per language
-        by_lang.setdefault(lang, []).append(text)
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    # Hashes are ranked without their texts; then the chosen texts are fetched.
+    rows_of = labelled.join(F.broadcast(chosen_rows(labelled)), ["lang", "mark"])  # SAMPLE_ROWS marks per language
+    sample = rows_of.select("lang", "rank", spread(F.col("text")).alias("text")).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+
+    def encode():
+        table = letter_points()
+
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [symbols(t, table) for t in batch.column(2).to_pylist()]
+            return {"lang": batch.column(0), "rank": batch.column(1), "found": pa.array(found, pa.list_(pa.int32()))}
+
+        return work
+
+    coded = stored(map_rows(sample, encode, "lang string, rank int, found array<int>"), "language-sample")
+    sizes: dict[str, dict[int, int]] = {}
+    for lang, rank, size in coded.select("lang", "rank", F.size("found")).collect():  # at most SAMPLE_ROWS short rows a language
+        sizes.setdefault(lang, {})[rank] = size
+    room = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(sizes)))
+    share = {(lang, rank): quota for lang, by in sizes.items() for rank, quota in zip(sorted(by), quotas([by[r] for r in sorted(by)], room), strict=True)}
+
+    def shorten():
+        def work(batch: pa.RecordBatch) -> dict:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            found = [cut(batch.column(2)[i].values.to_numpy(), share[k], k[1] - 1) for i, k in enumerate(keys)]
+            return {"lang": batch.column(0), "rank": batch.column(1), "found": pa.array(found, pa.list_(pa.int32()))}
+
+        return work
+
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    for lang, rank, found in map_rows(coded, shorten, "lang string, rank int, found array<int>").toLocalIterator():
+        parts.setdefault(lang, {})[rank] = np.array(found, dtype=np.int32)
     points = letter_points()
-    room = min(SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(by_lang)))
-    sequences = {lang: shared_room([symbols(t, points) for t in by_lang[lang]], room) for lang in sorted(by_lang)}
+    sequences = {lang: np.concatenate([parts[lang][r] for r in sorted(parts[lang])]) for lang in sorted(parts)}
     sequences = {lang: found for lang, found in sequences.items() if not (found == SPACE).all()}
     letters = {lang: np.unique(found[found != SPACE]) for lang, found in sequences.items()}
     known = np.unique(np.concatenate([np.zeros(0, np.int32), *letters.values()]))
