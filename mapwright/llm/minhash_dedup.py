@@ -38,9 +38,10 @@ WORDS, PERCENT = 5, 75
 #: Minhashes in a group, groups in each of the two collections.
 ROWS, GROUPS = 3, 18
 BITS = 1 << 25
-#: Bins of the sketch, and the least share of equal bins for a pair to be confirmed on its sets: more than four
-#: standard errors below the threshold.
-BIN_BITS, CLOSE = 10, 0.69
+#: Bins of the sketch, and how many standard errors below the threshold its share of equal bins may lie for a pair to be
+#: confirmed on its sets. A bin shows a common shingle with a chance of the similarity, so the fewer bins two sets fill,
+#: the wider the margin; pairs that fill few bins all pass.
+BIN_BITS, ERRORS = 10, 4.5
 BINS = 1 << BIN_BITS
 #: Nodes of a bucket that are compared directly; larger ones are divided by triples of bins first.
 SPLIT, TRIPLES = 4096, 40
@@ -94,9 +95,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.where(full, mixed(smallest) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
 
 
-def closeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    either = ((many | one) != 0).sum(axis=1)
-    return ((many == one) & (many != 0)).sum(axis=1) / np.maximum(1, either)
+def closeness(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of equal bins among those that either fills, and whether the sets behind may reach the threshold."""
+    either = np.maximum(1, ((many | one) != 0).sum(axis=1))
+    share, goal = ((many == one) & (many != 0)).sum(axis=1) / either, PERCENT / 100
+    return share, share >= goal - ERRORS * np.sqrt(goal * (1 - goal) / either)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,7 +176,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(closeness(a, b) >= CLOSE))
+                yield batch.select([0, 1]).filter(pa.array(closeness(a, b)[1]))
 
     near = near.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
     held = near.join(side(sets, "u", ["members"]), "u").join(side(sets, "v", ["members"]), "v")
@@ -209,8 +212,8 @@ def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarr
                         equal = group[rest] == group[i]
                         rest = rest[(equal[:, :GROUPS].argmax(axis=1) == table) & (equal[:, GROUPS:].argmax(axis=1) == second)]
                     if len(rest):
-                        close = closeness(marks[i], marks[rest])
-                        for j, c in zip(rest[close >= CLOSE].tolist(), close[close >= CLOSE].tolist(), strict=True):
+                        close, may = closeness(marks[i], marks[rest])
+                        for j, c in zip(rest[may].tolist(), close[may].tolist(), strict=True):
                             if several:
                                 pair = (min(i, j), max(i, j))
                                 if pair in seen:
