@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ BITS = 1 << 25
 #: the wider the margin; pairs that fill few bins all pass.
 BIN_BITS, ERRORS = 10, 4.5
 BINS = 1 << BIN_BITS
+#: Sets of up to so many shingles are compared whole: they are no longer than a sketch.
+WHOLE = BINS // 8
 #: Nodes of a bucket that are compared directly; larger ones are divided by triples of bins first.
 SPLIT, TRIPLES = 4096, 40
 BLOCK = 4096
@@ -167,16 +170,19 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u``, ``v`` whose sets are similar enough; sizes and sketches first, so few sets move."""
-    sizes = sets.select("node", F.size("members").alias("n"), "sketch")
+    sizes = sets.select("node", F.size("members").alias("n"), F.when(F.size("members") > WHOLE, F.col("sketch")).alias("sketch"))
     side = lambda t, name, extra: t.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in extra])
     near = pairs.join(side(sizes, "u", ["n", "sketch"]), "u").join(side(sizes, "v", ["n", "sketch"]), "v")
     near = near.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(closeness(a, b)[1]))
+            large = pc.and_(pc.is_valid(batch.column(2)), pc.is_valid(batch.column(3))).to_numpy(zero_copy_only=False)
+            alive = ~large
+            if large.any():
+                a, b = (np.frombuffer(b"".join(batch.column(k).filter(pa.array(large)).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+                alive[large] = closeness(a, b)[1]
+            yield batch.select([0, 1]).filter(pa.array(alive))
 
     near = near.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
     held = near.join(side(sets, "u", ["members"]), "u").join(side(sets, "v", ["members"]), "v")
@@ -184,7 +190,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.where(both * 100 >= (F.size("members_u") + F.size("members_v") - both) * PERCENT).select("u", "v")
 
 
-def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarray, marks: np.ndarray, table: int) -> Iterator[tuple[int, int, float]]:
+def whole_closeness(one: np.ndarray, many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of a sorted set with others, and whether it reaches the threshold."""
+    sizes = np.array([len(m) for m in many])
+    flat = np.concatenate(many)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    both = np.add.reduceat(one[at] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+    either = sizes + len(one) - both
+    return both / either, both * 100 >= either * PERCENT
+
+
+def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarray, marks: np.ndarray, small: list[np.ndarray | None], table: int) -> Iterator[tuple[int, int, float]]:
     """Positions of the close pairs of different components among nodes that share group ``table`` of the first collection.
 
     Only nodes that share a group of the second collection too are compared, and only in the first table they share.
@@ -213,6 +230,9 @@ def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarr
                         rest = rest[(equal[:, :GROUPS].argmax(axis=1) == table) & (equal[:, GROUPS:].argmax(axis=1) == second)]
                     if len(rest):
                         close, may = closeness(marks[i], marks[rest])
+                        short = np.array([small[j] is not None for j in rest.tolist()])
+                        if small[i] is not None and short.any():
+                            close[short], may[short] = whole_closeness(small[i], [small[j] for j in rest[short].tolist()])
                         for j, c in zip(rest[may].tolist(), close[may].tolist(), strict=True):
                             if several:
                                 pair = (min(i, j), max(i, j))
@@ -232,16 +252,18 @@ def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, sets: Da
     labelled = buckets.join(label.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rows = labelled.join(torn, "key", "left_semi").select("node", "root", F.expr(f"place div {GROUPS}").cast("int").alias("first")).distinct()
-    detail = nodes.select("node", "groups", F.col("n_shingles").alias("n")).join(sets.select("node", "sketch"), "node")
+    short = F.when(F.size("members") <= WHOLE, F.col("members"))
+    detail = nodes.select("node", "groups", F.col("n_shingles").alias("n")).join(sets.select("node", short.alias("small"), F.when(short.isNull(), F.col("sketch")).alias("sketch")), "node")
     rows = rows.join(detail, "node").withColumn("key", F.get("groups", F.col("first")))
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "first", "node", "root", "n", "groups", "sketch").repartition(number, "key").sortWithinPartitions("key", "node")
+    dealt = rows.select("key", "first", "node", "root", "n", "groups", "sketch", "small").repartition(number, "key").sortWithinPartitions("key", "node")
 
     def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
         node, root, size = (np.array([b[k] for b in held], np.int64) for k in (1, 2, 3))
         group = np.array([b[4] for b in held], np.int64)
-        marks = np.frombuffer(b"".join(b[5] for b in held), np.uint8).reshape(-1, BINS)
-        found = nearby(node, root, size, group, marks, held[0][0])
+        small = [None if b[6] is None else np.array(b[6], np.int64).view(np.uint64) for b in held]
+        marks = np.frombuffer(b"".join(b[5] if m is None else sketch(m) for b, m in zip(held, small, strict=True)), np.uint8).reshape(-1, BINS)
+        found = nearby(node, root, size, group, marks, small, held[0][0])
         if nearest:
             best: dict[int, tuple[float, int]] = {}
             for i, j, c in found:

@@ -256,3 +256,27 @@ def test_hot_text_is_cut_between_shards(spark):
     rows = sharding.shard_by_bytes(docs, 10, pieces=3).groupBy("shard").agg(F.sum("size").alias("size"), F.max("slot").alias("last"), F.count_distinct("slot").alias("n")).collect()
     sizes = [r["size"] for r in rows]
     assert len(rows) == 10 and max(sizes) - min(sizes) <= 120 and all(r["last"] == r["n"] - 1 for r in rows)
+
+
+def test_no_pair_of_small_sets_is_lost_to_the_sketch():
+    """Seven and eight words share 3 of 4 shingles, exactly the threshold: few bins are filled, so all pairs pass; whole sets decide."""
+    rng = random.Random(12)
+    for _ in range(3000):
+        words = [str(rng.random()) for _ in range(8)]
+        a, b = minhash_dedup.shingles(" ".join(words[:7])), minhash_dedup.shingles(" ".join(words))
+        marks = [np.frombuffer(minhash_dedup.sketch(x), np.uint8) for x in (a, b)]
+        assert minhash_dedup.closeness(marks[0], marks[1][None])[1][0]
+        share, may = minhash_dedup.whole_closeness(a, [b, a, b[:1]])
+        assert share[0] == 0.75 and share[1] == 1 and may.tolist()[:2] == [True, True]
+
+
+def test_later_links_join_components(spark):
+    rng = random.Random(13)
+    first = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(90)]
+    more = [(rng.randint(0, 260), rng.randint(0, 260)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    got = components.extended(components.components(frame(first)), frame(more)).collect()
+    want = components.components(frame(first + more)).collect()
+    assert len(got) == len({r.u for r in got}) and {tuple(r) for r in want} <= {tuple(r) for r in got}
+    assert all(r.root == r.u for r in got if r.u not in {x.u for x in want})
+    assert components.extended(components.components(frame([])), frame([])).collect() == []
