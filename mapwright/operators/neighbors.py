@@ -5,8 +5,9 @@
 2. The plane of each candidate set is cut into strips by quantiles of x and each strip
    into cells by quantiles of y, so tiles hold about ``TILE_ROWS`` candidates however
    the points crowd. At most 1024 x 1024 tiles exist; their edges fit on the driver.
-3. Every query finds its neighbours inside its own tile. The k-th distance bounds the
-   answer, so the query visits only those other tiles its circle touches.
+3. Every query starts in the tile whose rectangle of candidates is nearest. The k-th distance
+   found there bounds the answer: a packed tree of the rectangles gives the other tiles within
+   it. A query far from all candidates so visits the near edge of them, not whole strips.
 
 Queries of a crowded tile are split into chunks, each with its own copy of the tile.
 """
@@ -59,21 +60,99 @@ class Tiling:
             out[rows] = starts[strip] + self._cells(name, strip, y[rows])
         return out
 
-    def touched(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and the other tiles within each row's radius; a little more is harmless."""
-        reach = radius * (1 + 1e-9) + 1e-12
-        rows_out, tiles_out = [], []
-        for name, (x_edges, _, _, starts) in self.sets.items():
+
+class Boxes:
+    """Packed tree over the rectangles that the candidates of each tile fill.
+
+    Tiles are numbered along strips, so ``FAN`` tiles in a row make a compact node, and so on upwards. A search starts at
+    the root and opens only nodes whose rectangle lies within a row's radius; all rows go down together. Each tile also
+    shows its outermost candidates in ``COMPASS`` directions: those of the tiles met shrink the radius before any visit.
+    """
+
+    FAN, COMPASS = 16, 8
+
+    def __init__(self, rows: list[tuple]):
+        """Rows: part, tile, least and largest x, least and largest y, candidates, outermost places."""
+        self.sets, self.outer = {}, {}
+        found = pd.DataFrame(rows, columns=["part", "tile", "x0", "x1", "y0", "y1", "n", "outer"]).sort_values(["part", "tile"])
+        for name, group in found.groupby("part", sort=False):
+            places = np.array([[tuple(p) for p in o] for o in group["outer"]], dtype=float)
+            for c in range(1, self.COMPASS):  # a place that shows in several directions counts once
+                places[(places[:, :c] == places[:, c : c + 1]).all(axis=2).any(axis=1), c] = np.inf
+            self.outer[name] = places
+            levels = [group[["x0", "x1", "y0", "y1", "n"]].to_numpy(dtype=float)]
+            while len(levels[-1]) > self.FAN:
+                at, low = np.arange(0, len(levels[-1]), self.FAN), levels[-1]
+                levels.append(np.column_stack([
+                    np.minimum.reduceat(low[:, 0], at), np.maximum.reduceat(low[:, 1], at),
+                    np.minimum.reduceat(low[:, 2], at), np.maximum.reduceat(low[:, 3], at), np.add.reduceat(low[:, 4], at)]))
+            self.sets[name] = (group["tile"].to_numpy(), levels)
+
+    @staticmethod
+    def gaps(box: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distance from each point to its rectangle."""
+        dx = np.maximum(np.maximum(box[:, 0] - x, x - box[:, 1]), 0)
+        dy = np.maximum(np.maximum(box[:, 2] - y, y - box[:, 3]), 0)
+        return np.hypot(dx, dy)
+
+    def _reach(self, levels: list[np.ndarray], x: np.ndarray, y: np.ndarray, wanted: int) -> np.ndarray:
+        """A radius that holds ``wanted`` candidates for sure: by the far corners of nodes, nearest first."""
+        top = next(v for v in levels if len(v) <= 256 or v is levels[-1])
+        far = np.hypot(np.maximum(x[:, None] - top[:, 0], top[:, 1] - x[:, None]), np.maximum(y[:, None] - top[:, 2], top[:, 3] - y[:, None]))
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(top[order, 4], axis=1) >= wanted
+        at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(top) - 1)
+        return far[np.arange(len(x)), order[np.arange(len(x)), at]]
+
+    def _shrunk(self, name: str, reach: np.ndarray, row: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray, wanted: int) -> np.ndarray:
+        """The radius, or the distance of the ``wanted``-th nearest outermost place of the tiles met where that is less."""
+        out = reach.copy()
+        for a in range(0, len(reach), 512):
+            first, last = np.searchsorted(row, [a, a + 512])
+            mine, places = row[first:last], self.outer[name][node[first:last]]
+            far = np.hypot(places[:, :, 0] - x[mine][:, None], places[:, :, 1] - y[mine][:, None]).ravel()
+            owner = np.repeat(mine, self.COMPASS)
+            order = np.lexsort((far, owner))
+            at = np.searchsorted(owner[order], np.arange(a, min(a + 512, len(reach)))) + wanted - 1
+            own = np.minimum(at, len(order) - 1)
+            enough = (at < len(order)) & (owner[order][own] == np.arange(a, min(a + 512, len(reach)))) if len(order) else np.zeros(len(at), bool)
+            some = np.nonzero(enough)[0]
+            out[a + some] = np.minimum(out[a + some], far[order][own[some]] * (1 + 1e-9) + 1e-12)
+        return out
+
+    def within(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, radius: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, tiles and distances of the tiles within each row's radius; a row without a radius gets one that holds
+        ``wanted`` candidates."""
+        rows_out, tiles_out, gaps_out = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for name, (tiles, levels) in self.sets.items():
             rows = np.nonzero(part == name)[0]
-            first = np.searchsorted(x_edges, x[rows] - reach[rows], side="right")
-            rows, strip = _ranges(rows, first, np.searchsorted(x_edges, x[rows] + reach[rows], side="right"))
-            low = self._cells(name, strip, y[rows] - reach[rows])
-            high = self._cells(name, strip, y[rows] + reach[rows])
-            rows, tile = _ranges(rows, starts[strip] + low, starts[strip] + high)
-            keep = tile != own[rows]
-            rows_out.append(rows[keep])
-            tiles_out.append(tile[keep])
-        return np.concatenate(rows_out), np.concatenate(tiles_out)
+            reach = radius[rows].copy()
+            open_ = ~np.isfinite(reach)
+            reach[open_] = self._reach(levels, x[rows][open_], y[rows][open_], wanted)
+            reach = reach * (1 + 1e-9) + 1e-12
+            row, node = np.repeat(np.arange(len(rows)), len(levels[-1])), np.tile(np.arange(len(levels[-1])), len(rows))
+            for depth in reversed(range(len(levels))):
+                gap = self.gaps(levels[depth][node], x[rows[row]], y[rows[row]])
+                keep = gap <= reach[row]
+                row, node, gap = row[keep], node[keep], gap[keep]
+                if depth:
+                    row, node = _ranges(row, node * self.FAN, np.minimum(node * self.FAN + self.FAN, len(levels[depth - 1])) - 1)
+            keep = gap <= self._shrunk(name, reach, row, node, x[rows], y[rows], wanted)[row]
+            rows_out.append(rows[row[keep]])
+            tiles_out.append(tiles[node[keep]])
+            gaps_out.append(gap[keep])
+        return np.concatenate(rows_out), np.concatenate(tiles_out), np.concatenate(gaps_out)
+
+    def nearest(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, wanted: int) -> np.ndarray:
+        """The nearest tile of each row, the lowest of equally near ones; -1 where the candidate set does not exist."""
+        out = np.full(len(part), -1, dtype="int64")
+        for start in range(0, len(part), 4096):
+            end = start + 4096
+            row, tile, gap = self.within(part[start:end], x[start:end], y[start:end], np.full(len(part[start:end]), np.inf), wanted)
+            order = np.lexsort((tile, gap, row))
+            row, first = np.unique(row[order], return_index=True)
+            out[start + row] = tile[order][first]
+        return out
 
 
 def _ranges(rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +278,17 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
         return pd.Series(shared.value.tile_of(part.to_numpy(), x.to_numpy(), y.to_numpy()))
 
     tiled = kept.withColumn("tile", tile_of("part", "rx", "ry"))
-    asked = queries.withColumn("tile", tile_of("part", "qx", "qy")).where("tile >= 0")
+    # A row a tile; there are at most MAX_CUTS^2 tiles a set.
+    turns = [2 * np.pi * i / Boxes.COMPASS for i in range(Boxes.COMPASS)]
+    outer = [F.max_by(F.struct("rx", "ry"), F.col("rx") * float(np.cos(t)) + F.col("ry") * float(np.sin(t))) for t in turns]
+    filled = tiled.groupBy("part", "tile").agg(F.min("rx"), F.max("rx"), F.min("ry"), F.max("ry"), F.count(F.lit(1)), F.array(*outer))
+    boxes = refs.sparkSession.sparkContext.broadcast(Boxes([tuple(r) for r in filled.collect()]))
+
+    @F.pandas_udf("bigint")
+    def first_tile(part: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(boxes.value.nearest(part.to_numpy(), x.to_numpy(), y.to_numpy(), k + 1))
+
+    asked = queries.withColumn("tile", first_tile("part", "qx", "qy")).where("tile >= 0")
     first = _search(asked, tiled, k, 2 * tile_rows)
     best = first.where("rid IS NOT NULL").select("qid", "part", "rid", "d2", "rank")
     if tiling.tiles > len(tiling.sets):
@@ -208,8 +297,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
 
         def look_around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                rows, tile = shared.value.touched(f["part"].to_numpy(), f["qx"].to_numpy(), f["qy"].to_numpy(), np.sqrt(f["kth"].to_numpy()), f["tile"].to_numpy())
-                yield f[["qid", "part", "qx", "qy"]].iloc[rows].assign(tile=tile)
+                for start in range(0, len(f), 4096):
+                    g = f.iloc[start : start + 4096]
+                    rows, tile, _ = boxes.value.within(g["part"].to_numpy(), g["qx"].to_numpy(), g["qy"].to_numpy(), np.sqrt(g["kth"].to_numpy()), k + 1)
+                    other = tile != g["tile"].to_numpy()[rows]
+                    yield g[["qid", "part", "qx", "qy"]].iloc[rows[other]].assign(tile=tile[other])
 
         asks = first.where("rank = 1").select("qid", "part", "qx", "qy", "tile", "kth")
         others = asks.mapInPandas(look_around, "qid string, part string, qx double, qy double, tile bigint")

@@ -70,3 +70,74 @@ def z04(t):
         stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
         ingest.run_to_end(ingest.keep_smallest(stream, "user_id", order, 5, f"{base}/out", f"{base}/progress"))
     return ingest.smallest_rows(t.spark, f"{base}/out", "user_id", order, 5).select("user_id", "event_id")
+
+
+def in_two_batches(t, name, start):
+    """Clicks and purchases arrive first; the rest comes later, so what is old among it is late."""
+    base = scratch_folder(t.spark, name)
+    events = t.events.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for part in ("event_type IN ('click', 'purchase')", "event_type NOT IN ('click', 'purchase')"):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
+        ingest.run_to_end(start(stream, f"{base}/out", f"{base}/progress"))
+    return f"{base}/out"
+
+
+# Both batches and what is late in the second: windows that end a day or more before the latest time of the first.
+BATCHES = """
+    b AS (SELECT event_id, user_id, value, ts, event_type IN ('click', 'purchase') AS early FROM events),
+    mark AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM b WHERE early)"""
+
+
+def window_sql(width, slide):
+    """Counts per user and window; a window starts at every multiple of ``slide`` hours."""
+    return f"""
+    WITH {BATCHES},
+    w AS (SELECT b.*, time_bucket(INTERVAL {slide} HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL {slide} HOUR AS start FROM b, range({width // slide}) r(i))
+    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, user_id, count(*) AS n, R6(sum(value)) AS total FROM w, mark
+    WHERE early OR start + INTERVAL {width} HOUR > mark GROUP BY 1, 2"""
+
+
+def windows_of(rows):
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "user_id", "n", r6("total").alias("total"))
+
+
+@query("z05_tumbling_counts", window_sql(6, 6))
+def z05_tumbling(t):
+    """Reviews per user and six hours, late rows left out."""
+    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "6 hours"), out, progress)
+    return windows_of(ingest.latest_rows(t.spark, in_two_batches(t, "tumbling", start), ["window", "user_id"]))
+
+
+@query("z05_sliding_counts", window_sql(12, 6))
+def z05_sliding(t):
+    """Reviews per user and twelve hours, starting every six."""
+    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "12 hours", "6 hours"), out, progress)
+    return windows_of(ingest.latest_rows(t.spark, in_two_batches(t, "sliding", start), ["window", "user_id"]))
+
+
+@query("z05_session_counts", f"""
+    WITH {BATCHES},
+    e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 3 HOUR, true) AS opens FROM b),
+    s AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM e)
+    SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS stop, user_id, count(*) AS n, R6(sum(value)) AS total
+    FROM s GROUP BY user_id, number HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM b)""")
+def z05_sessions(t):
+    """Closed sessions of a user: rows less than three hours apart, closed a day after."""
+    base = scratch_folder(t.spark, "sessions")
+    events = t.events.select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    events.coalesce(1).write.parquet(f"{base}/in")
+    stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
+    ingest.run_to_end(ingest.append_to(ingest.sessions(stream, "ts", ["user_id"], "value", "3 hours"), f"{base}/out", f"{base}/progress"))
+    found = t.spark.read.parquet(f"{base}/out")
+    form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select(form("window.start").alias("start"), form("window.end").alias("stop"), "user_id", "n", r6("total").alias("total"))
+
+
+@query("z05_late_rows", f"""
+    WITH {BATCHES}
+    SELECT event_id FROM b, mark WHERE NOT early AND time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= mark""")
+def z05_late(t):
+    """The rows that the tumbling windows leave out."""
+    start = lambda s, out, progress: ingest.keep_late(s, "ts", "6 hours", "1 day", out, progress)
+    return t.spark.read.parquet(in_two_batches(t, "late", start) + "/late").select("event_id")

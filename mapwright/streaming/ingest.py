@@ -98,3 +98,37 @@ def keep_smallest(stream: DataFrame, entity: str, order: Sequence[Column], n: in
 def smallest_rows(spark: SparkSession, path: str, entity: str, order: Sequence[Column], n: int) -> DataFrame:
     """The ``n`` first rows per entity over all stored batches; each holds ``n`` per entity at most."""
     return top_per_group(spark.read.parquet(path).drop("batch"), [entity], order, n, "_r").drop("_r")
+
+
+def windowed(stream: DataFrame, time: str, keys: Sequence[str], value: str, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Count and sum per key and event-time window, tumbling or sliding; state of a window goes ``delay`` after its end."""
+    window = F.window(time, width, slide) if slide else F.window(time, width)
+    return stream.withWatermark(time, delay).groupBy(window.alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def sessions(stream: DataFrame, time: str, keys: Sequence[str], value: str, gap: str, delay: str = "1 day") -> DataFrame:
+    """Count and sum per key and session: rows of a key less than ``gap`` apart. A session comes out once, when it is closed."""
+    window = F.session_window(time, gap)
+    return stream.withWatermark(time, delay).groupBy(window.alias("window"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def keep_late(stream: DataFrame, time: str, width: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Store the rows that ``windowed`` with the same width and delay leaves out because their window is closed already.
+
+    A window is closed for a batch if it ends ``delay`` or more before the latest time of the batches before. Each batch
+    stores its late rows and the latest time so far under its number; a repeated batch replaces its own folders only.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = batch.agg(F.max(time).alias("latest"))
+        late = batch.where("false")
+        if number > 0:
+            before = spark.read.parquet(f"{path}/latest/batch={number - 1}")
+            mark = before.select((F.col("latest") - F.expr(f"INTERVAL {delay}")).alias("_mark"))  # one row
+            placed = batch.withColumn("_window", F.window(time, width)).join(F.broadcast(mark))
+            late = placed.where("_window.end <= _mark").drop("_window", "_mark")
+            latest = latest.unionByName(before).agg(F.max("latest").alias("latest"))
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        latest.write.mode("overwrite").parquet(f"{path}/latest/batch={number}")
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
