@@ -5,22 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.operators import tfidf
-from mapwright.sources.storage import spread, use_checkpoint_dir
+from mapwright.sources.storage import scratch_folder, spread
 
 # Random directions beyond the wanted ones, and passes that sharpen them.
 OVERSAMPLE, PASSES = 10, 5
 # Most used terms a reduction works on, unless the caller says otherwise; it bounds the matrices on the driver.
 VOCABULARY_LIMIT = 5000
-CHUNK_ROWS = 256
+# Rows multiplied at once, lines of a partial sum in a block, partial sums added at once.
+CHUNK_ROWS, BLOCK_LINES, FAN = 256, 512, 32
 
 
 class FittedSvd:
@@ -39,90 +39,146 @@ class FittedSvd:
         return spark.createDataFrame(rows, "term string, position int, idf double")
 
 
-def _sum_over_rows(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Add up ``part(chunk)`` over all rows; each task sends one matrix, added in Spark."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            for start in range(0, len(batch), CHUNK_ROWS):
-                piece = batch.iloc[start : start + CHUNK_ROWS]
-                dense = np.zeros((len(piece), width), dtype=np.float32)
-                for i, (p, w) in enumerate(zip(piece["positions"], piece["weights"])):
-                    dense[i, p] = w
-                value = part(dense).astype(np.float64)
-                total = value if total is None else total + value
-        if total is not None:
-            yield pd.DataFrame({"line": np.arange(len(total)), "vals": list(total)})
-
-    # As many tasks as run at once: each sends one matrix, so fewer tasks move less.
-    few = rows.select("positions", "weights").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
-    sums = few.mapInPandas(run, "line bigint, vals array<double>")
-    lines = sums.groupBy("line").agg(vector_to_array(Summarizer.sum(array_to_vector("vals"))).alias("v")).collect()
-    return np.array([r["v"] for r in sorted(lines, key=lambda r: r["line"])])
+def _chunks(batches: Iterator[pa.RecordBatch], width: int, kind: type = np.float32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of term weights a few at a time: the terms they use, and a matrix over those terms alone."""
+    for batch in batches:
+        offsets = batch.column(0).offsets.to_numpy()
+        terms, weights = (c.values.to_numpy() for c in batch.columns)
+        for start in range(0, batch.num_rows, CHUNK_ROWS):
+            ends = offsets[start : start + CHUNK_ROWS + 1]
+            mine = terms[ends[0] : ends[-1]]
+            place = np.zeros(width, dtype=np.int64)
+            place[mine] = 1
+            used = np.flatnonzero(place)
+            place[used] = np.arange(len(used))
+            matrix = np.zeros((len(ends) - 1, len(used)), dtype=kind)
+            matrix[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), place[mine]] = weights[ends[0] : ends[-1]]
+            yield used, matrix
 
 
-def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256, limit: int = VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
-    """Randomised truncated SVD of the weighted term counts in a fixed number of passes.
+def _add_blocks(table: pa.Table) -> pa.Table:
+    """The blocks of one place, added up; there are at most ``FAN`` of them."""
+    total = sum(np.frombuffer(b.as_py()) for b in table.column("data"))
+    return pa.table({"task": table.column("task")[:1], "block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    Only the vocabulary and vocabulary-by-component matrices come to the driver; both are
-    bounded by ``limit`` and ``components``, whatever the number of documents.
+
+def _sum_over_rows(rows: DataFrame, width: int, shape: tuple[int, int], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """Matrix that ``add(total, used, matrix)`` fills from all rows.
+
+    Each task sums its own rows; the sums travel as blocks of lines and are added ``FAN`` at a time by a tree of tasks,
+    so neither the driver nor one task sees more than ``FAN`` of them.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, task = None, TaskContext.get().partitionId()
+        for used, matrix in _chunks(batches, width):
+            total = np.zeros(shape) if total is None else total
+            add(total, used, matrix)
+        for block in range(0, 0 if total is None else shape[0], BLOCK_LINES):
+            data = pa.array([total[block : block + BLOCK_LINES].tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([block], pa.int32()), data], names=["task", "block", "data"])
+
+    schema = "task long, block int, data binary"
+    sums, tasks = rows.select("positions", "weights").mapInArrow(run, schema), rows.rdd.getNumPartitions()
+    while tasks > 1:
+        sums = sums.withColumn("task", F.expr(f"task div {FAN}")).groupBy("task", "block").applyInArrow(_add_blocks, schema)
+        tasks = -(-tasks // FAN)
+    out = np.zeros(shape)
+    for _, block, data in sums.toLocalIterator():
+        part = np.frombuffer(bytes(data)).reshape(-1, shape[1])
+        out[block : block + len(part)] += part
+    return out
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder; every later pass reads the files."""
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _weighted_rows(counts: DataFrame, fitted: FittedSvd, key: str) -> DataFrame:
+    vocab = fitted.vocabulary(counts.sparkSession)
+    return spread(tfidf.sparse_rows(tfidf.transform(counts, vocab, key), vocab, key), key)
+
+
+def _fitted_rows(counts: DataFrame, ids: DataFrame, key: str, components: int, limit: int, seed: int) -> tuple[FittedSvd, DataFrame]:
+    """The fit and the weighted rows it was made from, written once."""
     vocab_rows = tfidf.fit_vocabulary(counts, ids, limit).orderBy("term").collect()
     if not vocab_rows:
         raise ValueError("no term left to fit on")
+    spark = counts.sparkSession
     terms, idf = [r["term"] for r in vocab_rows], [r["idf"] for r in vocab_rows]
     fitted = FittedSvd(terms, idf, np.zeros((0, 0)), np.zeros(0), 0)
-    vocab = fitted.vocabulary(counts.sparkSession)
-    rows = spread(tfidf.sparse_rows(tfidf.transform(counts, vocab, key), vocab, key), key).persist(StorageLevel.DISK_ONLY)
-    try:
-        fitted.rows = rows.count()
-        width = len(terms)
-        k = max(1, min(components, width, fitted.rows))
-        wide = min(k + OVERSAMPLE, width)
-        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, wide)))[0]
-        for _ in range(PASSES if wide < width else 0):
-            # Single precision is enough here: the directions are made orthogonal in double precision after each pass.
-            q = np.linalg.qr(_sum_over_rows(rows, width, lambda a, q=q.astype(np.float32): a.T @ (a @ q)))[0]
-        gram = _sum_over_rows(rows, width, lambda a, q=q: (a @ q).T @ (a @ q))
-    finally:
-        rows.unpersist()
-    values, vectors = np.linalg.eigh(gram)
+    rows = _written(_weighted_rows(counts, fitted, key), "term-weights")
+    fitted.rows = rows.count()
+    width = len(terms)
+    k = max(1, min(components, width, fitted.rows))
+    wide = min(k + OVERSAMPLE, width)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, wide)))[0]
+    for _ in range(PASSES if wide < width else 0):
+        # Single precision is enough here: the directions are made orthogonal in double precision after each pass.
+        held = spark.sparkContext.broadcast(q.astype(np.float32))
+
+        def spread_out(total: np.ndarray, used: np.ndarray, matrix: np.ndarray, held=held) -> None:
+            total[used] += matrix.T @ (matrix @ held.value[used])
+
+        q = np.linalg.qr(_sum_over_rows(rows, width, (width, wide), spread_out))[0]
+        held.unpersist()
+    held = spark.sparkContext.broadcast(q)
+
+    def squares(total: np.ndarray, used: np.ndarray, matrix: np.ndarray) -> None:
+        projected = matrix @ held.value[used]
+        total += projected.T @ projected
+
+    values, vectors = np.linalg.eigh(_sum_over_rows(rows, width, (wide, wide), squares))
     best = np.argsort(values)[::-1][:k]
     basis = q @ vectors[:, best]
     lead = np.argmax(np.abs(basis), axis=0)
     fitted.basis = basis * np.where(basis[lead, np.arange(basis.shape[1])] < 0, -1.0, 1.0)
     fitted.singular = np.sqrt(np.maximum(values[best], 0.0))
-    return fitted
+    return fitted, rows
 
 
-def project_svd(counts: DataFrame, fitted: FittedSvd, ids: DataFrame, key: str) -> DataFrame:
-    """Reduced vector of length one per id; ids without a known term get zeros."""
-    spark = counts.sparkSession
-    vocab = fitted.vocabulary(spark)
-    rows = spread(tfidf.sparse_rows(tfidf.transform(counts, vocab, key), vocab, key), key)
-    shared = spark.sparkContext.broadcast(fitted.basis)
-
-    @F.pandas_udf("array<double>")
-    def reduce(positions: pd.Series, weights: pd.Series) -> pd.Series:
-        basis, out = shared.value, []
-        for p, w in zip(positions, weights):
-            v = np.asarray(w) @ basis[np.asarray(p)]
-            n = np.sqrt(v @ v)
-            out.append(v / n if n > 0 else v)
-        return pd.Series(out)
-
-    reduced = rows.select(key, reduce("positions", "weights").alias("embedding"))
+def fit_svd(counts: DataFrame, ids: DataFrame, key: str, components: int = 256, limit: int = VOCABULARY_LIMIT, seed: int = 42) -> FittedSvd:
+    """Randomised truncated SVD of the weighted term counts in a fixed number of passes.
+
+    Only the vocabulary and vocabulary-by-component matrices come to the driver; both are
+    bounded by ``limit`` and ``components``, whatever the number of documents.
+    """
+    return _fitted_rows(counts, ids, key, components, limit, seed)[0]
+
+
+def _projected(rows: DataFrame, fitted: FittedSvd, ids: DataFrame, key: str) -> DataFrame:
+    shared = ids.sparkSession.sparkContext.broadcast(fitted.basis)
+    width, schema = len(fitted.terms), f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for used, matrix in _chunks(iter([batch.select([1, 2])]), width, np.float64):
+                v = matrix @ shared.value[used]
+                length = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+                v = np.divide(v, length, out=v, where=length > 0)
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(v)), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=[key, "embedding"])
+                done += len(v)
+
+    reduced = rows.select(key, "positions", "weights").mapInArrow(run, schema)
     zeros = F.array_repeat(F.lit(0.0), fitted.basis.shape[1])
     return ids.select(key).join(reduced, key, "left").select(key, F.coalesce("embedding", zeros).alias("embedding"))
 
 
+def project_svd(counts: DataFrame, fitted: FittedSvd, ids: DataFrame, key: str) -> DataFrame:
+    """Reduced vector of length one per id; ids without a known term get zeros."""
+    return _projected(_weighted_rows(counts, fitted, key), fitted, ids, key)
+
+
 def embed_texts(docs: DataFrame, ids: DataFrame, key: str, text: str, stopwords, components: int = 256,
                 limit: int = VOCABULARY_LIMIT) -> tuple[DataFrame, FittedSvd]:
-    """Fit and project in one go; texts are tokenised once and the counts checkpointed."""
-    use_checkpoint_dir(docs.sparkSession)
-    counts = tfidf.term_counts(docs, key, text, stopwords).checkpoint()
-    fitted = fit_svd(counts, ids, key, components, limit)
-    return project_svd(counts, fitted, ids, key), fitted
+    """Fit and project in one go; texts are tokenised once, and counts and weighted rows written once."""
+    counts = _written(tfidf.term_counts(docs, key, text, stopwords), "term-counts")
+    fitted, rows = _fitted_rows(counts, ids, key, components, limit, 42)
+    return _projected(rows, fitted, ids, key), fitted
 
 
 def layout_2d(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

@@ -18,12 +18,9 @@ from mapwright.sources import readers, storage, writers
 DENSITY = {"min_cluster_size": 10, "min_samples": 5}
 
 
-ENTITIES = 400
-
-
 def reviews_for(t, domain, ids):
-    """Review vectors from the texts: documents are dealt to the first entities by number, chosen, encoded and pooled."""
-    dealt = t.raw_reviews.select((F.col("ord") % ENTITIES + 1).alias("n"), "review_id", "review_text").join(ids, "n")
+    """Review vectors from the texts: documents are dealt to all entities by number, chosen, encoded and pooled."""
+    dealt = t.raw_reviews.select((F.col("ord") % ids.count() + 1).alias("n"), "review_id", "review_text").join(ids, "n")
     texts = dealt.select(global_id(F.lit(domain), F.col("source_id")).alias("entity_id"), "review_id", "review_text")
     return encode.review_embeddings(texts).withColumnRenamed("entity_id", "id")
 
@@ -146,14 +143,20 @@ def c06(t):
 # ---- what SQL can know of a finished map, read back from its written bundle
 
 SIZE = "R6(4 + pow({p}, 1.8) * 76)"
-REVIEWS_SQL = f"rev AS (SELECT 1 + ord % {ENTITIES} AS n, least(count(*), 50) AS reviews FROM raw_reviews WHERE trim(review_text) <> '' GROUP BY 1)"
+
+
+def reviews_sql(name: str, entities: str) -> str:
+    return f"{name} AS (SELECT 1 + ord % (SELECT count(*) FROM {entities}) AS n, least(count(*), 50) AS reviews FROM raw_reviews WHERE trim(review_text) <> '' GROUP BY 1)"
+
+
+REVIEWS_SQL = ", ".join(reviews_sql(*x) for x in (("movie_rev", "part"), ("music_rev", "customer"), ("restaurant_rev", "supplier")))
 FACTS_SQL = {
     "movies": f"""SELECT concat('movies:', movie_id) AS id, 'movies' AS domain, title, coalesce(genres, 'Unknown') AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
-      FROM (SELECT movies.*, v FROM movies JOIN (SELECT movie_id, CAST(count(rating) AS DOUBLE) AS v FROM ratings GROUP BY 1) r USING (movie_id)) LEFT JOIN rev ON n = movie_id""",
+      FROM (SELECT movies.*, v FROM movies JOIN (SELECT movie_id, CAST(count(rating) AS DOUBLE) AS v FROM ratings GROUP BY 1) r USING (movie_id)) LEFT JOIN movie_rev ON n = movie_id""",
     "music": f"""SELECT concat('music:', mbid) AS id, 'music' AS domain, coalesce(nullif(trim(artist_lastfm), ''), artist_mb) AS title, {_like('tags_lastfm', K.MUSIC_MACROS)} AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
-      FROM (SELECT artists.*, c_custkey, 0.6 * ln(1 + listeners) + 0.4 * ln(1 + scrobbles) AS v FROM artists JOIN customer ON c_name = mbid WHERE listeners >= 1000 AND NOT ambiguous) LEFT JOIN rev ON n = c_custkey""",
+      FROM (SELECT artists.*, c_custkey, 0.6 * ln(1 + listeners) + 0.4 * ln(1 + scrobbles) AS v FROM artists JOIN customer ON c_name = mbid WHERE listeners >= 1000 AND NOT ambiguous) LEFT JOIN music_rev ON n = c_custkey""",
     "restaurants": f"""SELECT concat('restaurants:', business_id) AS id, 'restaurants' AS domain, name AS title, categories AS category, {SIZE.format(p=PCT.format(g='1', v='v'))} AS visual_size, coalesce(reviews, 0) AS reviews
-      FROM (SELECT *, CAST(review_count AS DOUBLE) AS v FROM business WHERE contains(lower(categories), 'restaurants') AND review_count >= 20) LEFT JOIN rev ON n = suppkey""",
+      FROM (SELECT *, CAST(review_count AS DOUBLE) AS v FROM business WHERE contains(lower(categories), 'restaurants') AND review_count >= 20) LEFT JOIN restaurant_rev ON n = suppkey""",
 }
 
 
