@@ -9,7 +9,8 @@ tables need only ``2 * GROUPS * ROWS`` minhashes. At similarity 0.75 a pair shar
 2. In each bucket every node is compared with the bucket's first node; confirmed links are joined to components.
 3. Buckets that still hold different components are searched whole: pairs of different components are compared by
    a sketch inside the task, and only the close ones, each in its first shared table, go to confirmation: first each
-   node's closest, then, between what is still apart, all. So a large group of near copies costs its members, not its
+   node's closest, then, between what is still apart, all. Sets of up to ``WHOLE`` shingles are compared on all their
+   codes there, so of those only links leave the task. So a large group of near copies costs its members, not its
    pairs. Buckets above ``SPLIT`` are first divided by triples of sketch bins.
 4. Components are joined again over all confirmed links; no link, node or component reaches the driver.
 
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +44,9 @@ BITS = 1 << 25
 #: the wider the margin; pairs that fill few bins all pass.
 BIN_BITS, ERRORS = 10, 4.5
 BINS = 1 << BIN_BITS
-#: Sets of up to so many shingles are compared whole: they are no longer than a sketch.
-WHOLE = BINS // 8
+#: Sets of up to ``WHOLE`` shingles go along as four-byte codes and are compared whole before a pair leaves a task; those
+#: of up to ``TINY`` even without a look at their sketches.
+WHOLE, TINY = BINS, BINS // 8
 #: Nodes of a bucket that are compared directly; larger ones are divided by triples of bins first.
 SPLIT, TRIPLES = 4096, 40
 BLOCK = 4096
@@ -88,14 +89,34 @@ def groups(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def codes(hashes: np.ndarray) -> np.ndarray:
+    """Sorted four-byte codes of a set, repeats kept: sets have at least as many codes in common as shingles."""
+    return np.sort((mixed(hashes + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32))
+
+
+def bins(code: np.ndarray) -> np.ndarray:
+    """The smallest code of each bin as a byte, 0 in an empty bin."""
+    at = np.searchsorted(code, np.arange(BINS, dtype=np.uint32) << np.uint32(32 - BIN_BITS))
+    smallest = code[np.minimum(at, len(code) - 1)]
+    full = (at < len(code)) & (smallest >> np.uint32(32 - BIN_BITS) == np.arange(BINS, dtype=np.uint32))
+    return np.where(full, mixed(smallest.astype(np.uint64)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+
 def sketch(hashes: np.ndarray) -> bytes:
-    """The smallest hash of each bin as a byte, 0 in an empty bin."""
-    spread = np.sort(mixed(hashes + np.uint64(0x5851F42D4C957F2D)))
-    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
-    at = np.searchsorted(spread, edges)
-    smallest = spread[np.minimum(at, len(spread) - 1)]
-    full = (at < len(spread)) & (smallest >> np.uint64(64 - BIN_BITS) == np.arange(BINS, dtype=np.uint64))
-    return np.where(full, mixed(smallest) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+    return bins(codes(hashes)).tobytes()
+
+
+def brief(hashes: np.ndarray) -> bytes:
+    """What goes along with a node: all codes of a set of up to ``WHOLE`` shingles, the sketch of a larger one."""
+    return codes(hashes).tobytes() if len(hashes) <= WHOLE else sketch(hashes)
+
+
+def opened(size: int, held: bytes) -> tuple[np.ndarray | None, np.ndarray]:
+    """Codes (none of a large set) and sketch from what :func:`brief` gave for a set of ``size`` shingles."""
+    if size > WHOLE:
+        return None, np.frombuffer(held, np.uint8)
+    code = np.frombuffer(held, np.uint32)
+    return code, bins(code)
 
 
 def closeness(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +167,7 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``node``, ``members`` (its shingle hashes) and ``sketch`` of the nodes whose ``text_hash`` is wanted."""
+    """``node``, ``members`` (its shingle hashes) and ``brief`` of the nodes whose ``text_hash`` is wanted."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(set_bits(wanted.select(F.pmod("text_hash", F.lit(BITS)).alias("place")), BITS))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -160,38 +181,39 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                 s = shingles(text)
                 if len(s):
                     sets[int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)] = s
-            return {"node": pa.array(list(sets), pa.int64()), "members": pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64())), "sketch": pa.array([sketch(s) for s in sets.values()], pa.binary())}
+            return {"node": pa.array(list(sets), pa.int64()), "members": pa.array([s.view(np.int64) for s in sets.values()], pa.list_(pa.int64())), "brief": pa.array([brief(s) for s in sets.values()], pa.binary())}
 
         return work
 
-    found = map_rows(narrow, make, "node long, members array<long>, sketch binary")
-    return found.groupBy("node").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch"))
+    found = map_rows(narrow, make, "node long, members array<long>, brief binary")
+    return found.groupBy("node").agg(F.first("members").alias("members"), F.first("brief").alias("brief"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` whose sets are similar enough; sizes and sketches first, so few sets move."""
-    sizes = sets.select("node", F.size("members").alias("n"), F.when(F.size("members") > WHOLE, F.col("sketch")).alias("sketch"))
+    """The pairs ``u``, ``v`` whose sets are similar enough; sizes and codes or sketches first, so few sets move."""
+    sizes = sets.select("node", F.size("members").alias("n"), "brief")
     side = lambda t, name, extra: t.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in extra])
-    near = pairs.join(side(sizes, "u", ["n", "sketch"]), "u").join(side(sizes, "v", ["n", "sketch"]), "v")
+    near = pairs.join(side(sizes, "u", ["n", "brief"]), "u").join(side(sizes, "v", ["n", "brief"]), "v")
     near = near.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT)
 
+    def may(n: int, one: bytes, m: int, other: bytes) -> bool:
+        if n <= WHOLE and m <= WHOLE:
+            return bool(whole_closeness(np.frombuffer(one, np.uint32), [np.frombuffer(other, np.uint32)])[1][0])
+        return bool(closeness(opened(n, one)[1], opened(m, other)[1][None])[1][0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            large = pc.and_(pc.is_valid(batch.column(2)), pc.is_valid(batch.column(3))).to_numpy(zero_copy_only=False)
-            alive = ~large
-            if large.any():
-                a, b = (np.frombuffer(b"".join(batch.column(k).filter(pa.array(large)).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
-                alive[large] = closeness(a, b)[1]
-            yield batch.select([0, 1]).filter(pa.array(alive))
-
-    near = near.select("u", "v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
+            alive = [may(*pair) for pair in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alive, pa.bool_()))
+
+    near = near.select("u", "v", "n_u", "brief_u", "n_v", "brief_v").mapInArrow(run, "u long, v long")
     held = near.join(side(sets, "u", ["members"]), "u").join(side(sets, "v", ["members"]), "v")
     both = F.size(F.array_intersect("members_u", "members_v"))
     return held.where(both * 100 >= (F.size("members_u") + F.size("members_v") - both) * PERCENT).select("u", "v")
 
 
 def whole_closeness(one: np.ndarray, many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of a sorted set with others, and whether it reaches the threshold."""
+    """Similarity of a sorted set (or its codes) with others, and whether it reaches the threshold."""
     sizes = np.array([len(m) for m in many])
     flat = np.concatenate(many)
     at = np.searchsorted(one, flat)
@@ -230,9 +252,10 @@ def nearby(node: np.ndarray, root: np.ndarray, size: np.ndarray, group: np.ndarr
                         rest = rest[(equal[:, :GROUPS].argmax(axis=1) == table) & (equal[:, GROUPS:].argmax(axis=1) == second)]
                     if len(rest):
                         close, may = closeness(marks[i], marks[rest])
-                        short = np.array([small[j] is not None for j in rest.tolist()])
-                        if small[i] is not None and short.any():
-                            close[short], may[short] = whole_closeness(small[i], [small[j] for j in rest[short].tolist()])
+                        if small[i] is not None:
+                            whole = np.flatnonzero((may & (size[rest] <= WHOLE)) | (size[rest] <= TINY))
+                            if len(whole):
+                                close[whole], may[whole] = whole_closeness(small[i], [small[j] for j in rest[whole].tolist()])
                         for j, c in zip(rest[may].tolist(), close[may].tolist(), strict=True):
                             if several:
                                 pair = (min(i, j), max(i, j))
@@ -252,17 +275,16 @@ def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, sets: Da
     labelled = buckets.join(label.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     torn = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rows = labelled.join(torn, "key", "left_semi").select("node", "root", F.expr(f"place div {GROUPS}").cast("int").alias("first")).distinct()
-    short = F.when(F.size("members") <= WHOLE, F.col("members"))
-    detail = nodes.select("node", "groups", F.col("n_shingles").alias("n")).join(sets.select("node", short.alias("small"), F.when(short.isNull(), F.col("sketch")).alias("sketch")), "node")
+    detail = nodes.select("node", "groups", F.col("n_shingles").alias("n")).join(sets.select("node", "brief"), "node")
     rows = rows.join(detail, "node").withColumn("key", F.get("groups", F.col("first")))
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "first", "node", "root", "n", "groups", "sketch", "small").repartition(number, "key").sortWithinPartitions("key", "node")
+    dealt = rows.select("key", "first", "node", "root", "n", "groups", "brief").repartition(number, "key").sortWithinPartitions("key", "node")
 
     def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
         node, root, size = (np.array([b[k] for b in held], np.int64) for k in (1, 2, 3))
         group = np.array([b[4] for b in held], np.int64)
-        small = [None if b[6] is None else np.array(b[6], np.int64).view(np.uint64) for b in held]
-        marks = np.frombuffer(b"".join(b[5] if m is None else sketch(m) for b, m in zip(held, small, strict=True)), np.uint8).reshape(-1, BINS)
+        small, marks = zip(*(opened(b[3], b[5]) for b in held), strict=True)
+        marks = np.stack(marks)
         found = nearby(node, root, size, group, marks, small, held[0][0])
         if nearest:
             best: dict[int, tuple[float, int]] = {}
