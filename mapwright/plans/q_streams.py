@@ -31,6 +31,30 @@ def z01_time(t):
     return t.spark.read.parquet(f"{base}/out")
 
 
+@query("z01_dedupe_with_time_to_live", "SELECT DISTINCT md5(text) AS review_id, CAST(length(text) AS INTEGER) AS chars FROM documents")
+def z01_time_to_live(t):
+    """No event time: ids are forgotten a while after they arrived."""
+    base = scratch_folder(t.spark, "forgetting")
+    stream = stream_of(t, "documents").select(F.md5("text").alias("review_id"), F.length("text").alias("chars"))
+    ingest.run_to_end(ingest.append_to(ingest.unique_since(stream, "review_id", "1 hour"), f"{base}/out", f"{base}/progress"))
+    return t.spark.read.parquet(f"{base}/out")
+
+
+@query("z02_stored_counters", """
+    WITH r AS (SELECT CASE WHEN n_chars % 5 > 0 THEN md5(text) END AS id, lang IS NOT NULL AND lang <> 'de' AS valid FROM documents),
+    v AS (SELECT id FROM r WHERE valid AND id IS NOT NULL)
+    SELECT count(DISTINCT id) AS accepted, (SELECT count(*) FROM r) - count(*) AS rejected, count(*) - count(DISTINCT id) AS duplicate FROM v""")
+def z02_counters(t):
+    """Reviews without an id or in another language are rejected; two runs, the second goes on from the stored counts."""
+    base = scratch_folder(t.spark, "counters")
+    docs = t.documents.select(F.when(F.col("n_chars") % 5 > 0, F.md5("text")).alias("review_id"), "lang", "source")
+    for part in ("source < 'm'", "source >= 'm' OR source IS NULL"):
+        docs.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = ingest.read_folder(t.spark, f"{base}/in", docs.schema)
+        ingest.run_to_end(ingest.count_arrivals(stream, "review_id", F.col("lang") != "de", f"{base}/out", f"{base}/progress"))
+    return ingest.arrivals(t.spark, f"{base}/out")
+
+
 @query("z02_resume_from_checkpoint", "SELECT lang, count(*) AS reviews, count(DISTINCT doc_id) AS ids FROM documents GROUP BY 1")
 def z02(t):
     """Two runs over a growing folder: the second reads only what is new."""
@@ -54,7 +78,7 @@ def z03(t):
     for part in ("event_type = 'click'", "event_type <> 'click'"):
         events.where(part).write.mode("append").parquet(f"{base}/in")
         stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
-        ingest.run_to_end(ingest.write_updates(ingest.running_sums(stream, ["user_id"], "value"), f"{base}/out", f"{base}/progress"))
+        ingest.run_to_end(ingest.write_updates(ingest.running_sums(stream, ["user_id"], "value"), ["user_id"], f"{base}/out", f"{base}/progress"))
     sums = ingest.finish_sums(ingest.latest_rows(t.spark, f"{base}/out", ["user_id"]))
     return sums.select("user_id", "n", *[r6(c).alias(c) for c in ("mean", "std", "lowest", "highest")])
 
@@ -105,14 +129,14 @@ def windows_of(rows):
 @query("z05_tumbling_counts", window_sql(6, 6))
 def z05_tumbling(t):
     """Reviews per user and six hours, late rows left out."""
-    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "6 hours"), out, progress)
+    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "6 hours"), ["window", "user_id"], out, progress)
     return windows_of(ingest.latest_rows(t.spark, in_two_batches(t, "tumbling", start), ["window", "user_id"]))
 
 
 @query("z05_sliding_counts", window_sql(12, 6))
 def z05_sliding(t):
     """Reviews per user and twelve hours, starting every six."""
-    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "12 hours", "6 hours"), out, progress)
+    start = lambda s, out, progress: ingest.write_updates(ingest.windowed(s, "ts", ["user_id"], "value", "12 hours", "6 hours"), ["window", "user_id"], out, progress)
     return windows_of(ingest.latest_rows(t.spark, in_two_batches(t, "sliding", start), ["window", "user_id"]))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mapwright.operators.ranking import top_per_group
+from mapwright.streaming.generations import add_batch, stored_rows
 
 
 def read_folder(spark: SparkSession, path: str, schema, files_per_batch: int = 8, pattern: str | None = None) -> DataFrame:
@@ -52,11 +53,16 @@ def running_sums(stream: DataFrame, keys: Sequence[str], value: str) -> DataFram
         F.min(v).alias("lowest"), F.max(v).alias("highest"))
 
 
-def write_updates(sums: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Store the rows each batch changed under the batch's number; a repeated batch
-    replaces its own folder only."""
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of each key with the largest ``_batch``."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
+def write_updates(sums: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Store the rows each batch changed; of merged batches the newest row of a key stays."""
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        add_batch(batch.withColumn("_batch", F.lit(number)), number, path, lambda rows: newest(rows, keys))
 
     return (
         sums.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -65,10 +71,7 @@ def write_updates(sums: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest stored row of every key."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys and c != "batch"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return newest.select(*keys, "r.*")
+    return newest(stored_rows(spark, path), keys).drop("_batch")
 
 
 def finish_sums(sums: DataFrame) -> DataFrame:
@@ -82,13 +85,15 @@ def finish_sums(sums: DataFrame) -> DataFrame:
 def keep_smallest(stream: DataFrame, entity: str, order: Sequence[Column], n: int, path: str, checkpoint: str) -> StreamingQuery:
     """Store the ``n`` first rows per entity of every batch while batches arrive.
 
-    A batch writes its own folder only, so a repeated batch replaces it and nothing stored is read again; the rows of
-    all batches meet in ``smallest_rows``.
+    Batches are merged by generation, and a merge keeps ``n`` rows per entity again; ``smallest_rows`` joins what is live.
     """
     columns = stream.columns
 
+    def first(rows: DataFrame) -> DataFrame:
+        return top_per_group(rows, [entity], order, n, "_r").select(*columns)
+
     def save(batch: DataFrame, number: int) -> None:
-        top_per_group(batch, [entity], order, n, "_r").select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        add_batch(first(batch), number, path, first)
 
     return (
         stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -96,8 +101,52 @@ def keep_smallest(stream: DataFrame, entity: str, order: Sequence[Column], n: in
 
 
 def smallest_rows(spark: SparkSession, path: str, entity: str, order: Sequence[Column], n: int) -> DataFrame:
-    """The ``n`` first rows per entity over all stored batches; each holds ``n`` per entity at most."""
-    return top_per_group(spark.read.parquet(path).drop("batch"), [entity], order, n, "_r").drop("_r")
+    """The ``n`` first rows per entity over all stored batches; each live part holds ``n`` per entity at most."""
+    return top_per_group(stored_rows(spark, path), [entity], order, n, "_r").drop("_r")
+
+
+def unique_since(stream: DataFrame, key: str, forget: str) -> DataFrame:
+    """Each id once, for streams without an event time: an id is forgotten some time after it arrived.
+
+    The time of arrival (of the batch, the same on a retry) serves as event time, so the state holds the ids of about
+    twice ``forget``: an id that returns within ``forget`` is dropped, one that returns after twice that passes again.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", forget)
+    return arrived.dropDuplicatesWithinWatermark([key]).drop("_arrived")
+
+
+def count_arrivals(stream: DataFrame, key: str, valid: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Store each id once, and beside each batch how many rows were accepted, rejected and duplicates.
+
+    ``valid`` tells which rows take part; rows without an id are rejected too. Ids and counts are kept under the batch's
+    number and merged by generation. A batch meets the ids of the batches before it only, so one that is repeated after a
+    stop gives the same rows and counts once. Which of several copies in one batch stays is not fixed. Counts are an
+    aggregate of their own, since observed ones could count a task twice that ran again.
+    """
+    takes_part = F.coalesce(valid, F.lit(False)) & F.col(key).isNotNull()
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.where(takes_part).dropDuplicates([key])
+        if number > 0:
+            first = first.join(stored_rows(spark, f"{path}/ids", batches=number), key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        kept = spark.read.schema(batch.schema).parquet(f"{path}/rows/batch={number}")
+        add_batch(kept.select(key), number, f"{path}/ids", lambda ids: ids)
+        seen = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(takes_part).alias("valid"))
+        accepted = kept.agg(F.count(F.lit(1)).alias("accepted")).scalar()
+        counts = seen.select(accepted.alias("accepted"), (F.col("rows") - F.col("valid")).alias("rejected"), (F.col("valid") - accepted).alias("duplicate"))
+        add_batch(counts, number, f"{path}/counters", lambda rows: rows.agg(*[F.sum(k).alias(k) for k in COUNTS]))
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+COUNTS = ("accepted", "rejected", "duplicate")
+
+
+def arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """One row: accepted, rejected and duplicate rows of all batches so far."""
+    return stored_rows(spark, f"{path}/counters").agg(*[F.sum(k).alias(k) for k in COUNTS])
 
 
 def windowed(stream: DataFrame, time: str, keys: Sequence[str], value: str, width: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
