@@ -5,6 +5,7 @@ from __future__ import annotations
 from mapwright.plans import (  # noqa: F401
     q_aggregates,
     q_datasets,
+    q_domains,
     q_export,
     q_metrics,
     q_prepare,
