@@ -123,7 +123,7 @@ def music_report(raw: DataFrame, artists: DataFrame, thresholds: Sequence[int],
 def restaurant_report(business: DataFrame, reviews: DataFrame, tips: DataFrame, ids: DataFrame) -> DataFrame:
     """Data quality of restaurants as (metric, value): raw table, the map's ids in it, and their reviews and tips."""
     name = lambda df: df.withColumn("id", V.blank_to_null(F.col("business_id").cast("string")))
-    tokens = F.transform(F.split(F.lower("categories"), ","), F.trim)
+    tokens = F.transform(F.split(F.lower("categories"), ","), lambda s: F.trim(s))
     ids = name(ids).where("id is not null").select("id").distinct().withColumn("known", F.lit(True))
     table = name(business).agg(
         F.count(F.lit(1)).alias("businesses"), F.count_if(F.col("categories") != "").alias("with_categories"),
