@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mapwright.functions import vectors as VX
 from mapwright.functions.constants import ENGLISH_STOPWORDS, FEEL_AXES, FEEL_DIMENSIONS, FUSION_WEIGHTS
-from mapwright.operators import density, encode, feel, fusion, metrics, reduce, sampling, tfidf
+from mapwright.operators import density, density_tree, encode, feel, fusion, metrics, reduce, sampling, tfidf
 from mapwright.plans.q_scalars import sql_list
 from mapwright.plans.registry import query, r6
 
@@ -179,6 +179,44 @@ def v14(t):
     return out.select("id", "cluster")
 
 
+@query("v14_density_tree", """
+    WITH RECURSIVE near AS (SELECT a.id AS qid, b.id AS rid, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM places a JOIN places b ON a.id <> b.id
+      QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) <= 24),
+    core AS (SELECT qid AS id, max(d) AS core FROM near GROUP BY 1),
+    h AS (SELECT height, row_number() OVER (ORDER BY height) - 1 AS level FROM (SELECT DISTINCT unnest(quantile_cont(core, [i / 32.0 FOR i IN range(1, 33)])) AS height FROM core)),
+    rate AS (SELECT level, 1 / greatest(height, (SELECT min(height) / 2 FROM h WHERE height > 0)) AS r FROM h),
+    gain AS (SELECT level, r - coalesce(lead(r) OVER (ORDER BY level), r) AS g FROM rate),
+    c AS (SELECT id, core, (SELECT count(*) FROM h WHERE height < core) AS level FROM core),
+    low AS (SELECT qid AS id, min({'core': core, 'id': rid}) AS least FROM near JOIN c ON rid = c.id GROUP BY 1),
+    step AS (SELECT c.id, CASE WHEN least < {'core': core, 'id': c.id} THEN least.id ELSE c.id END AS down FROM c JOIN low USING (id)),
+    walk AS (SELECT id, down FROM step UNION SELECT w.id, s.down FROM walk w JOIN step s ON w.down = s.id),
+    p AS (SELECT c.id, c.core, c.level, s.id AS basin FROM walk w JOIN step s ON w.down = s.id AND s.down = s.id JOIN c ON c.id = w.id),
+    pass AS (SELECT a.basin AS a, b.basin AS b, min(greatest(a.core, b.core)) AS height FROM near JOIN p a ON qid = a.id JOIN p b ON rid = b.id WHERE a.basin <> b.basin GROUP BY 1, 2),
+    edge AS (SELECT DISTINCT level, x.a, x.b FROM (SELECT a, b, height FROM pass UNION ALL SELECT b, a, height FROM pass) x JOIN h ON x.height <= h.height),
+    node AS (SELECT h.level, basin FROM p JOIN h ON p.level <= h.level WHERE p.id = basin),
+    reach AS (SELECT level, basin AS a, basin AS z FROM node UNION SELECT r.level, r.a, e.b FROM reach r JOIN edge e ON e.level = r.level AND e.a = r.z),
+    lab AS (SELECT level, z AS basin, min(a) AS label FROM reach GROUP BY 1, 2),
+    grp AS (SELECT lab.level, label, count(*) AS size FROM lab JOIN p ON p.basin = lab.basin AND p.level <= lab.level GROUP BY 1, 2 HAVING count(*) >= 40),
+    tied AS (SELECT g.*, u.label AS up, count(*) OVER (PARTITION BY g.level, u.label) AS siblings FROM grp g LEFT JOIN lab u ON u.level = g.level + 1 AND u.basin = g.label),
+    head AS (SELECT level, label, size FROM tied WHERE up IS NULL OR siblings > 1),
+    held AS (SELECT g.level, g.label, g.size, h.level AS up_level, h.label AS up_label FROM grp g JOIN lab o ON o.basin = g.label AND o.level >= g.level JOIN head h ON h.level = o.level AND h.label = o.label),
+    own AS (SELECT up.l AS level, up.b AS label, sum(size * g) AS own FROM (SELECT level, size, min({'l': up_level, 'b': up_label}) AS up FROM held GROUP BY level, label, size) JOIN gain USING (level) GROUP BY 1, 2),
+    line AS (SELECT held.* FROM held JOIN head USING (level, label) WHERE up_level > held.level),
+    tree AS (SELECT head.level, head.label, head.size, own, coalesce(depth, 0) AS depth, up FROM head JOIN own USING (level, label)
+      LEFT JOIN (SELECT level, label, count(*) AS depth, min({'l': up_level, 'b': up_label}) AS up FROM line GROUP BY 1, 2) USING (level, label)),
+    cut AS (SELECT level, label, size, depth, up, own AS total, size < (SELECT count(*) FROM p) AS keep FROM tree WHERE depth = (SELECT max(depth) FROM tree)
+      UNION ALL SELECT t.level, t.label, t.size, t.depth, t.up, CASE WHEN t.size < (SELECT count(*) FROM p) AND own >= coalesce(sub, 0) THEN own ELSE coalesce(sub, 0) END,
+        t.size < (SELECT count(*) FROM p) AND own >= coalesce(sub, 0)
+      FROM tree t JOIN (SELECT max(depth) - 1 AS depth FROM cut) d ON t.depth = d.depth LEFT JOIN (SELECT up, sum(total) AS sub FROM cut GROUP BY 1) k ON k.up = {'l': t.level, 'b': t.label}),
+    best AS (SELECT level, label, row_number() OVER (ORDER BY size DESC, level, label) - 1 AS cluster FROM cut
+      WHERE keep AND NOT EXISTS (SELECT 1 FROM line JOIN cut o ON o.level = up_level AND o.label = up_label AND o.keep WHERE line.level = cut.level AND line.label = cut.label)),
+    member AS (SELECT p.id, cluster FROM best JOIN lab USING (level, label) JOIN p ON p.basin = lab.basin AND p.level <= best.level)
+    SELECT places.id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM places LEFT JOIN member USING (id)""")
+def v14_tree(t):
+    """Clusters of many densities, with the least size and the neighbours of the grid's query."""
+    return density_tree.density_tree_clusters(t.places, min_cluster_size=40, min_samples=24).select("id", "cluster")
+
+
 def sweep_points(t):
     both = t.embedding_table.join(t.review_vectors.select("domain", "entity_id", F.col("embedding").alias("second"), "review_count"), ["domain", "entity_id"])
     eligible = (F.col("review_count") >= 1) & (VX.norm(F.col("embedding")) > 0) & (VX.norm(F.col("second")) > 0)
