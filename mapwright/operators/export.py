@@ -101,13 +101,6 @@ def as_json(df: DataFrame, name: str = "document") -> DataFrame:
     return safe.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
 
 
-def sharded_documents(df: DataFrame, domain: str, key: str, shards: int = 256) -> DataFrame:
-    """Rows tagged with the shard a client looks their key up in."""
-    from mapwright.functions.values import shard_of
-
-    return df.withColumn("shard", shard_of(F.col(key), shards)).repartition(domain, "shard")
-
-
 def shard_sizes(df: DataFrame, domain: str, key: str, shards: int = 256) -> DataFrame:
     """Documents per (domain, shard) with a row for every shard, also empty ones."""
     from mapwright.functions.values import shard_of

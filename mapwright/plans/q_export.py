@@ -103,10 +103,12 @@ def s11(t):
     path = storage.scratch_folder(t.spark, "shards")
     writers.write_shards(t.map_items.select("domain", "source_id", "title", "popularity"), path)
     items, index = writers.read_shards(t.spark, path, "source_id string, title string, popularity double")
-    # What lies in the folders against what the index promises.
-    held = items.groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("held"))
-    same = F.when(F.col("count") == F.coalesce("held", F.lit(0)), F.col("count"))
-    return index.join(held, ["domain", "shard"], "left").select("domain", "shard", same.alias("count"))
+    # What lies in the files, one a shard, against the documents that are read back and what the index promises.
+    held = items.groupBy("domain", "shard").agg(F.count("source_id").alias("held"))
+    files = writers.shard_files(t.spark, path).withColumnRenamed("count", "lines")
+    both = files.join(index, ["domain", "shard"], "full").join(held, ["domain", "shard"], "left")
+    same = (F.col("files") == 1) & (F.col("lines") == F.col("count")) & (F.col("lines") == F.coalesce("held", F.lit(0)))
+    return both.select("domain", "shard", F.when(same, F.col("count")).alias("count"))
 
 
 @query("s12_manifest", f"""

@@ -1,5 +1,7 @@
 """What the jobs must refuse, and inputs that must not be lost."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,11 +40,28 @@ def test_vector_tables(spark, tmp_path):
     assert vectors.read_vectors(spark, str(tmp_path / "good/vectors")).count() == 2
 
 
-def test_every_shard_is_listed(spark, tmp_path):
-    details = spark.createDataFrame([("movies", "1"), ("movies", "2")], "domain string, source_id string")
+def test_every_shard_is_a_file_of_json(spark, tmp_path):
+    """Each of 256 files a domain is one JSON object, the empty ones too; no row is lost to odd ids, texts or domains."""
+    rows = [("movies", f"{i}", f'a "quoted"\n{{line}}, {i}', float(i)) for i in range(1500)]
+    rows += [("music", "1", None, float("nan")), ("music", "1", "again", 1.0), (None, ",{", "x", 2.0), ("", None, "y", 3.0)]
+    details = spark.createDataFrame(rows, "domain string, source_id string, title string, value double")
     writers.write_shards(details, str(tmp_path / "s"))
-    items, index = writers.read_shards(spark, str(tmp_path / "s"), "source_id string")
-    assert items.count() == 2 and index.count() == 256 and index.agg(F.sum("count")).first()[0] == 2
+    files = writers.shard_files(spark, str(tmp_path / "s")).collect()
+    assert len(files) == 3 * 256 and {r["files"] for r in files} == {1} and sum(r["count"] for r in files) == len(rows)
+    found = list((tmp_path / "s/items").glob("domain=*/shard=*/part-*"))
+    assert len(found) == 3 * 256
+    held = [pair for f in found for pair in json.loads(f.read_text(), object_pairs_hook=list)]
+    assert len(held) == len(rows)
+    movies = {}
+    for f in (tmp_path / "s/items/domain=movies").glob("shard=*/part-*"):
+        ids = [k for k, _ in json.loads(f.read_text(), object_pairs_hook=list)]
+        assert ids == sorted(ids)
+        movies |= json.loads(f.read_text())
+    assert movies["7"] == {"source_id": "7", "title": 'a "quoted"\n{line}, 7', "value": 7.0} and len(movies) == 1500
+    items, index = writers.read_shards(spark, str(tmp_path / "s"), "source_id string, title string, value double")
+    back = {(r["domain"], r["source_id"], r["title"], r["value"]) for r in items.collect()}
+    assert back == {(d or None, i or "", t, None if v != v else v) for d, i, t, v in rows}
+    assert index.count() == 3 * 256 and index.agg(F.sum("count")).first()[0] == len(rows)
 
 
 def test_csv_is_bound_by_name(spark, tmp_path):
