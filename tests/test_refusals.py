@@ -1,6 +1,7 @@
 """What the jobs must refuse, and inputs that must not be lost."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,39 @@ def test_json_of_every_form(spark, tmp_path, split):
     assert rows["1"].movie == "} {" and rows["1"].helpful == ["1", "2"] and rows["2"].movie == 'x"}'
 
 
+@pytest.mark.parametrize("split", ["61", "700", "128m"])
+def test_json_records_over_borders(spark, tmp_path, split):
+    """Nested objects, braces, quotes and escapes in texts: the same objects wherever the file is split."""
+    rng = random.Random(7)
+
+    def value(depth):
+        kind = rng.randrange(5 if depth else 2)
+        if kind < 2:
+            return "".join(rng.choice('ab{}[],:"\\\né ') for _ in range(rng.choice([0, 3, 12, 150])))
+        if kind < 4:
+            return {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+        return [value(depth - 1) for _ in range(rng.randrange(3))]
+
+    records = [{"id": i, "v": value(3), "w": {} if i % 3 else [{}]} for i in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(records[:20], indent=1, ensure_ascii=False) + "\n")
+    (tmp_path / "b.json").write_text("".join(json.dumps(r) for r in records[20:40]))
+    (tmp_path / "c.json").write_text("[" + ",\n".join(json.dumps(r, ensure_ascii=False) for r in records[40:]) + "]")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = [json.loads(r["record"]) for r in readers.json_records(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(found, key=lambda r: r["id"]) == records
+
+
+@pytest.mark.parametrize("bad", ['[{"a": 1}, {"a": {"b": 2}', '{"a": "x} {"a": 1}', 'x {"a": 1}', '{"a": 1}} {"a": 2}'])
+def test_what_is_no_list_of_objects_is_an_error(spark, tmp_path, bad):
+    (tmp_path / "a.json").write_text(bad)
+    with pytest.raises(Exception, match="ends inside an object|something else than objects"):
+        readers.json_records(spark, str(tmp_path)).collect()
+
+
 def test_broken_json_is_an_error(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"review_id": "1"}, {"review_id": "2')
     with pytest.raises(Exception, match="ends inside an object"):
