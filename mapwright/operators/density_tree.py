@@ -15,14 +15,7 @@ from pyspark.sql import functions as F
 
 from mapwright.operators.histogram import exact_percentiles
 from mapwright.operators.neighbors import nearest_items
-from mapwright.sources.storage import scratch_folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, with a short lineage."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from mapwright.sources.storage import written
 
 
 def basins(cores: DataFrame, lists: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mapwright.operators.density import density_clusters
+from mapwright.operators.density import components, density_clusters
 
 
 def shape(n, seed=0):
@@ -29,3 +29,11 @@ def test_same_shape_same_clusters(spark, n):
             main[row["kind"]] = row["cluster"]
     assert main == {"a": 0, "b": 1, "arm": 2, "noise": -1}
     assert {r["cluster"] for r in found} == {-1, 0, 1, 2}
+
+
+def test_size_estimates_do_not_grow_by_the_round(spark):
+    """A checkpointed round kept the estimate of the joins behind it: its digits doubled each round, up to the driver's memory."""
+    path = spark.range(200).selectExpr("id AS cx", "id % 2 AS cy")
+    found = components(path)
+    assert found.select("label").distinct().count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 300
