@@ -11,7 +11,8 @@ from mapwright.streaming import ingest
 
 
 def stream_of(t, table):
-    return ingest.read_folder(t.spark, t.sf_dir, t.base(table).schema, pattern=f"{table}.parquet")
+    """The table as a stream, be it one file or a folder of them: a pattern that only its own name fits takes both."""
+    return ingest.read_folder(t.spark, f"{t.sf_dir}/{{{table}.parquet}}", t.base(table).schema)
 
 
 @query("z01_streamed_dedupe", "SELECT DISTINCT md5(text) AS review_id, CAST(length(text) AS INTEGER) AS chars FROM documents")

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from mapwright.plans.catalog import queries
 from mapwright.streaming import generations as G
 from mapwright.streaming import ingest
 
@@ -69,3 +70,18 @@ def test_ids_are_forgotten_after_the_limit(spark, tmp_path):
     kept = sorted((r.id, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert kept.count(("a", 1)) == 1 and ("a", 3) in kept and ("b", 1) in kept and ("c", 2) in kept
     assert held <= 2  # "b" is gone from the state
+
+
+@pytest.mark.parametrize("name", ["z01_streamed_dedupe", "z01_dedupe_with_time_to_live"])
+@pytest.mark.parametrize("parts", [1, 11])
+def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, name, parts):
+    """Larger tables lie in folders of part files; the pattern of one file's name found none of them."""
+    rows = spark.range(40).selectExpr("id AS doc_id", "IF(id % 5 = 0, NULL, concat('text ', id % 17)) AS text")
+    target = f"{tmp_path}/documents.parquet"
+    if parts == 1:
+        rows.toPandas().to_parquet(target)
+    else:
+        rows.repartition(parts).write.parquet(target)
+    spark.createDataFrame([(1, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents_old.parquet")
+    found = queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r["chars"] or 0 for r in found) == sorted([0] + [len(f"text {k}") for k in range(17)])
