@@ -143,15 +143,28 @@ class Boxes:
             gaps_out.append(gap[keep])
         return np.concatenate(rows_out), np.concatenate(tiles_out), np.concatenate(gaps_out)
 
-    def nearest(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, wanted: int) -> np.ndarray:
-        """The nearest tile of each row, the lowest of equally near ones; -1 where the candidate set does not exist."""
-        out = np.full(len(part), -1, dtype="int64")
-        for start in range(0, len(part), 4096):
-            end = start + 4096
-            row, tile, gap = self.within(part[start:end], x[start:end], y[start:end], np.full(len(part[start:end]), np.inf), wanted)
+    def nearest(self, part: np.ndarray, x: np.ndarray, y: np.ndarray, wanted: int, home: np.ndarray | None = None) -> np.ndarray:
+        """The nearest tile of each row, the lowest of equally near ones; -1 where the candidate set does not exist.
+
+        ``home`` is the tile of the plane a row lies in. A row inside that tile's rectangle takes it without a search; the
+        far corner of the rectangle bounds the search of the others.
+        """
+        out, radius = np.full(len(part), -1, dtype="int64"), np.full(len(part), np.inf)
+        for name, (tiles, levels) in self.sets.items() if home is not None else ():
+            rows = np.nonzero(part == name)[0]
+            at = np.minimum(np.searchsorted(tiles, home[rows]), len(tiles) - 1)
+            held, box = tiles[at] == home[rows], levels[0][at]
+            inside = held & (self.gaps(box, x[rows], y[rows]) == 0)
+            out[rows[inside]] = home[rows[inside]]
+            far = np.hypot(np.maximum(x[rows] - box[:, 0], box[:, 1] - x[rows]), np.maximum(y[rows] - box[:, 2], box[:, 3] - y[rows]))
+            radius[rows[held]] = far[held]
+        left = np.nonzero(out < 0)[0]
+        for start in range(0, len(left), 4096):
+            mine = left[start : start + 4096]
+            row, tile, gap = self.within(part[mine], x[mine], y[mine], radius[mine], wanted if home is None else 1)
             order = np.lexsort((tile, gap, row))
             row, first = np.unique(row[order], return_index=True)
-            out[start + row] = tile[order][first]
+            out[mine[row]] = tile[order][first]
         return out
 
 
@@ -286,9 +299,12 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
 
     @F.pandas_udf("bigint")
     def first_tile(part: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(boxes.value.nearest(part.to_numpy(), x.to_numpy(), y.to_numpy(), k + 1))
+        rows = part.to_numpy(), x.to_numpy(), y.to_numpy()
+        return pd.Series(boxes.value.nearest(*rows, k + 1, shared.value.tile_of(*rows)))
 
-    asked = queries.withColumn("tile", first_tile("part", "qx", "qy")).where("tile >= 0")
+    # Spread first, as the input may lie in few files; both the sizes and the search read this stage.
+    even = spread(queries.select("qid", "qx", "qy", "part"), "qid", "part", "qx", "qy")
+    asked = even.withColumn("tile", first_tile("part", "qx", "qy")).where("tile >= 0").checkpoint()
     first = _search(asked, tiled, k, 2 * tile_rows)
     best = first.where("rid IS NOT NULL").select("qid", "part", "rid", "d2", "rank")
     if tiling.tiles > len(tiling.sets):

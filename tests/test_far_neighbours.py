@@ -54,3 +54,22 @@ def test_far_domains_agree_with_brute_force(spark):
     for i, d, x, y in rows[::50]:
         others = sorted((round((a - x) ** 2 + (b - y) ** 2, 9), j) for j, e, a, b in rows if e != d)[:3]
         assert [r for _, r in sorted(got[i])] == [j for _, j in others]
+
+
+def test_rows_inside_their_own_rectangle_need_no_search(monkeypatch):
+    """Choosing a first tile searched the tree for every row; the tile a row lies in answers most of them."""
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(size=4000), rng.uniform(size=4000)
+    tile, part = (x * 8).astype(int) * 8 + (y * 8).astype(int), np.full(4000, "a")
+    boxes = boxes_of(part, tile, x, y)
+    searched = []
+    within = neighbors.Boxes.within
+    monkeypatch.setattr(neighbors.Boxes, "within", lambda self, p, a, b, r, n: searched.append(len(p)) or within(self, p, a, b, r, n))
+    assert (boxes.nearest(part, x, y, 6, tile) == tile).all() and not searched
+    qx, qy = rng.uniform(-3, 4, 500), rng.uniform(-3, 4, 500)
+    home = np.clip(qx * 8, 0, 7).astype(int) * 8 + np.clip(qy * 8, 0, 7).astype(int)
+    found = boxes.nearest(np.full(500, "a"), qx, qy, 6, home)
+    tiles, levels = boxes.sets["a"]
+    gaps = np.stack([boxes.gaps(np.repeat(levels[0][[t]], 500, axis=0), qx, qy) for t in range(len(tiles))])
+    assert np.allclose(gaps[np.searchsorted(tiles, found), np.arange(500)], gaps.min(axis=0))
+    assert (boxes.nearest(np.array(["b"]), qx[:1], qy[:1], 6, home[:1]) == -1).all()
