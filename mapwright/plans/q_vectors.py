@@ -9,6 +9,7 @@ from mapwright.functions.constants import ENGLISH_STOPWORDS, FEEL_AXES, FEEL_DIM
 from mapwright.operators import density, density_tree, encode, feel, fusion, metrics, reduce, sampling, tfidf
 from mapwright.plans.q_scalars import sql_list
 from mapwright.plans.registry import query, r6
+from mapwright.sources import storage
 
 TOKENS_SQL = f"""list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
       lambda w: NOT list_contains([{sql_list(ENGLISH_STOPWORDS)}], w))"""
@@ -25,7 +26,9 @@ def tfidf_sql(fit: str, use: str) -> str:
 
 @query("v01_tfidf", tfidf_sql("true", "true"))
 def v01(t):
-    counts = tfidf.term_counts(t.documents, "doc_id", "text", ENGLISH_STOPWORDS)
+    """Texts are dealt by id once: terms are counted and lengths taken where a text lies, so no (id, term) pair is shuffled."""
+    docs = storage.spread(t.documents.select("doc_id", "text"), "doc_id")
+    counts = tfidf.term_counts(docs, "doc_id", "text", ENGLISH_STOPWORDS)
     vocab = tfidf.fit_vocabulary(counts, t.documents, 5000)
     return tfidf.transform(counts, vocab, "doc_id").withColumn("weight", r6("weight"))
 

@@ -1,5 +1,7 @@
 """Plans must prune, push down and keep top-n limits ahead of the shuffle."""
 
+import re
+
 import pytest
 
 from mapwright.plans import catalog
@@ -33,3 +35,12 @@ def test_no_nested_loop_joins(spark, name):
 def test_hot_paths_stay_in_the_jvm(spark, name):
     text = plan(spark, name)
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_tfidf_shuffles_texts_once_and_no_term_counts(tables):
+    """Counts and lengths are taken where a text was dealt to; before, all (id, term) pairs went through two shuffles."""
+    from mapwright.plans import q_vectors
+
+    plan = q_vectors.v01(tables)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\), REPARTITION_BY_NUM", plan)) == len(re.findall(r"Exchange hashpartitioning\(doc_id", plan))
