@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ def anchor_table(spark: SparkSession) -> DataFrame:
         else:
             rows.append((len(rows), f"{dim}__{high}", dim, "bipolar_high", high, high_text))
             rows.append((len(rows), f"{dim}__{low}", dim, "bipolar_low", low, low_text))
+    # Through Arrow, the rows are Spark's own: a list of Python rows is a stage of Python workers in each query that reads it.
     schema = "anchor_index int, anchor_name string, dimension string, type string, label string, text string"
-    return spark.createDataFrame(rows, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], names), schema)
 
 
 def anchor_problems(anchors: DataFrame) -> DataFrame:
@@ -61,7 +64,9 @@ def anchor_similarities(entities: DataFrame, anchors: DataFrame, vector: str = "
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return pd.Series(list((m / np.where(length > 0, length, 1.0)) @ ref.T))
 
-    return entities.withColumn("similarities", cosines(F.col(vector)))
+    # Nondeterministic to Spark, so that what explodes the result does not bring a filter that computes all of it a second
+    # time, in a second worker of each task.
+    return entities.withColumn("similarities", cosines.asNondeterministic()(F.col(vector)))
 
 
 def feel_scores(df: DataFrame, defined: Column, sims: str = "similarities") -> DataFrame:

@@ -100,7 +100,7 @@ SIMS_SQL = f"""
 def similarities(t):
     """The first 23 vectors stand for the encoded anchor sentences."""
     named = feel.anchor_table(t.spark)
-    anchors = named.join(t.embeddings.select(F.col("vec_id").alias("anchor_index"), F.col("embedding").alias("anchor_vector")), "anchor_index")
+    anchors = F.broadcast(named).join(t.embeddings.select(F.col("vec_id").alias("anchor_index"), F.col("embedding").alias("anchor_vector")), "anchor_index")
     return feel.anchor_similarities(t.embeddings, anchors)
 
 
@@ -109,7 +109,7 @@ def v09(t):
     """Also covers the anchor table (V08): names and order come from it."""
     long = similarities(t).select("vec_id", F.posexplode("similarities").alias("anchor_index", "s"))
     names = feel.anchor_table(t.spark).select("anchor_index", "anchor_name")
-    return long.join(names, "anchor_index").select("vec_id", "anchor_index", "anchor_name", r6("s").alias("similarity"))
+    return long.join(F.broadcast(names), "anchor_index").select("vec_id", "anchor_index", "anchor_name", r6("s").alias("similarity"))
 
 
 def score_sql() -> str:
