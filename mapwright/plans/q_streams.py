@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mapwright.functions.values import sample_score
 from mapwright.plans.registry import query, r6
+from mapwright.sources import storage
 from mapwright.sources.storage import scratch_folder
 from mapwright.streaming import ingest
 
@@ -148,11 +149,15 @@ def z05_sliding(t):
     SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS stop, user_id, count(*) AS n, R6(sum(value)) AS total
     FROM s GROUP BY user_id, number HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM b)""")
 def z05_sessions(t):
-    """Closed sessions of a user: rows less than three hours apart, closed a day after."""
+    """Closed sessions of a user: rows less than three hours apart, closed a day after.
+
+    All files arrive in one batch, so no row is late; they are many, as one file of few row groups is one task's work.
+    """
     base = scratch_folder(t.spark, "sessions")
     events = t.events.select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
-    events.coalesce(1).write.parquet(f"{base}/in")
-    stream = ingest.read_folder(t.spark, f"{base}/in", events.schema)
+    storage.spread(events, "event_id", "ts").write.parquet(f"{base}/in")
+    files = len(t.spark.read.schema(events.schema).parquet(f"{base}/in").inputFiles())
+    stream = ingest.read_folder(t.spark, f"{base}/in", events.schema, files_per_batch=files)
     ingest.run_to_end(ingest.append_to(ingest.sessions(stream, "ts", ["user_id"], "value", "3 hours"), f"{base}/out", f"{base}/progress"))
     found = t.spark.read.parquet(f"{base}/out")
     form = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")

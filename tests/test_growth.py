@@ -1,8 +1,11 @@
 """What must not grow with the input: Python workers of a task, rows of one task, vectors that are joined."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mapwright.operators import feel
+from mapwright.plans import catalog
+from mapwright.streaming import ingest
 
 
 def plan_of(df):
@@ -18,3 +21,26 @@ def test_similarities_take_one_worker_a_task(spark):
     long = feel.anchor_similarities(vectors, anchors).select("vec_id", F.posexplode("similarities").alias("anchor_index", "s"))
     assert plan_of(long).count("ArrowEvalPython") == 1
     assert {(r.vec_id, r.anchor_index) for r in long.where("s = 1").collect()} == {(i, i) for i in range(feel.N_ANCHORS)}
+
+
+def test_sessions_come_from_many_files_in_one_batch(spark, tmp_path, monkeypatch):
+    """Rows in no order of time, no two exactly a gap apart: a second batch would drop them as late, and one file is read by one task."""
+    rows = [(i, i % 7, float(i), f"2024-01-{1 + (i * 11) % 20:02d} {i % 24:02d}:{i % 59:02d}:00") for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double, at string").select(
+        "event_id", "user_id", "value", F.lit("view").alias("event_type"), F.col("at").cast("timestamp_ntz").alias("ts"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    seen, read = {}, ingest.read_folder
+
+    def spy(session, path, schema, files_per_batch=8, pattern=None):
+        seen.update(files=len(session.read.parquet(path).inputFiles()), most=files_per_batch)
+        return read(session, path, schema, files_per_batch, pattern)
+
+    monkeypatch.setattr(ingest, "read_folder", spy)
+    found = catalog.queries()["z05_session_counts"](spark, str(tmp_path)).collect()
+    assert 1 < seen["files"] <= seen["most"]
+    want, last = 0, max(r[3] for r in rows)
+    for user in range(7):
+        times = sorted(np.datetime64(r[3].replace(" ", "T")) for r in rows if r[1] == user)
+        ends = [a for a, b in zip(times, [*times[1:], np.datetime64("2030-01-01")], strict=True) if b - a >= np.timedelta64(3, "h")]
+        want += sum(e + np.timedelta64(27, "h") <= np.datetime64(last.replace(" ", "T")) for e in ends)
+    assert len(found) == want > 0
