@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.operators.ranking import top_per_group
-from mapwright.sources.storage import spread, use_checkpoint_dir
+from mapwright.sources.storage import spread, written
 
 TILE_ROWS = 2000
 MAX_CUTS = 1024
@@ -280,9 +280,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
     candidates of its part only, and never itself. Ids are texts.
     """
     tile_rows = max(tile_rows, 4 * k)
-    use_checkpoint_dir(refs.sparkSession)
     narrow = refs.select("rid", "rx", "ry", "part")
-    kept = top_per_group(narrow, ["part", "rx", "ry"], [F.col("rid")], k + 1).drop("rank").checkpoint()
+    kept = top_per_group(narrow, ["part", "rx", "ry"], [F.col("rid")], k + 1).drop("rank")
+    kept = written(kept, "candidates")
     tiling = build_tiling(kept, tile_rows)
     shared = refs.sparkSession.sparkContext.broadcast(tiling)
 
@@ -290,7 +290,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
     def tile_of(part: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(shared.value.tile_of(part.to_numpy(), x.to_numpy(), y.to_numpy()))
 
-    tiled = kept.withColumn("tile", tile_of("part", "rx", "ry"))
+    # Every column that Python computes is written before it is used: a filter on it, or a second reader, would compute it
+    # again in a worker of its own.
+    tiled = written(kept.withColumn("tile", tile_of("part", "rx", "ry")), "tiled")
     # A row a tile; there are at most MAX_CUTS^2 tiles a set.
     turns = [2 * np.pi * i / Boxes.COMPASS for i in range(Boxes.COMPASS)]
     outer = [F.max_by(F.struct("rx", "ry"), F.col("rx") * float(np.cos(t)) + F.col("ry") * float(np.sin(t))) for t in turns]
@@ -304,12 +306,12 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
 
     # Spread first, as the input may lie in few files; both the sizes and the search read this stage.
     even = spread(queries.select("qid", "qx", "qy", "part"), "qid", "part", "qx", "qy")
-    asked = even.withColumn("tile", first_tile("part", "qx", "qy")).where("tile >= 0").checkpoint()
+    asked = written(even.withColumn("tile", first_tile("part", "qx", "qy")), "asked").where("tile >= 0")
     first = _search(asked, tiled, k, 2 * tile_rows)
     best = first.where("rid IS NOT NULL").select("qid", "part", "rid", "d2", "rank")
     if tiling.tiles > len(tiling.sets):
         # Both the second round and the merge read this stage: run it once.
-        first = first.checkpoint()
+        first = written(first, "first")
 
         def look_around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
@@ -320,7 +322,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
                     yield g[["qid", "part", "qx", "qy"]].iloc[rows[other]].assign(tile=tile[other])
 
         asks = first.where("rank = 1").select("qid", "part", "qx", "qy", "tile", "kth")
-        others = asks.mapInPandas(look_around, "qid string, part string, qx double, qy double, tile bigint")
+        others = written(asks.mapInPandas(look_around, "qid string, part string, qx double, qy double, tile bigint"), "others")
         more = _search(others, tiled, k, 2 * tile_rows)
         both = first.unionByName(more).where("rid IS NOT NULL").select("qid", "part", "rid", "d2")
         best = top_per_group(both, ["qid", "part"], [F.col("d2"), F.col("rid")], k)
