@@ -14,36 +14,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapwright.operators.histogram import exact_percentiles
-from mapwright.operators.neighbors import nearest_items
+from mapwright.operators.neighbors import knn_lists
 from mapwright.sources.storage import written
 
 
 def basins(cores: DataFrame, lists: DataFrame) -> DataFrame:
-    """``id``, ``core`` and ``basin`` (the id of the bottom) of every point.
+    """``id``, ``n``, ``level`` and ``basin`` (the id of the bottom) of every point; ``at`` orders points by core distance and id.
 
     Each round replaces a point's step by the step of the point it leads to, so a way of any length takes its logarithm
-    in rounds. Equal core distances go by id; a point below all of its neighbours is a bottom.
+    in rounds. A point below all of its neighbours is a bottom.
     """
-    to = cores.select(F.col("id").alias("rid"), F.col("core").alias("to_core"))
-    lowest = lists.join(to, "rid").groupBy(F.col("qid").alias("id")).agg(F.min(F.struct(F.col("to_core").alias("core"), F.col("rid").alias("id"))).alias("low"))
-    own = F.struct("core", "id")
-    steps = cores.join(lowest, "id", "left").select("id", "core", F.when(F.col("low") < own, F.col("low.id")).otherwise(F.col("id")).alias("basin"))
+    to = cores.select(F.col("id").alias("rid"), F.col("at").alias("low"))
+    lowest = lists.select("id", F.explode("near").alias("rid")).join(to, "rid").groupBy("id").agg(F.min("low").alias("low"))
+    steps = cores.join(lowest, "id", "left").select("id", "n", "level", "at", F.least("at", "low").alias("low"))
     steps = written(steps, "steps")
     while True:
-        further = steps.select(F.col("id").alias("basin"), F.col("basin").alias("next"))
-        moved = written(steps.join(further, "basin").select("id", "core", "next", (F.col("next") != F.col("basin")).alias("moved")), "steps")
-        steps = moved.select("id", "core", F.col("next").alias("basin"))
-        if not moved.where("moved").limit(1).count():
-            return steps
+        further = steps.select(F.col("at").alias("low"), F.col("low").alias("next"), F.col("id").alias("basin"))
+        moved = written(steps.join(further, "low").select("id", "n", "level", "at", "low", "next", "basin"), "steps")
+        if not moved.where("next <> low").limit(1).count():
+            return moved.select("id", "n", "level", "basin")
+        steps = moved.select("id", "n", "level", "at", F.col("next").alias("low"))
 
 
 def passes(points: DataFrame, lists: DataFrame) -> DataFrame:
-    """The lowest level at which two basins meet: ``a``, ``b`` and ``height``, each pair once."""
-    left = points.select(F.col("id").alias("qid"), F.col("basin").alias("from"), F.col("core").alias("from_core"))
-    right = points.select(F.col("id").alias("rid"), F.col("basin").alias("to"), F.col("core").alias("to_core"))
-    both = lists.join(left, "qid").join(right, "rid").where(F.col("from") != F.col("to"))
-    return both.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(
-        F.min(F.greatest("from_core", "to_core")).alias("height"))
+    """The lowest level at which two basins meet: ``a``, ``b`` and ``first``, each pair once."""
+    left = lists.join(points, "id").select("basin", "level", F.explode("near").alias("rid"))
+    right = points.select(F.col("id").alias("rid"), F.col("basin").alias("to"), F.col("level").alias("to_level"))
+    both = left.join(right, "rid").where(F.col("basin") != F.col("to"))
+    return both.groupBy(F.least("basin", "to").alias("a"), F.greatest("basin", "to").alias("b")).agg(
+        F.min(F.greatest("level", "to_level")).alias("first"))
 
 
 def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def level_heights(cores: DataFrame, levels: int) -> list[float]:
     """Core distances that the shares 1/levels, 2/levels, ... of the points lie within; equal ones count once."""
-    row = exact_percentiles(cores, [], "core", [(i + 1) / levels for i in range(levels)]).first()
+    row = exact_percentiles(cores, [], "core", [(i + 1) / levels for i in range(levels)], "n").first()
     return sorted({v for v in row if v is not None}) if row else []
 
 
@@ -151,30 +150,36 @@ def density_tree_clusters(items: DataFrame, min_cluster_size: int = 150, min_sam
     than ``min_samples`` other points, makes noise.
     """
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in ("x", "y")]
-    usable = items.where(finite[0] & finite[1]).select("id", "x", "y")
-    lists = written(nearest_items(usable, min_samples).select("qid", "rid", "distance", "rank"), "lists")
-    cores = written(lists.where(F.col("rank") == min_samples).select(F.col("qid").alias("id"), F.col("distance").alias("core")), "cores")
+    usable = items.where(finite[0] & finite[1] & F.col("id").isNotNull()).select("id", "x", "y")
+    # Whole numbers in the order of the ids stand for them from here on.
+    ordered = written(usable.orderBy("id").select(F.monotonically_increasing_id().alias("id"), "x", "y"), "ordered")
+    # All points of a place have one core distance and are linked at it, and a list that holds any of them holds the least:
+    # that one stands for its place.
+    places = written(ordered.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "places")
+    asks = places.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.lit("all").alias("part"))
+    refs = ordered.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.lit("all").alias("part"))
+    found = knn_lists(asks, refs, min_samples).where(F.size("near") == min_samples)
+    lists = written(found.select(F.col("qid").alias("id"), F.sqrt(F.col("near")[min_samples - 1]["d2"]).alias("core"), F.col("near.rid").alias("near")), "lists")
+    cores = lists.select("id", "core").join(places.select("id", "n"), "id")
+    cores = written(cores.orderBy("core", "id").withColumn("at", F.monotonically_increasing_id()), "cores")
     heights = level_heights(cores, levels)
     if not heights:
         return items.withColumn("cluster", F.lit(-1))
-    lists = lists.select("qid", "rid")
-
-    def level_of(c: str):
-        return F.size(F.filter(F.array(*[F.lit(h) for h in heights]), lambda h: h < F.col(c)))
-
-    points = basins(cores, lists)
-    met = passes(points, lists).select("a", "b", level_of("height").alias("first"))
+    level = F.size(F.filter(F.array(*[F.lit(h) for h in heights]), lambda h: h < F.col("core")))
+    points = basins(cores.withColumn("level", level), lists)
+    met = passes(points, lists)
     both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "first"))
     last = F.lit(len(heights) - 1)
     edges = written(both.select("a", "b", F.explode(F.sequence(F.col("first"), last)).alias("level")), "edges")
-    bottoms = points.where("id = basin").select("basin", level_of("core").alias("first"))
+    bottoms = points.where("id = basin").select("basin", F.col("level").alias("first"))
     nodes = written(bottoms.select("basin", F.explode(F.sequence(F.col("first"), last)).alias("level")), "nodes")
     labels = joined(nodes, edges)
-    counts = points.groupBy("basin", level_of("core").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    counts = points.groupBy("basin", "level").agg(F.sum("n").alias("n"))
     branches, lines = cluster_tree(labels, counts, gains(heights), min_cluster_size)
-    found = stable_branches(branches, lines, cores.count() - (not allow_single))
+    found = stable_branches(branches, lines, cores.agg(F.sum("n")).first()[0] - (not allow_single))
     # One row per cluster, far fewer than points: a plain window numbers them.
     numbered = found.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "level", "label")) - 1)
     members = labels.join(numbered.select("level", "label", "cluster"), ["level", "label"]).select("basin", F.col("level").alias("widest"), "cluster")
-    placed = points.select("id", "basin", level_of("core").alias("level")).join(members, "basin").where("level <= widest").select("id", "cluster")
-    return items.join(placed, "id", "left").na.fill(-1, ["cluster"])
+    placed = points.join(members, "basin").where("level <= widest").select("id", "cluster").join(places, "id").select("x", "y", "cluster")
+    out = items.join(placed, ["x", "y"], "left").withColumn("cluster", F.coalesce(F.when(F.col("id").isNotNull(), F.col("cluster")), F.lit(-1)))
+    return out.select("id", *[c for c in items.columns if c != "id"], "cluster")

@@ -9,7 +9,8 @@
    found there bounds the answer: a packed tree of the rectangles gives the other tiles within
    it. A query far from all candidates so visits the near edge of them, not whole strips.
 
-Queries of a crowded tile are split into chunks, each with its own copy of the tile.
+Queries of a crowded tile are split into chunks, each with its own copy of the tile. Each query keeps its neighbours in
+one list; only queries that reach into other tiles meet a second round, and bring back from there what is near enough.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from mapwright.sources.storage import spread, written
 
 TILE_ROWS = 2000
 MAX_CUTS = 1024
-_FOUND = "qid string, part string, qx double, qy double, tile bigint, kth double, rid string, d2 double, rank bigint"
+BLOCK = 64
+_FOUND = "ask bigint, qid {id}, part string, qx double, qy double, tile bigint, kth double, away boolean, near array<struct<d2: double, rid: {id}>>"
 
 class Tiling:
     """Strip and cell edges per candidate set."""
@@ -60,6 +64,15 @@ class Tiling:
             out[rows] = starts[strip] + self._cells(name, strip, y[rows])
         return out
 
+    def room(self, name: str, tile: int) -> tuple[float, float, float, float]:
+        """The part of the plane that belongs to a tile: least and largest x, least and largest y."""
+        x_edges, flat, begin, starts = self.sets[name]
+        strip = int(np.searchsorted(starts, tile, side="right")) - 1
+        xs = np.concatenate([[-np.inf], x_edges, [np.inf]])
+        ys = np.concatenate([[-np.inf], flat[begin[strip] : begin[strip + 1]], [np.inf]])
+        cell = tile - starts[strip]
+        return xs[strip], xs[strip + 1], ys[cell], ys[cell + 1]
+
 
 class Boxes:
     """Packed tree over the rectangles that the candidates of each tile fill.
@@ -211,73 +224,110 @@ def build_tiling(refs: DataFrame, tile_rows: int) -> Tiling:
     return Tiling({p: (x_edges[p], cells[p]) for p in x_edges})
 
 
-def _nearest(q: pd.DataFrame, r: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """k nearest rows of ``r`` for each row of ``q``, own id left out, ties by id.
+def _compact(x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
+    """Row numbers in an order in which ``block`` rows in a row lie close together: strips of x, each by y."""
+    strips = int(np.ceil(np.sqrt(len(x) / block)))
+    strip = np.empty(len(x), dtype=int)
+    strip[np.argsort(x, kind="stable")] = np.arange(len(x)) * strips // max(len(x), 1)
+    return np.lexsort((y, strip))
+
+
+def _nearest(
+    qid: np.ndarray, qx: np.ndarray, qy: np.ndarray, rid: np.ndarray, rx: np.ndarray, ry: np.ndarray, k: int, limit: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k nearest candidates of each query within its ``limit`` (squared), own id left out, ties by id.
 
-    Flat arrays: row of ``q``, id, squared distance and rank.
+    Flat arrays by query, nearest first: row of the query, row of the candidate and squared distance. Queries go in compact
+    blocks: a block looks only at candidates no farther from its rectangle than a distance that holds ``k + 1`` of them
+    for each of its queries.
     """
-    r = r.sort_values("id", kind="stable")
-    rx, ry, rid = r["x"].to_numpy(), r["y"].to_numpy(), r["id"].to_numpy()
-    index = pd.Index(rid)
+    by_id = pd.Series(rid).sort_values(kind="stable").index.to_numpy()
+    rx, ry = rx[by_id], ry[by_id]
+    own_row = pd.Index(rid[by_id]).get_indexer(qid)
+    finite = np.nonzero(np.isfinite(qx) & np.isfinite(qy))[0]
+    order = finite[_compact(qx[finite], qy[finite], BLOCK)]
     parts = []
-    for start in range(0, len(q), 512):
-        block = q.iloc[start : start + 512]
-        dx = block["x"].to_numpy()[:, None] - rx[None, :]
-        dy = block["y"].to_numpy()[:, None] - ry[None, :]
+    for start in range(0, len(order), BLOCK):
+        block = order[start : start + BLOCK]
+        bx, by, most = qx[block], qy[block], limit[block]
+        left, right, low, high = bx.min(), bx.max(), by.min(), by.max()
+        reach = most.max()
+        if len(rx) > k:
+            far = np.maximum(rx - left, right - rx) ** 2 + np.maximum(ry - low, high - ry) ** 2
+            reach = min(reach, np.partition(far, k)[k])  # a place that is not finite comes last
+        gap = np.maximum(np.maximum(left - rx, rx - right), 0) ** 2 + np.maximum(np.maximum(low - ry, ry - high), 0) ** 2
+        seen = np.nonzero(gap <= reach * (1 + 1e-9))[0]
+        if not len(seen):
+            continue
+        dx = bx[:, None] - rx[seen]
+        dy = by[:, None] - ry[seen]
         d2 = dx * dx + dy * dy
-        own = index.get_indexer(block["id"])
-        d2[np.nonzero(own >= 0)[0], own[own >= 0]] = np.inf
-        take = min(k, len(rid))
-        limit = np.partition(d2, take - 1, axis=1)[:, take - 1]
-        rows, cols = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+        own = own_row[block]
+        at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+        mine = np.nonzero(seen[at] == own)[0]
+        d2[mine, at[mine]] = np.inf
+        take = min(k, len(seen))
+        most = np.minimum(most, np.partition(d2, take - 1, axis=1)[:, take - 1])
+        rows, cols = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
         dist = d2[rows, cols]
-        order = np.lexsort((cols, dist, rows))
-        rows, cols, dist = rows[order], cols[order], dist[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-        keep = rank <= k
-        parts.append((rows[keep] + start, rid[cols[keep]], dist[keep], rank[keep]))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+        sort = np.lexsort((cols, dist, rows))
+        rows, cols, dist = rows[sort], cols[sort], dist[sort]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append((block[rows[keep]], by_id[seen[cols[keep]]], dist[keep]))
+    if not parts:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    rows, cols, dist = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    sort = np.argsort(rows, kind="stable")
+    return rows[sort], cols[sort], dist[sort]
 
 
-def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int) -> DataFrame:
-    """Neighbours of each (query, tile) row among the candidates of that tile."""
+def _search(queries: DataFrame, refs: DataFrame, k: int, chunk_rows: int, tiling: Broadcast) -> DataFrame:
+    """Neighbours of each (query, tile) row among the candidates of that tile, no farther than its ``kth``.
+
+    The new ``kth`` is the k-th distance; ``away`` says that it may reach beyond the tile.
+    """
     sizes = queries.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     # One short row per tile and never more than MAX_CUTS^2 tiles per set: safe to broadcast,
     # so queries crowding into one tile are not shuffled before they are split.
     sizes = F.broadcast(sizes)
     q = queries.join(sizes, "tile").select(
-        F.lit(True).alias("is_query"), "tile", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int").alias("chunk"),
-        F.col("qid").alias("id"), "part", F.col("qx").alias("x"), F.col("qy").alias("y"))
+        "tile", F.pmod(F.xxhash64("ask"), F.col("chunks")).cast("int").alias("chunk"),
+        "ask", F.col("qid").alias("id"), "part", F.col("qx").alias("x"), F.col("qy").alias("y"), "kth")
     r = refs.join(sizes, "tile").select(
-        F.lit(False).alias("is_query"), "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        F.col("rid").alias("id"), "part", F.col("rx").alias("x"), F.col("ry").alias("y"))
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        asks, cand = group[group["is_query"]], group[~group["is_query"]]
-        n = len(asks)
-        if n and len(cand):
-            rows, rid, d2, rank = _nearest(asks, cand, k)
-        else:
-            rows, rid, d2, rank = np.zeros(0, int), np.zeros(0, object), np.zeros(0), np.zeros(0, int)
-        # A query without a hit keeps one row, so that it can look further.
-        none = np.setdiff1d(np.arange(n), rows)
-        kth = np.full(n, np.inf)
-        kth[rows[rank == k]] = d2[rank == k]
-        rows = np.concatenate([rows, none])
-        take = lambda c: asks[c].to_numpy()[rows]
-        return pd.DataFrame({
-            "qid": take("id"), "part": take("part"), "qx": take("x"), "qy": take("y"), "tile": take("tile"), "kth": kth[rows],
-            "rid": np.concatenate([rid, np.full(len(none), None, object)]), "d2": np.concatenate([d2, np.full(len(none), np.inf)]),
-            "rank": np.concatenate([rank, np.ones(len(none), int)])})
-
-    return spread(q.unionByName(r), "tile", "chunk").groupBy("tile", "chunk").applyInPandas(kernel, _FOUND)
-
-
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``k`` nearest candidates per (query, part): columns qid, part, rid, distance, rank.
+        "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        F.lit(None).cast("bigint").alias("ask"), F.col("rid").alias("id"), "part", F.col("rx").alias("x"), F.col("ry").alias("y"),
+        F.lit(None).cast("double").alias("kth"))
+
+    def kernel(group: pa.Table) -> pa.Table:
+        asks, cand = group.filter(group["ask"].is_valid()), group.filter(group["ask"].is_null())
+        ids = cand["id"].combine_chunks()
+        x, y, kth = (asks[c].to_numpy() for c in ("x", "y", "kth"))
+        rows, cols, d2 = _nearest(
+            asks["id"].to_numpy(), x, y, ids.to_numpy(zero_copy_only=False), cand["x"].to_numpy(), cand["y"].to_numpy(), k, kth)
+        ends = np.searchsorted(rows, np.arange(len(x) + 1))
+        kth = np.full(len(x), np.inf)
+        full = np.nonzero(np.diff(ends) == k)[0]
+        kth[full] = d2[ends[full + 1] - 1]
+        near = pa.StructArray.from_arrays([pa.array(d2), ids.take(pa.array(cols, pa.int64()))], ["d2", "rid"])
+        away = np.zeros(0, bool)
+        if len(x):
+            x0, x1, y0, y1 = tiling.value.room(asks["part"][0].as_py(), asks["tile"][0].as_py())
+            reach = np.sqrt(kth) * (1 + 1e-9) + 1e-12
+            away = ~((x - reach > x0) & (x + reach < x1) & (y - reach > y0) & (y + reach < y1))
+        return pa.table({
+            "ask": asks["ask"], "qid": asks["id"], "part": asks["part"], "qx": asks["x"], "qy": asks["y"],
+            "tile": asks["tile"], "kth": kth, "away": away,
+            "near": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), near)})
+
+    found = _FOUND.format(id=refs.schema["rid"].dataType.simpleString())
+    return spread(q.unionByName(r), "tile", "chunk").groupBy("tile", "chunk").applyInArrow(kernel, found)
+
+
+def knn_lists(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``k`` nearest candidates of each query of a part as one list: columns qid, part, near (d2, the squared distance, and rid).
 
     ``queries`` has qid, qx, qy, part; ``refs`` has rid, rx, ry, part. A query meets the
-    candidates of its part only, and never itself. Ids are texts.
+    candidates of its part only, and never itself. Ids are texts or whole numbers, alike on both sides.
     """
     tile_rows = max(tile_rows, 4 * k)
     narrow = refs.select("rid", "rx", "ry", "part")
@@ -306,27 +356,37 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_
 
     # Spread first, as the input may lie in few files; both the sizes and the search read this stage.
     even = spread(queries.select("qid", "qx", "qy", "part"), "qid", "part", "qx", "qy")
-    asked = written(even.withColumn("tile", first_tile("part", "qx", "qy")), "asked").where("tile >= 0")
-    first = _search(asked, tiled, k, 2 * tile_rows)
-    best = first.where("rid IS NOT NULL").select("qid", "part", "rid", "d2", "rank")
-    if tiling.tiles > len(tiling.sets):
-        # Both the second round and the merge read this stage: run it once.
-        first = written(first, "first")
-
-        def look_around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for start in range(0, len(f), 4096):
-                    g = f.iloc[start : start + 4096]
-                    rows, tile, _ = boxes.value.within(g["part"].to_numpy(), g["qx"].to_numpy(), g["qy"].to_numpy(), np.sqrt(g["kth"].to_numpy()), k + 1)
-                    other = tile != g["tile"].to_numpy()[rows]
-                    yield g[["qid", "part", "qx", "qy"]].iloc[rows[other]].assign(tile=tile[other])
-
-        asks = first.where("rank = 1").select("qid", "part", "qx", "qy", "tile", "kth")
-        others = written(asks.mapInPandas(look_around, "qid string, part string, qx double, qy double, tile bigint"), "others")
-        more = _search(others, tiled, k, 2 * tile_rows)
-        both = first.unionByName(more).where("rid IS NOT NULL").select("qid", "part", "rid", "d2")
-        best = top_per_group(both, ["qid", "part"], [F.col("d2"), F.col("rid")], k)
-    return best.select("qid", "part", "rid", F.sqrt("d2").alias("distance"), F.col("rank").cast("int").alias("rank"))
+    asked = even.withColumn("tile", first_tile("part", "qx", "qy")).withColumn("ask", F.monotonically_increasing_id())
+    asked = written(asked, "asked").where("tile >= 0").withColumn("kth", F.lit(float("inf")))
+    first = _search(asked, tiled, k, 2 * tile_rows, shared)
+    if tiling.tiles == len(tiling.sets):
+        return first.select("qid", "part", "near")
+    # The second round and the merge read this stage: run it once.
+    first = written(first, "first").withColumn("near", F.filter("near", lambda n: n["rid"].isNotNull()))
+
+    def look_around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for start in range(0, len(f), 4096):
+                g = f.iloc[start : start + 4096]
+                rows, tile, _ = boxes.value.within(g["part"].to_numpy(), g["qx"].to_numpy(), g["qy"].to_numpy(), np.sqrt(g["kth"].to_numpy()), k + 1)
+                other = tile != g["tile"].to_numpy()[rows]
+                yield g.iloc[rows[other]].assign(tile=tile[other])
+
+    # Only queries that may look into other tiles are merged, by the number each was given.
+    further = first.where("away")
+    asks = further.select("ask", "qid", "part", "qx", "qy", "tile", "kth")
+    others = written(asks.mapInPandas(look_around, asks.schema), "others")
+    more = _search(others, tiled, k, 2 * tile_rows, shared)
+    more = more.select("ask", "qid", "part", F.filter("near", lambda n: n["rid"].isNotNull()).alias("near")).where(F.size("near") > 0)
+    both = further.select("ask", "qid", "part", "near").unionByName(more).groupBy("ask").agg(
+        F.first("qid").alias("qid"), F.first("part").alias("part"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return first.where("NOT away").select("qid", "part", "near").unionByName(both.drop("ask"))
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The lists of ``knn_lists``, a row per neighbour: columns qid, part, rid, distance, rank."""
+    found = knn_lists(queries, refs, k, tile_rows).select("qid", "part", F.posexplode("near").alias("at", "n"))
+    return found.select("qid", "part", "n.rid", F.sqrt("n.d2").alias("distance"), (F.col("at") + 1).alias("rank")).where("rid IS NOT NULL")
 
 
 def nearest_items(items: DataFrame, k: int = 5, tile_rows: int = TILE_ROWS) -> DataFrame:
