@@ -111,3 +111,13 @@ def test_layout_reads_vectors_twice_and_loses_no_digits(spark):
         bad = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id long, embedding array<double>").coalesce(1)
         with pytest.raises(Exception, match=problem):
             reduce.layout_2d(bad, "id")
+
+
+def test_bundles_label_regions_once(spark, folder):
+    """The finished map, which a bundle goes over four times, holds no work on the words."""
+    from mapwright.plans.fixtures import Tables
+    from mapwright.plans.q_datasets import two_domain_map
+
+    out = two_domain_map(Tables(spark, folder))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 6 and out.where("cluster_label IS NULL").count() == 0
